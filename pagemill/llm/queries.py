@@ -119,15 +119,15 @@ OP10_SQL = r"""
 WITH words AS (
   SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents
 ), starts AS (
-  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS at FROM words WHERE len(w) >= 13
+  SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM words WHERE len(w) >= 13
 ), keyed AS (
-  SELECT doc_id, at, array_to_string(w[at:at + 12], ' ') AS k FROM starts
+  SELECT doc_id, p, array_to_string(w[p:p + 12], ' ') AS k FROM starts
 ), repeats AS (
-  SELECT doc_id, at FROM (SELECT doc_id, at, min(doc_id) OVER (PARTITION BY k) AS first FROM keyed) WHERE first < doc_id
+  SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY k) AS first FROM keyed) WHERE first < doc_id
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(at, at + 13)) AS at FROM repeats
+  SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM repeats
 ), removed AS (
-  SELECT doc_id, list(at) AS cut FROM gone GROUP BY doc_id
+  SELECT doc_id, list(p) AS cut FROM gone GROUP BY doc_id
 ), each AS (
   SELECT d.doc_id, d.w, coalesce(r.cut, []) AS cut FROM words d LEFT JOIN removed r USING (doc_id)
 ), kept AS (
