@@ -1,17 +1,20 @@
 """Substring dedup (operator 10): Rabin-Karp window hashes counted in Spark, repeated windows merged into removal intervals.
 
 A window is 13 consecutive words of one document. A word is removed if a window over it also
-starts in a document with a smaller doc_id. The work is exact and runs in three shuffles:
+starts in a document with a smaller doc_id. The work is exact and runs in three steps:
 
 1. *Seeds.* Every window is represented by the smallest hash of the five-word grams inside it (its
    minimizer); equal windows have equal seeds, and neighbouring windows mostly share theirs, so only about a
    fifth of the positions travel. A seed seen in one row alone cannot belong to a repeated window.
-2. *Windows.* Only windows with a shared seed are hashed in full (two independent 64-bit hashes) and compared.
+2. *Windows.* Only windows with a shared seed are hashed in full (two independent hashes of 64 and 32 bits) and compared.
 3. *Intervals.* Repeated windows of a document merge into maximal intervals, which are cut from its text.
 
 Hot seeds and windows are settled where they are read: within a chunk of documents only the smallest doc_id of
 each hash stays open and travels by the hash, all others are already known to repeat. So a passage that a third
-of all documents share sends one row per chunk, not one per document, to the task of its hash.
+of all documents share sends one row per chunk, not one per document, to the task of its hash. Whole copies of an earlier
+text are told by two hashes of the text and take no part in the windows: all their words go.
+
+Texts are dealt by doc_id once; the three joins with them have the same left side, so that Spark reuses the exchange.
 
 Defined results: a null text has no words; a null doc_id is neither removed from nor a cause of removal; equal
 doc_ids are one document for the comparison, and each of their rows keeps its own text; columns other than
@@ -29,15 +32,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .session import whole_text
 
 WINDOW = 13
 GRAM = 5
 OPEN, SETTLED = 0, 1
 
-SEEDS = "route long, settled int, seed long, doc_id long"
-WINDOWS = "route long, settled int, h1 long, h2 long, doc_id long, text_id long, start int, end int"
-SPANS = "doc_id long, text_id long, start int, end int"
+SEEDS = "settled int, seed long, doc_id long"
+WINDOWS = "settled int, h1 long, h2 int, doc_id long, text_id int, start int, end int"
+SPANS = "doc_id long, text_id int, start int, end int"
+#: End of the span of a text that is a copy: all of its words, if they make a window.
+ALL = (1 << 31) - 1
 
 
 def _runs(*keys: np.ndarray) -> np.ndarray:
@@ -66,8 +70,11 @@ def _word_chunks(text: pa.Array) -> Iterator[tuple[int, int, ta.Words]]:
 
 
 def _seed_rows(window: int, gram: int):
+    """Rows of (doc_id, text): open seeds, one per chunk, and settled (seed, doc_id) that share one in a chunk."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(batch.num_columns - 1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, words in _word_chunks(batch.column(1)):
                 at, seeds = _seeds(words, window, gram)
@@ -82,7 +89,7 @@ def _seed_rows(window: int, gram: int):
                 seed = ta.signed(np.concatenate([seeds[head], seeds[shared]]))
                 doc = np.concatenate([docs[head], docs[shared]])
                 settled = np.concatenate([np.zeros(head.sum(), np.int32), np.ones(shared.sum(), np.int32)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.where(settled == OPEN, seed, doc)), pa.array(settled), pa.array(seed), pa.array(doc)], ["route", "settled", "seed", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(settled), pa.array(seed), pa.array(doc)], ["settled", "seed", "doc_id"])
 
     return run
 
@@ -95,7 +102,7 @@ def _shared_seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         return pa.RecordBatch.from_arrays([pa.array(seed, pa.int64()), pa.array(doc, pa.int64())], ["seed", "doc_id"])
 
     for batch in batches:
-        settled, seed, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3))
+        settled, seed, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
         opened = settled == OPEN
         yield out(seed[~opened], doc[~opened])
         seed, doc = seed[opened], doc[opened]
@@ -117,18 +124,19 @@ def _shared_seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _window_rows(window: int, gram: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(batch.column(batch.num_columns - 1).is_valid())
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            text_ids = batch.column(1).to_numpy(zero_copy_only=False)
+            text_ids = batch.column(2).to_numpy(zero_copy_only=False)
             lists = batch.column(3)
-            values, counts = lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy())
+            values, counts = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
             bounds = np.concatenate([[0], np.cumsum(counts)])
-            for a, b, words in _word_chunks(batch.column(2)):
+            for a, b, words in _word_chunks(batch.column(1)):
                 at, seeds = _seeds(words, window, gram)
                 salt = ta.mix(np.arange(a, b, dtype=np.uint64) + np.uint64(1))
                 wanted = values[bounds[a] : bounds[b]].view(np.uint64) ^ np.repeat(salt, counts[a:b])
                 at = at[np.isin(seeds ^ salt[words.row[at]], wanted)]
                 h1 = ta.windows(words.hashes(ta.BASES[0]), window, ta.WINDOW_BASES[0])[at]
-                h2 = ta.windows(words.hashes(ta.BASES[1]), window, ta.WINDOW_BASES[1])[at]
+                h2 = (ta.windows(words.hashes(ta.BASES[1]), window, ta.WINDOW_BASES[1])[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 row = words.row[at]
                 doc = ids[a:b][row]
                 start = (at - words.first[row]).astype(np.int32)
@@ -148,16 +156,15 @@ def _window_rows(window: int, gram: int):
                 settled = np.concatenate([np.zeros(n_open, np.int32), np.ones(n_done, np.int32)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.where(settled == OPEN, h1_out, doc_out)),
                         pa.array(settled),
                         pa.array(h1_out),
-                        pa.array(np.concatenate([ta.signed(h2[~repeat]), zero])),
+                        pa.array(np.concatenate([h2[~repeat], zero.astype(np.int32)])),
                         pa.array(doc_out),
                         pa.array(np.concatenate([text_ids[a:b][row[~repeat]], text_ids[a:b][r_row[begin]]])),
                         pa.array(np.concatenate([start[~repeat], r_start[begin]])),
                         pa.array(np.concatenate([start[~repeat], r_start[last]]) + np.int32(window)),
                     ],
-                    ["route", "settled", "h1", "h2", "doc_id", "text_id", "start", "end"],
+                    ["settled", "h1", "h2", "doc_id", "text_id", "start", "end"],
                 )
 
     return run
@@ -167,7 +174,7 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by (settled, h1, h2, doc_id): settled ones, and open ones after their hash's first document."""
     last: tuple[int, int, int] | None = None  # h1, h2 and first document of the group at hand
     for batch in batches:
-        settled, h1, h2, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2, 3, 4))
+        settled, h1, h2, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3))
         keep = settled == SETTLED
         opened = np.flatnonzero(~keep)
         if len(opened):
@@ -179,26 +186,45 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 least[: sizes[0]] = last[2]
             keep[opened] = d > least
             last = (int(a[-1]), int(b[-1]), int(least[-1]))
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (4, 5, 6, 7)], ["doc_id", "text_id", "start", "end"])
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (3, 4, 5, 6)], ["doc_id", "text_id", "start", "end"])
+
+
+def _plain(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """docs with columns c0, c1, ..., so that none can clash with ours; and the names of doc_id and text there."""
+    names = docs.columns
+    base = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)])
+    return base, f"c{names.index('doc_id')}", f"c{names.index('text')}"
 
 
 def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text_id, spans): for each text with repeated windows, word intervals [start, end) to remove.
+    """(doc_id, spans) of each doc_id with repeated windows: word intervals [start, end) of its texts, by text_id.
 
-    text_id is the text's hash, so that rows of one doc_id with different texts keep their own spans.
-    Spans of a row are bounded by its own length; they may overlap and are merged where they are applied.
+    text_id is a hash of the text: rows of one doc_id with different texts keep their own spans. Spans of a text are
+    bounded by its length; they may overlap and are merged where they are applied.
     """
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).where("doc_id is not null")
-    seeds = known.mapInArrow(_seed_rows(window, gram), SEEDS)
-    shared = seeds.repartition("route").sortWithinPartitions("settled", "seed").mapInArrow(_shared_seeds, "seed long, doc_id long")
-    by_doc = shared.groupBy(F.col("doc_id").alias("seed_doc")).agg(F.collect_set("seed").alias("seeds"))
-    candidates = known.join(by_doc, known.doc_id == by_doc.seed_doc).select("doc_id", F.xxhash64("text").alias("text_id"), "text", "seeds")
+    base, key, text = _plain(docs)
+    doc, body = F.col(key).cast("long"), F.coalesce(F.col(text), F.lit(""))
+    text_id = F.shiftright(F.xxhash64(body), 32).cast("int")
+    hashed = base.select(doc.alias("doc_id"), text_id.alias("text_id"), F.xxhash64(body).alias("t1"), F.xxhash64(body, F.lit(1)).alias("t2")).where("doc_id is not null")
+    groups = hashed.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    copies = hashed.join(groups, ["t1", "t2"]).where("doc_id > least").select("doc_id", "text_id")
+    copied = copies.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("text_id").alias("__copied"))
+
+    first = base.join(copied, doc == F.col("__doc"), "left")
+    asked = first.select(doc.alias("doc_id"), body.alias("text"), (doc.isNotNull() & ~F.coalesce(F.array_contains("__copied", text_id), F.lit(False))).alias("asked"))
+    seeds = asked.mapInArrow(_seed_rows(window, gram), SEEDS)
+    by_hash = lambda h: F.when(F.col("settled") == OPEN, F.col(h)).otherwise(F.col("doc_id"))
+    shared = seeds.repartition(by_hash("seed")).sortWithinPartitions("settled", "seed").mapInArrow(_shared_seeds, "seed long, doc_id long")
+    by_doc = shared.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("seed").alias("__seeds"))
+
+    candidates = base.join(by_doc, doc == F.col("__doc"), "left").select(doc.alias("doc_id"), body.alias("text"), text_id.alias("text_id"), F.col("__seeds").alias("seeds"))
     rows = candidates.mapInArrow(_window_rows(window, gram), WINDOWS)
-    repeated = rows.repartition("route").sortWithinPartitions("settled", "h1", "h2", "doc_id").mapInArrow(_repeated, SPANS)
-    return repeated.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    repeated = rows.repartition(by_hash("h1")).sortWithinPartitions("settled", "h1", "h2", "doc_id").mapInArrow(_repeated, SPANS)
+    everything = repeated.unionByName(copies.select("doc_id", "text_id", F.lit(0).alias("start"), F.lit(ALL).alias("end")))
+    return everything.groupBy("doc_id").agg(F.collect_list(F.struct("text_id", "start", "end")).alias("spans"))
 
 
-def _apply(names: list[str], text_at: int, clean_layout: bool):
+def _apply(names: list[str], text_at: int, window: int, clean_layout: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = ta.buffers(batch.column(text_at))
@@ -216,9 +242,10 @@ def _apply(names: list[str], text_at: int, clean_layout: bool):
                 part = np.frombuffer(text, np.uint8)
                 table = ta.split(part, np.array([0, len(part)]), ~ta.WHITE[part])
                 n = len(table.start)
+                cuts = [c for c in cuts if c["end"] != ALL or n >= window]
                 depth = np.zeros(n + 1, np.int64)
                 np.add.at(depth, [c["start"] for c in cuts], 1)
-                np.add.at(depth, [c["end"] for c in cuts], -1)
+                np.add.at(depth, [min(c["end"], n) for c in cuts], -1)
                 gone = np.cumsum(depth)[:n] > 0
                 n_words.append(n)
                 n_removed.append(int(gone.sum()))
@@ -240,8 +267,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, clea
     Every input row comes back once. Input columns of these three names are replaced.
     """
     keep = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept_text")]
-    spans = removal_spans(docs, window, gram).select(F.col("doc_id").alias("__doc"), F.col("text_id").alias("__text"), "spans")
-    base = docs.select(*[F.col(c) for c in keep])
-    joined = base.join(spans, (base["doc_id"].cast("long") == spans["__doc"]) & (F.xxhash64(F.coalesce(base["text"], F.lit(""))) == spans["__text"]), "left").select(*[base[c] for c in keep], spans["spans"])
-    schema = T.StructType([*[base.schema[c] for c in keep], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return joined.mapInArrow(_apply(keep, keep.index("text"), clean_layout), schema)
+    docs = docs.select(*[F.col(f"`{c}`") for c in keep])
+    base, key, text = _plain(docs)
+    text_id = F.shiftright(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), 32).cast("int")
+    spans = removal_spans(docs, window, gram).select(F.col("doc_id").alias("__doc"), "spans")
+    joined = base.join(spans, F.col(key).cast("long") == F.col("__doc"), "left")
+    mine = joined.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], F.filter("spans", lambda x: x["text_id"] == text_id).alias("__spans"))
+    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
+    return mine.mapInArrow(_apply(keep, keep.index("text"), window, clean_layout), schema)
