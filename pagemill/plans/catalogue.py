@@ -1,9 +1,15 @@
-"""All queries of the library outside llm, and their SQL."""
+"""All queries of the library outside llm, and the SQL of those that SQL can express."""
+
+from __future__ import annotations
+
+from . import events_plans, record_plans, text_plans
+
+PLANS = (text_plans, record_plans, events_plans)
 
 
 def queries() -> dict:
-    return {}
+    return {name: run for plans in PLANS for name, (run, _) in plans.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plans in PLANS for name, (_, sql) in plans.QUERIES.items() if sql}
