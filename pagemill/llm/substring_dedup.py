@@ -149,20 +149,22 @@ def _window_rows(window: int, gram: int):
                 r_row, r_start = row[repeat], start[repeat]
                 begin = _runs(r_row) | np.concatenate([[True], np.diff(r_start) > window])[: len(r_row)]
                 last = np.flatnonzero(np.append(begin, True))[1:] - 1
-                n_open, n_done = int((~repeat).sum()), int(begin.sum())
+                # So do equal open windows that follow one another, as in a text of one word again and again.
+                o = np.flatnonzero(~repeat)
+                o_begin = _runs(row[o], h1[o], h2[o]) | np.concatenate([[True], np.diff(start[o]) != 1])[: len(o)]
+                o_last = np.flatnonzero(np.append(o_begin, True))[1:] - 1
+                o_stop, o = start[o][o_last], o[o_begin]
+                n_open, n_done = len(o), int(begin.sum())
                 zero = np.zeros(n_done, np.int64)
-                doc_out = np.concatenate([doc[~repeat], ids[a:b][r_row[begin]]])
-                h1_out = np.concatenate([ta.signed(h1[~repeat]), zero])
-                settled = np.concatenate([np.zeros(n_open, np.int32), np.ones(n_done, np.int32)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(settled),
-                        pa.array(h1_out),
-                        pa.array(np.concatenate([h2[~repeat], zero.astype(np.int32)])),
-                        pa.array(doc_out),
-                        pa.array(np.concatenate([text_ids[a:b][row[~repeat]], text_ids[a:b][r_row[begin]]])),
-                        pa.array(np.concatenate([start[~repeat], r_start[begin]])),
-                        pa.array(np.concatenate([start[~repeat], r_start[last]]) + np.int32(window)),
+                        pa.array(np.concatenate([np.zeros(n_open, np.int32), np.ones(n_done, np.int32)])),
+                        pa.array(np.concatenate([ta.signed(h1[o]), zero])),
+                        pa.array(np.concatenate([h2[o], zero.astype(np.int32)])),
+                        pa.array(np.concatenate([doc[o], ids[a:b][r_row[begin]]])),
+                        pa.array(np.concatenate([text_ids[a:b][row[o]], text_ids[a:b][r_row[begin]]])),
+                        pa.array(np.concatenate([start[o], r_start[begin]])),
+                        pa.array(np.concatenate([o_stop, r_start[last]]) + np.int32(window)),
                     ],
                     ["settled", "h1", "h2", "doc_id", "text_id", "start", "end"],
                 )
