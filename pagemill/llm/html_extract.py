@@ -3,7 +3,7 @@
 A page becomes its sequence of leaf blocks; a numpy bidirectional LSTM reads each block's hashed tag path and hashed
 words and labels it with the whole page as context. The labelled main blocks, joined by line ends, are the page's text.
 
-The labeller is trained on at most ``SAMPLE`` pages (those of the least hash of page_id among pages up to ``SAMPLE_CHARS`` characters).
+The labeller is trained on about ``SAMPLE`` pages, at most twice as many (those of the least hashes among pages up to ``SAMPLE_CHARS`` characters).
 Semantic elements label their blocks: article and main are text, unless a menu, footer, advert, form or comment element lies
 within. Each sampled page is also rebuilt in random layouts, with its paragraphs in containers of many names between boilerplate
 built from other pages, so that the labeller learns names and context and not one site's markup. All pages are extracted, whole.
@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from . import lstm
 from .html_blocks import Block, blocks, features
+from .session import sampled
 
 SAMPLE = 160
 SAMPLE_CHARS = 60_000
@@ -146,8 +147,7 @@ def _extract(weights, names: list[str], at: int):
 def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """pages without html but with text and n_chars (code points); columns of these names are replaced."""
     base = pages.drop("text", "n_chars")
-    short = base.select("page_id", "html").where((F.length("html") <= SAMPLE_CHARS) & F.col("html").isNotNull())
-    chosen = short.select(F.xxhash64(F.col("page_id").cast("string")).alias("h"), "html").orderBy("h", F.xxhash64("html")).limit(sample)
-    weights = base.sparkSession.sparkContext.broadcast(fit([r.html for r in chosen.collect()]))
+    short = base.select("html").where((F.length("html") <= SAMPLE_CHARS) & F.col("html").isNotNull())
+    weights = base.sparkSession.sparkContext.broadcast(fit(sampled(short, "html", sample, pages.count())))
     schema = T.StructType([*[f for f in base.schema.fields if f.name != "html"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return base.mapInArrow(_extract(weights, base.columns, base.columns.index("html")), schema)

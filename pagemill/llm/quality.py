@@ -4,7 +4,7 @@
 2. *Weak-label model.* Texts with equal votes count as one pattern, so all documents fit in a table of
    at most 3**labellers patterns, summed in Spark. Expectation-maximisation over the pattern counts estimates each labeller's
    accuracy and the share of good texts, and gives every pattern its posterior.
-3. *Scorer.* On a bounded sample (``SAMPLE`` texts of the least text hash), posterior labels train a logistic
+3. *Scorer.* On a bounded sample (about ``SAMPLE`` distinct texts, at most twice as many, of the least text hashes), posterior labels train a logistic
    regression on hashed shapes of words and of their neighbourhoods. It scores every document over its whole text.
 
 A document is kept if the scorer gives at least ``KEEP``.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .session import whole_text
+from .session import sampled, whole_text
 
 SAMPLE = 6000
 SAMPLE_CHARS = 100_000
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     patterns = _unpack(np.array([r.pattern for r in found], np.int64)) if found else np.zeros((0, len(LABELLERS)), np.int64)
     model = expectation_maximisation(patterns, np.array([r.n for r in found], float))
     short = text.where((F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0))
-    chosen = [r.text for r in short.select(F.xxhash64("text").alias("h"), "text").orderBy("h").limit(sample).collect()]
+    chosen = sampled(short, "text", sample, sum(r.n for r in found))
     xs, ys = [np.zeros((0, DIMS))], [np.zeros(0)]
     for words, raw, offsets in _chunks(pa.array(chosen, pa.string())):
         measures, counts = _measures(words, raw, offsets)
