@@ -33,7 +33,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 QUICK_PATTERN = r""" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?[^\s\w]+|\s+(?!\S)|\s+"""
 NOT_QUICK = r"[^\t\n\r -\^`-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 #: Words kept with their ids by each Python worker; the cache starts anew beyond it.
-CACHE = 400_000
+CACHE = 150_000
 #: Most bytes of the words that are merged side by side and cached, in arrays of these widths.
 SHORT_BYTES = (16, 32, 64)
 #: The rank of a pair that is not merged.
