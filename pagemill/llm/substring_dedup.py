@@ -11,7 +11,8 @@ starts in a document with a smaller doc_id. The work is exact and runs in three
 
 Hot seeds and windows are settled where they are read: within a chunk of documents only the smallest doc_id of
 each hash stays open and travels by the hash, all others are already known to repeat. So a passage that a third
-of all documents share sends one row per chunk, not one per document, to the task of its hash. Whole copies of an earlier
+of all documents share sends one row per chunk, not one per document, to the task of its hash. A window that stands in one
+text many times travels once, with its other places as bytes of the row. Whole copies of an earlier
 text are told by two hashes of the text and take no part in the windows: all their words go.
 
 Texts are dealt by doc_id once; the three joins with them have the same left side, so that Spark reuses the exchange.
@@ -38,7 +39,7 @@ GRAM = 5
 OPEN, SETTLED = 0, 1
 
 SEEDS = "settled int, seed long, doc_id long"
-WINDOWS = "settled int, h1 long, h2 int, doc_id long, text_id int, start int, end int"
+WINDOWS = "settled int, h1 long, h2 int, doc_id long, text_id int, start int, end int, more binary"
 SPANS = "doc_id long, text_id int, start int, end int"
 #: End of the span of a text that is a copy: all of its words, if they make a window.
 ALL = (1 << 31) - 1
@@ -154,7 +155,16 @@ def _window_rows(window: int, gram: int):
                 o_begin = _runs(row[o], h1[o], h2[o]) | np.concatenate([[True], np.diff(start[o]) != 1])[: len(o)]
                 o_last = np.flatnonzero(np.append(o_begin, True))[1:] - 1
                 o_stop, o = start[o][o_last], o[o_begin]
+                # What is left of a window's places in one text goes into one row: the first, and the others as pairs of int32.
+                placed = np.lexsort((start[o], h2[o], h1[o], row[o]))
+                o, o_stop = o[placed], o_stop[placed]
+                first = _runs(row[o], h1[o], h2[o])
+                others = np.stack([start[o], o_stop + np.int32(window)], axis=1)[~first].astype("<i4")
+                n_others = np.diff(np.append(np.flatnonzero(first), len(o))) - 1
+                o, o_stop = o[first], o_stop[first]
                 n_open, n_done = len(o), int(begin.sum())
+                at_more = np.concatenate([[0], np.cumsum(n_others), np.full(n_done, n_others.sum())]) * 8
+                more = pa.Array.from_buffers(pa.binary(), n_open + n_done, [None, pa.py_buffer(at_more.astype(np.int32)), pa.py_buffer(others.tobytes())])
                 zero = np.zeros(n_done, np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -165,8 +175,9 @@ def _window_rows(window: int, gram: int):
                         pa.array(np.concatenate([text_ids[a:b][row[o]], text_ids[a:b][r_row[begin]]])),
                         pa.array(np.concatenate([start[o], r_start[begin]])),
                         pa.array(np.concatenate([o_stop, r_start[last]]) + np.int32(window)),
+                        more,
                     ],
-                    ["settled", "h1", "h2", "doc_id", "text_id", "start", "end"],
+                    ["settled", "h1", "h2", "doc_id", "text_id", "start", "end", "more"],
                 )
 
     return run
@@ -188,7 +199,19 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 least[: sizes[0]] = last[2]
             keep[opened] = d > least
             last = (int(a[-1]), int(b[-1]), int(least[-1]))
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep)) for k in (3, 4, 5, 6)], ["doc_id", "text_id", "start", "end"])
+        kept = batch.filter(pa.array(keep))
+        doc, text_id, start, end = (kept.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6))
+        raw, offsets = ta.buffers(kept.column(7))
+        pairs, counts = raw[offsets[0] : offsets[-1]].view("<i4").reshape(-1, 2), np.diff(offsets) // 8
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([doc, np.repeat(doc, counts)])),
+                pa.array(np.concatenate([text_id, np.repeat(text_id, counts)])),
+                pa.array(np.concatenate([start, pairs[:, 0]])),
+                pa.array(np.concatenate([end, pairs[:, 1]])),
+            ],
+            ["doc_id", "text_id", "start", "end"],
+        )
 
 
 def _plain(docs: DataFrame) -> tuple[DataFrame, str, str]:

@@ -376,7 +376,7 @@ def brute_repeats(rows, size=13):
 def test_repeats_equal_brute_force(spark):
     random.seed(5)
     vocabulary = ["a", "b", "c"]
-    texts = [" ".join(random.choice(vocabulary) for _ in range(random.randint(0, 60))) for _ in range(60)] + ["w " * 40, "w " * 30, " w" * 12, "w " * 13, "q w " * 20]
+    texts = [" ".join(random.choice(vocabulary) for _ in range(random.randint(0, 60))) for _ in range(60)] + ["w " * 40, "w " * 30, " w" * 12, "w " * 13, "q w " * 20, "q w " * 25 + "z", "r " + "q w " * 15, "z q w q " * 12 + "q w " * 9]
     rows = [(k, t) for k, t in enumerate(texts)] + [(k + 100, t) for k, t in enumerate(texts[:20])] + [(5, texts[30]), (5, texts[5])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeats(docs).collect())
