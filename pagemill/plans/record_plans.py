@@ -111,7 +111,7 @@ def printed_pages(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", printed_left(n).cast("int").alias("printed_left"), printed_page(n, 10, 3).cast("int").alias("printed"))
 
 
-@query("""SELECT CASE WHEN l_quantity <= 0 THEN '0' WHEN l_quantity <= 10 THEN '1-10' WHEN l_quantity <= 50 THEN '11-50' WHEN l_quantity <= 200 THEN '51-200' ELSE '201+' END AS bucket, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL""")
+@query("""SELECT CASE WHEN l_quantity <= 0 THEN '0' WHEN l_quantity <= 20 THEN '1-20' WHEN l_quantity <= 100 THEN '21-100' WHEN l_quantity <= 500 THEN '101-500' ELSE '501+' END AS bucket, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL""")
 def finding_buckets(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(finding_bucket(F.col("l_quantity")).alias("bucket"), "l_returnflag").agg(F.count("*").alias("n"))
 
