@@ -39,7 +39,8 @@ GRAM = 5
 OPEN, SETTLED = 0, 1
 
 SEEDS = "settled int, seed long, doc_id long"
-WINDOWS = "settled int, h1 long, h2 int, doc_id long, text_id int, start int, end int, more binary"
+#: h2_text is h2 and text_id, span is start and end, each as two halves of 32 bits: fewer columns, fewer bytes on disk.
+WINDOWS = "settled int, h1 long, h2_text long, doc_id long, span long, more binary"
 SPANS = "doc_id long, text_id int, start int, end int"
 #: End of the span of a text that is a copy: all of its words, if they make a window.
 ALL = (1 << 31) - 1
@@ -55,6 +56,11 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pack(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Two int32 in an int64."""
+    return (high.astype(np.int64) << 32) | (low.astype(np.int64) & 0xFFFFFFFF)
+
+
 def _seeds(words: ta.Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """(window starts, seed of each)."""
     hashes = words.hashes()
@@ -170,14 +176,12 @@ def _window_rows(window: int, gram: int):
                     [
                         pa.array(np.concatenate([np.zeros(n_open, np.int32), np.ones(n_done, np.int32)])),
                         pa.array(np.concatenate([ta.signed(h1[o]), zero])),
-                        pa.array(np.concatenate([h2[o], zero.astype(np.int32)])),
+                        pa.array(_pack(np.concatenate([h2[o], zero]), np.concatenate([text_ids[a:b][row[o]], text_ids[a:b][r_row[begin]]]))),
                         pa.array(np.concatenate([doc[o], ids[a:b][r_row[begin]]])),
-                        pa.array(np.concatenate([text_ids[a:b][row[o]], text_ids[a:b][r_row[begin]]])),
-                        pa.array(np.concatenate([start[o], r_start[begin]])),
-                        pa.array(np.concatenate([o_stop, r_start[last]]) + np.int32(window)),
+                        pa.array(_pack(np.concatenate([start[o], r_start[begin]]), np.concatenate([o_stop, r_start[last]]) + np.int32(window))),
                         more,
                     ],
-                    ["settled", "h1", "h2", "doc_id", "text_id", "start", "end", "more"],
+                    ["settled", "h1", "h2_text", "doc_id", "span", "more"],
                 )
 
     return run
@@ -188,6 +192,7 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last: tuple[int, int, int] | None = None  # h1, h2 and first document of the group at hand
     for batch in batches:
         settled, h1, h2, doc = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2, 3))
+        h2 = h2 >> 32
         keep = settled == SETTLED
         opened = np.flatnonzero(~keep)
         if len(opened):
@@ -200,8 +205,9 @@ def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep[opened] = d > least
             last = (int(a[-1]), int(b[-1]), int(least[-1]))
         kept = batch.filter(pa.array(keep))
-        doc, text_id, start, end = (kept.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5, 6))
-        raw, offsets = ta.buffers(kept.column(7))
+        text_id, doc, span = (kept.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 4))
+        text_id, start, end = text_id.astype(np.int32), (span >> 32).astype(np.int32), span.astype(np.int32)
+        raw, offsets = ta.buffers(kept.column(5))
         pairs, counts = raw[offsets[0] : offsets[-1]].view("<i4").reshape(-1, 2), np.diff(offsets) // 8
         yield pa.RecordBatch.from_arrays(
             [
@@ -244,7 +250,7 @@ def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
 
     candidates = base.join(by_doc, doc == F.col("__doc"), "left").select(doc.alias("doc_id"), body.alias("text"), text_id.alias("text_id"), F.col("__seeds").alias("seeds"))
     rows = candidates.mapInArrow(_window_rows(window, gram), WINDOWS)
-    repeated = rows.repartition(by_hash("h1")).sortWithinPartitions("settled", "h1", "h2", "doc_id").mapInArrow(_repeated, SPANS)
+    repeated = rows.repartition(by_hash("h1")).sortWithinPartitions("settled", "h1", F.shiftright("h2_text", 32), "doc_id").mapInArrow(_repeated, SPANS)
     everything = repeated.unionByName(copies.select("doc_id", "text_id", F.lit(0).alias("start"), F.lit(ALL).alias("end")))
     return everything.groupBy("doc_id").agg(F.collect_list(F.struct("text_id", "start", "end")).alias("spans"))
 
