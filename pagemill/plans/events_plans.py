@@ -27,6 +27,10 @@ def query(sql: str | None):
     return add
 
 
+def daily_active_of(events):
+    return events.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.countDistinct("user_id").alias("users"), F.count("*").alias("n"))
+
+
 RUNS = """
 SELECT user_id, run, event_type, count(*) AS n FROM (
   SELECT *, sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS run FROM (
@@ -77,7 +81,7 @@ def quota_consume(spark, sf_dir):
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS users, count(*) AS n FROM events GROUP BY 1")
 def daily_active(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.countDistinct("user_id").alias("users"), F.count("*").alias("n"))
+    return daily_active_of(table(spark, sf_dir, "events"))
 
 
 @query("SELECT event_type, (props::JSON->>'k')::BIGINT // 25 AS quarter, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
@@ -116,3 +120,31 @@ def consumed_stream(spark, sf_dir):
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
     name = f"consumed_{uuid.uuid4().hex}"
     return quota.run_once(stream, name, f"{shared}/{name}")
+
+
+@query("SELECT event_id, user_id, event_type, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, day ORDER BY ts, event_id) = 1")
+def first_of_day(spark, sf_dir):
+    """The one event of a kind that a user may have a day, as with exports."""
+    e = table(spark, sf_dir, "events").withColumn("day", kst_day(F.col("ts")))
+    return first_of(e, ["user_id", "event_type", "day"], ["ts", "event_id"]).select("event_id", "user_id", "event_type", "day")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY 1")
+def daily_series(spark, sf_dir):
+    one = lambda kind: F.count(F.when(F.col("event_type") == kind, 1)).alias(kind)
+    return table(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(one("click"), one("purchase"), one("view"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS users, count(*) AS n FROM events WHERE (props::JSON->>'k')::BIGINT >= 50 GROUP BY 1")
+def property_daily(spark, sf_dir):
+    wanted = F.get_json_object("props", "$.k").cast("long") >= 50
+    return daily_active_of(table(spark, sf_dir, "events").where(wanted))
+
+
+@query("""SELECT user_id, day, arg_max(value, o) FILTER (event_type = 'view') AS view, arg_max(value, o) FILTER (event_type = 'click') AS click
+FROM (SELECT *, strftime(ts, '%Y-%m-%d') AS day, {'ts': ts, 'event_id': event_id} AS o FROM events) GROUP BY ALL""")
+def history_by_day(spark, sf_dir):
+    """A day's entries of a user as one: the last value there is of each kind."""
+    last = lambda kind: F.max_by(F.when(F.col("event_type") == kind, F.col("value")), F.when((F.col("event_type") == kind) & F.col("value").isNotNull(), F.struct("ts", "event_id"))).alias(kind)
+    e = table(spark, sf_dir, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    return e.groupBy("user_id", "day").agg(last("view"), last("click"))
