@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, decontaminate, quality, simhash, substring_dedup
+from pagemill.llm import bpe, decontaminate, jaccard, quality, substring_dedup
 from pagemill.llm.queries import tokenizer_path
 from pagemill.llm.session import table
 
@@ -25,8 +25,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest doc_id."""
-    return simhash.one_of_each(docs).select(*COLUMNS)
+    """One document of each group of near duplicates (5-word shingles, similarity 0.8), the one of the smallest doc_id."""
+    return jaccard.one_of_each(docs).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

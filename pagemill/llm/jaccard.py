@@ -1,0 +1,184 @@
+"""Near-dedup of the pipeline: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, without loss.
+
+Equal sets are one node. In any fixed order of the shingles, two sets of that similarity share one of their first
+n // 5 + 1 (prefix filter), so only those leave a text; the order is by hash, common shingles last. Candidates are compared exactly.
+They are taken in two turns: first against the first text of each bucket, then the pairs whose texts are still apart, so
+that a large group of near copies is joined without all its pairs.
+
+Defined results: words are lower-cased (ASCII) and parted at blanks; a text under 5 words is one shingle; null and empty texts are equal;
+repeated and null ids as in ``simhash``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from . import textarrays as ta
+from .components import components
+from .decontaminate import FILTER_BITS, _filter_bits, _filter_places
+from .session import cut, whole_text
+
+SHINGLE = 5
+#: Texts of a bucket from which its shingle comes last in the order.
+COMMON = 32
+
+
+def _passes(bits: bytes, hashes: np.ndarray) -> np.ndarray:
+    table = np.frombuffer(bits, np.uint8)
+    good = np.ones(len(hashes), bool)
+    for place in _filter_places(hashes):
+        good &= (table[place >> 3] >> (place & 7) & 1).astype(bool)
+    return good
+
+
+def _filter(df: DataFrame) -> bytes:
+    """Bloom filter of a column of hashes, of a fixed size."""
+    words = df.distinct().mapInArrow(_filter_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    bits = np.zeros(FILTER_BITS // 32, np.uint32)
+    for r in words.toLocalIterator():  # at most FILTER_BITS / 32 rows
+        bits[r.word] = r.bits
+    return bits.tobytes()
+
+
+def shingles(raw: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles, sorted by both."""
+    words = ta.split(ta.LOWER[raw], offsets, ~ta.WHITE[raw])
+    plain, lengths = words.hashes(), np.diff(words.first)
+    rows, hashes = [], []
+    for n in range(1, size + 1):
+        at = np.flatnonzero(ta.inside(words.row, n))
+        if n < size:
+            at = at[lengths[words.row[at]] == n]
+        rows.append(words.row[at])
+        hashes.append(ta.mix(ta.windows(plain, n)[at] + np.uint64(n)))
+    row, h = np.concatenate(rows), np.concatenate(hashes)
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return row[new], h[new]
+
+
+def _sets(size: int, what: str, bits=None):
+    """Rows of texts' shingle sets: "keys" (id, key), "prefix" (shingle, key, n, pos) or "sets" (key, items).
+
+    The filter holds the common shingles of "prefix" and the wanted keys of "sets".
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = ta.buffers(batch.column(1))
+            for a, b in ta.chunks(offsets):
+                row, h = shingles(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
+                first = np.searchsorted(row, np.arange(b - a + 1))
+                n = np.diff(first)
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(ta.mix(h), dtype=np.uint64)])
+                key = ta.mix(sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64))
+                if what == "keys":
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ta.signed(key))], ["doc_id", "key"])
+                elif what == "prefix":
+                    if bits is not None:
+                        order = np.lexsort((h, _passes(bits.value, h), row))
+                        h = h[order]
+                    pos = np.arange(len(h)) - first[row]
+                    at = np.flatnonzero(pos <= n[row] // 5)
+                    yield pa.RecordBatch.from_arrays([pa.array(ta.signed(h[at])), pa.array(ta.signed(key[row[at]])), pa.array(n[row[at]].astype(np.int32)), pa.array(pos[at].astype(np.int32))], ["shingle", "key", "n", "pos"])
+                else:
+                    for k in np.flatnonzero(_passes(bits.value, key) & (n > 0)):
+                        yield pa.RecordBatch.from_arrays([pa.array(ta.signed(key[k : k + 1])), pa.ListArray.from_arrays(pa.array([0, n[k]], pa.int32()), pa.array(ta.signed(h[first[k] : first[k + 1]])))], ["key", "items"])
+
+    return run
+
+
+PREFIX = "shingle long, key long, n int, pos int"
+
+
+def _collisions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by shingle and key, one for each key of the shingles that several keys have."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        s = table.column("shingle").to_numpy()
+        heads = np.flatnonzero(s[1:] != s[:-1])
+        last = int(heads[-1]) + 1 if len(heads) else 0
+        yield from _several(table.slice(0, last))
+        rest = table.slice(last).combine_chunks().to_batches()
+        held = rest[0] if rest else None
+    if held is not None:
+        yield from _several(pa.Table.from_batches([held]))
+
+
+def _several(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    if not table.num_rows:
+        return
+    s, k = table.column("shingle").to_numpy(), table.column("key").to_numpy()
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    one = new.copy()
+    one[1:] |= k[1:] != k[:-1]
+    group = np.cumsum(new) - 1
+    many = np.bincount(group, one) > 1
+    yield from table.take(pa.array(np.flatnonzero(one & many[group]))).combine_chunks().to_batches()
+
+
+def _possible(a: str, b: str):
+    """Whether two sets that first meet at these places can be that similar (sizes and what is left after the place)."""
+    n, m = F.col(f"{a}.n").cast("long"), F.col(f"{b}.n").cast("long")
+    left = F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
+    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (left * 9 >= (n + m) * 4)
+
+
+def _similar(docs: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """Those of the pairs (a, b) of keys whose sets have a similarity of 0.8."""
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter(pairs.select(F.explode(F.array("a", "b")).alias("key"))))
+    sets = docs.select("doc_id", "text").mapInArrow(_sets(size, "sets", wanted), "key long, items array<long>")
+    sets = cut(sets.groupBy("key").agg(F.first("items").alias("items")))
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y")).cast("long")
+    return both.where(shared * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """(doc_id, component_id) of every row of docs, linked at similarity 0.8; component_id is the smallest doc_id reachable."""
+    context = docs.sparkSession.sparkContext
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    keys = cut(texts.mapInArrow(_sets(size, "keys"), "doc_id long, key long"))
+    common = texts.mapInArrow(_sets(size, "prefix"), PREFIX).groupBy("shingle").count().where(F.col("count") > COMMON).select("shingle")
+    rows = texts.mapInArrow(_sets(size, "prefix", context.broadcast(_filter(common))), PREFIX)
+    shared = cut(rows.repartition("shingle").sortWithinPartitions("shingle", "key").mapInArrow(_collisions, PREFIX))
+
+    place = F.struct("key", "n", "pos")
+    star = shared.select("shingle", place.alias("b"), F.min(place).over(Window.partitionBy("shingle")).alias("a"))
+    turn = cut(star.where(F.col("a.key") != F.col("b.key")).where(_possible("a", "b")).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct())
+    found = cut(_similar(texts, turn, size))
+
+    roots = components(found)
+    named = shared.join(roots, shared["key"] == roots["node"], "left").select("shingle", place.alias("x"), F.coalesce("root", "key").alias("r"))
+    pairs = named.select("shingle", F.col("x").alias("a"), F.col("r").alias("ra")).join(named.select("shingle", F.col("x").alias("b"), F.col("r").alias("rb")), "shingle")
+    rest = cut(pairs.where("a.key < b.key and ra != rb").where(_possible("a", "b")).select(F.col("a.key").alias("a"), F.col("b.key").alias("b")).distinct().join(turn, ["a", "b"], "left_anti"))
+    found = found.unionByName(_similar(texts, rest, size))
+
+    # As in simhash: keys of null ids alone still link others, and keys of one least id are one node.
+    nodes = keys.groupBy("key").agg(F.min("doc_id").alias("least"))
+    base = cut(nodes.select("key", "least", F.coalesce("least", F.shiftrightunsigned("key", 2) + F.lit(1 << 62)).alias("node")))
+    ends = base.select("key", "node")
+    edges = found.join(ends.select(F.col("key").alias("a"), F.col("node").alias("na")), "a").join(ends.select(F.col("key").alias("b"), F.col("node").alias("nb")), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    least = base.join(components(edges), "node", "left").select("key", F.coalesce("root", "node").alias("root"), "least")
+    named = least.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("key", "component_id")
+    return keys.join(named, "key").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """docs without near duplicates: of each component, the row of the smallest doc_id stays (one of equal ones).
+
+    Rows without a doc_id stay.
+    """
+    found = near_duplicates(docs, size).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    with_id = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    kept = with_id.join(found, with_id["doc_id"].cast("long") == found["__kept"], "left_semi")
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -1,0 +1,57 @@
+"""The pipeline's near-dedup stage against brute-force Jaccard pairs."""
+
+import random
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
+import corpus_pipeline as cp  # noqa: E402
+from tests.llm.test_operators import words  # noqa: E402
+
+
+def brute_kept(rows):
+    sets = {}
+    for i, text in rows:
+        w = words((text or "").encode().lower().decode())
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            a, b = sets[i], sets[j]
+            if a == b or min(len(a), len(b)) * 5 >= max(len(a), len(b)) * 4 and len(a & b) * 5 >= len(a | b) * 4:
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return {find(i) for i in ids}
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_stage_keeps_one_of_each_similar_group(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert {r.doc_id for r in cp.deduplicate(spark, docs, "").collect()} == brute_kept(rows)
+
+
+def test_edited_copies(spark):
+    random.seed(4)
+    base = [[f"w{random.randrange(400)}" for _ in range(random.randint(3, 90))] for _ in range(12)]
+    texts = [" ".join(b) for b in base]
+    for b in base:
+        for edits in (1, 1, 2, 3, 4):
+            c = list(b)
+            for _ in range(edits):
+                c[random.randrange(len(c))] = f"e{random.randrange(9)}"
+            texts.append(" ".join(c))
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts += [passage + f" {k} {k + 1} {k * 7}" + " tail" * (k % 5) for k in range(50)] + ["", " ", "A b", "a B"]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in cp.deduplicate(spark, docs.repartition(5), "").collect()} == brute_kept(rows)
