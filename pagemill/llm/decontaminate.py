@@ -2,11 +2,13 @@
 
 Words are canonicalised: numbers become <number>, capitalised words inside a sentence <name>, unit words <unit>;
 all others count in lower case. Every 8 consecutive canonical words of a benchmark item and of a document are a
-template window. Windows with at least half plain words join on their hash. Along one alignment (document position minus
+template window. Windows with at least half plain words join on the hash of their form, denser ones on that of their words (so only
+word for word). Along one alignment (document position minus
 item position) each slot value of the item must always stand against the same value of the document: then the
 text is the item, or the item with other parameters; windows with inconsistent slots count for nothing.
 
-A document is contaminated by an item if consistent windows cover at least half of the item's windows.
+A document is contaminated by an item if consistent windows cover at least half of the item's windows, or half of those of them that
+have a form: of the dense ones an item with other parameters cannot show any.
 
 A Bloom filter over the benchmark's window hashes, of a fixed size, spares documents' other windows the
 shuffle; if the benchmark outgrows it, it only lets more windows through. Items shorter than a window are one window.
@@ -21,7 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
@@ -45,6 +47,8 @@ POINT = np.zeros(256, bool)
 POINT[[ord("."), ord(",")]] = True
 STOP = np.zeros(256, bool)
 STOP[[ord("."), ord("!"), ord("?"), ord("\n"), ord(":")]] = True
+#: Sets the hashes of dense windows apart from those of forms.
+DENSE = np.uint64(0x5555555555555555)
 #: Hashes that stand for typed placeholders.
 NUMBER, NAME, UNIT = (np.uint64(0x1111111111111111 * k) for k in (1, 2, 3))
 
@@ -101,24 +105,26 @@ def _window_rows(window: int, named: bool, bits=None, known=None):
                         continue
                     slots = np.concatenate([[0], np.cumsum(slot)])
                     hashes = ta.windows(form, size)[at]
-                    good = (slots[at + size] - slots[at]) * 2 <= size
+                    solid = (slots[at + size] - slots[at]) * 2 <= size
+                    hashes = np.where(solid, hashes, ta.mix(ta.windows(plain, size)[at] ^ DENSE))
+                    good = np.ones(len(at), bool)
                     if passes is not None:
                         for place in _filter_places(hashes):
                             good &= (passes[place >> 3] >> (place & 7) & 1).astype(bool)
-                    at, hashes = at[good], hashes[good]
+                    at, hashes, solid = at[good], hashes[good], solid[good]
                     if not len(at):
                         continue
-                    values = np.where(slot[at[:, None] + np.arange(size)], plain[at[:, None] + np.arange(size)], np.uint64(0))
+                    values = np.where(slot[at[:, None] + np.arange(size)] | ~solid[:, None], plain[at[:, None] + np.arange(size)], np.uint64(0))
                     row = words.row[at]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(a, b - a).take(pa.array(row)), batch.column(1).slice(a, b - a).take(pa.array(row)), pa.array(ta.signed(hashes)), pa.array((at - words.first[row]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, size, dtype=np.int32)), pa.array(ta.signed(values.reshape(-1))))],
-                        ["id", "text_id", "hash", "at", "slots"],
+                        [batch.column(0).slice(a, b - a).take(pa.array(row)), batch.column(1).slice(a, b - a).take(pa.array(row)), pa.array(ta.signed(hashes)), pa.array((at - words.first[row]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, size, dtype=np.int32)), pa.array(ta.signed(values.reshape(-1)))), pa.array(solid)],
+                        ["id", "text_id", "hash", "at", "slots", "solid"],
                     )
 
     return run
 
 
-WINDOWS = "id long, text_id long, hash long, at int, slots array<long>"
+WINDOWS = "id long, text_id long, hash long, at int, slots array<long>, solid boolean"
 
 
 def _texts(df: DataFrame, key: str) -> DataFrame:
@@ -136,7 +142,7 @@ def _filter_bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER) -> DataFrame:
     """(doc_id, text_id, item_id, n_windows, coverage, same_slots) of each document text and item it contains.
 
-    n_windows are the item's windows found with consistent slots, coverage their share of the item's,
+    n_windows are the item's windows found with consistent slots, coverage their share of the item's (or of those with a form, the greater),
     same_slots whether all slot values are the item's own.
     """
     context = docs.sparkSession.sparkContext
@@ -147,15 +153,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     for r in words.toLocalIterator():  # at most FILTER_BITS / 32 rows
         bits[r.word] = r.bits
     found = _texts(docs, "doc_id").mapInArrow(_window_rows(window, False, context.broadcast(bits.tobytes()), context.broadcast(sizes)), WINDOWS)
-    total = items.groupBy("id", "text_id").agg(F.countDistinct("at").alias("of")).select(F.col("id").alias("item_id"), F.col("text_id").alias("item_text"), "of")
-    theirs = items.select(F.col("id").alias("item_id"), F.col("text_id").alias("item_text"), "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"))
-    pairs = found.join(theirs, "hash").select("id", "text_id", "item_id", "item_text", "item_at", (F.col("at") - F.col("item_at")).alias("shift"), F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0).alias("slots"))
+    total = items.groupBy("id", "text_id").agg(F.countDistinct("at").alias("of"), F.countDistinct(F.when(F.col("solid"), F.col("at"))).alias("of_solid")).select(F.col("id").alias("item_id"), F.col("text_id").alias("item_text"), "of", "of_solid")
+    theirs = items.select(F.col("id").alias("item_id"), F.col("text_id").alias("item_text"), "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.max("solid").over(Window.partitionBy("id", "text_id", "at")).alias("item_solid"))
+    pairs = found.join(theirs, "hash").select("id", "text_id", "item_id", "item_text", "item_at", "item_solid", (F.col("at") - F.col("item_at")).alias("shift"), F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0).alias("slots"))
     place = ["id", "text_id", "item_id", "item_text", "shift"]
-    aligned = pairs.groupBy(*place).agg(F.collect_set("item_at").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    aligned = pairs.groupBy(*place).agg(F.collect_set("item_at").alias("at"), F.collect_set(F.when(F.col("item_solid"), F.col("item_at"))).alias("solid"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     values = F.transform("slots", lambda x: x["item_slots"])
     consistent = aligned.where(F.size("slots") == F.size(F.array_distinct(values))).withColumn("same", F.forall("slots", lambda x: x["item_slots"] == x["slots"]))
-    per_item = consistent.groupBy(*place[:-1]).agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"), F.bool_and("same").alias("same_slots"))
-    scored = per_item.join(total, ["item_id", "item_text"]).withColumn("coverage", F.col("n_windows") / F.col("of"))
+    per_item = consistent.groupBy(*place[:-1]).agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("solid")))).alias("n_solid"), F.bool_and("same").alias("same_slots"))
+    scored = per_item.join(total, ["item_id", "item_text"]).withColumn("coverage", F.greatest(F.col("n_windows") / F.col("of"), F.when(F.col("of_solid") > 0, F.col("n_solid") / F.col("of_solid")).otherwise(0.0)))
     return scored.where(F.col("coverage") >= cover).select(F.col("id").alias("doc_id"), "text_id", "item_id", "n_windows", "coverage", "same_slots")
 
 
