@@ -4,8 +4,9 @@ Words are canonicalised: numbers become <number>, capitalised words inside a sen
 all others count in lower case. Every 8 consecutive canonical words of a benchmark item and of a document are a
 template window. Windows with at least half plain words join on the hash of their form, denser ones on that of their words (so only
 word for word). Along one alignment (document position minus
-item position) each slot value of the item must always stand against the same value of the document: then the
-text is the item, or the item with other parameters; windows with inconsistent slots count for nothing.
+item position) each slot value of the item should stand against one value of the document: then the text is the item, or the
+item with other parameters. The commonest value counts (its places are counted; of equals the item's own, then the least hash); windows
+whose slots disagree with it count for nothing.
 
 A document is contaminated by an item if consistent windows cover at least half of the item's windows, or half of those of them that
 have a form: of the dense ones an item with other parameters cannot show any.
@@ -143,7 +144,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     """(doc_id, text_id, item_id, n_windows, coverage, same_slots) of each document text and item it contains.
 
     n_windows are the item's windows found with consistent slots, coverage their share of the item's (or of those with a form, the greater),
-    same_slots whether all slot values are the item's own.
+    same_slots whether all slot values are the item's own, in windows that disagree as well.
     """
     context = docs.sparkSession.sparkContext
     items = cut(_texts(benchmark, "item_id").where("id is not null").dropDuplicates(["id", "text_id"]).mapInArrow(_window_rows(window, True), WINDOWS))
@@ -155,12 +156,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     found = _texts(docs, "doc_id").mapInArrow(_window_rows(window, False, context.broadcast(bits.tobytes()), context.broadcast(sizes)), WINDOWS)
     total = items.groupBy("id", "text_id").agg(F.countDistinct("at").alias("of"), F.countDistinct(F.when(F.col("solid"), F.col("at"))).alias("of_solid")).select(F.col("id").alias("item_id"), F.col("text_id").alias("item_text"), "of", "of_solid")
     theirs = items.select(F.col("id").alias("item_id"), F.col("text_id").alias("item_text"), "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.max("solid").over(Window.partitionBy("id", "text_id", "at")).alias("item_solid"))
-    pairs = found.join(theirs, "hash").select("id", "text_id", "item_id", "item_text", "item_at", "item_solid", (F.col("at") - F.col("item_at")).alias("shift"), F.filter(F.arrays_zip("item_slots", "slots"), lambda x: x["item_slots"] != 0).alias("slots"))
+    slots = F.filter(F.transform(F.arrays_zip("item_slots", "slots"), lambda x, k: F.struct((F.col("item_at") + k).alias("at"), x["item_slots"].alias("mine"), x["slots"].alias("theirs"))), lambda x: x["mine"] != 0)
+    pairs = cut(found.join(theirs, "hash").select("id", "text_id", "item_id", "item_text", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_solid", slots.alias("slots")))
     place = ["id", "text_id", "item_id", "item_text", "shift"]
-    aligned = pairs.groupBy(*place).agg(F.collect_set("item_at").alias("at"), F.collect_set(F.when(F.col("item_solid"), F.col("item_at"))).alias("solid"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    values = F.transform("slots", lambda x: x["item_slots"])
-    consistent = aligned.where(F.size("slots") == F.size(F.array_distinct(values))).withColumn("same", F.forall("slots", lambda x: x["item_slots"] == x["slots"]))
-    per_item = consistent.groupBy(*place[:-1]).agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("solid")))).alias("n_solid"), F.bool_and("same").alias("same_slots"))
+    votes = pairs.select(*place, F.explode("slots").alias("x")).select(*place, "x.*").distinct().groupBy(*place, "mine", "theirs").agg(F.count("*").alias("n"))
+    best = votes.groupBy(*place, "mine").agg(F.min(F.struct((-F.col("n")).alias("n"), (F.col("mine") != F.col("theirs")).alias("other"), "theirs"))["theirs"].alias("theirs"))
+    chosen = best.groupBy(*place).agg(F.map_from_entries(F.collect_list(F.struct("mine", "theirs"))).alias("chosen")).select(*[F.col(c).alias("c_" + c) for c in place], "chosen")
+    on = F.lit(True)
+    for c in place:
+        on = on & pairs[c].eqNullSafe(F.col("c_" + c))
+    agrees = F.forall("slots", lambda x: F.element_at("chosen", x["mine"]) == x["theirs"])
+    judged = pairs.join(chosen, on, "left").select(*place, "item_at", "item_solid", F.forall("slots", lambda x: x["mine"] == x["theirs"]).alias("same"), F.coalesce(agrees, F.lit(True)).alias("agrees"))
+    aligned = judged.groupBy(*place).agg(F.collect_set(F.when(F.col("agrees"), F.col("item_at"))).alias("at"), F.collect_set(F.when(F.col("agrees") & F.col("item_solid"), F.col("item_at"))).alias("solid"), F.bool_and("same").alias("same")).where(F.size("at") > 0)
+    per_item = aligned.groupBy(*place[:-1]).agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_list("solid")))).alias("n_solid"), F.bool_and("same").alias("same_slots"))
     scored = per_item.join(total, ["item_id", "item_text"]).withColumn("coverage", F.greatest(F.col("n_windows") / F.col("of"), F.when(F.col("of_solid") > 0, F.col("n_solid") / F.col("of_solid")).otherwise(0.0)))
     return scored.where(F.col("coverage") >= cover).select(F.col("id").alias("doc_id"), "text_id", "item_id", "n_windows", "coverage", "same_slots")
 

@@ -18,3 +18,12 @@ def test_dense_items_word_for_word(spark):
 def test_dense_windows_take_nothing_from_templates(spark):
     item = "we know that every buyer pays the same price for 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24"
     assert judged(spark, [item], [item.translate(str.maketrans("0123456789", "5678901234"))]) == {0: "0"}
+
+
+LONG = "then we see that {0} gave away {1} ripe pears to the old man by the gate and later on that day {2} sold some {3} sweet plums to a tall woman on the bridge before {4} walked all the way home with nothing left"
+
+
+def test_a_deviating_slot_costs_its_windows_only(spark):
+    item = LONG.format("Anna", 3, "Anna", 3, "Anna")
+    docs = [LONG.format("Anna", 3, "Bert", 3, "Anna"), LONG.format("Carl", 5, "Carl", 7, "Carl"), LONG.format("Carl", 5, "Dora", 7, "Emil").replace(" ripe ", " bad ").replace(" tall ", " short ")]
+    assert judged(spark, [item], docs) == {0: "0", 1: "0", 2: ""}
