@@ -1,7 +1,8 @@
 """Benchmark decontamination (operator 4): template windows, hash-joined, with a check of slot consistency.
 
 Words are canonicalised: numbers become <number>, capitalised words inside a sentence <name>, unit words <unit>;
-all others count in lower case. Every 8 consecutive canonical words of a benchmark item and of a document are a
+all others count in lower case. A capitalised word that opens a sentence may be a name or not: windows with such words are taken in
+both readings, all of them plain and all of them <name>, and an item's window is found by either. Every 8 consecutive canonical words of a benchmark item and of a document are a
 template window. Windows with at least half plain words join on the hash of their form, denser ones on that of their words (so only
 word for word). Along one alignment (document position minus
 item position) each slot value of the item should stand against one value of the document: then the text is the item, or the
@@ -62,8 +63,8 @@ def _unit_hashes() -> np.ndarray:
 UNIT_HASHES = _unit_hashes()
 
 
-def canonical(raw: np.ndarray, offsets: np.ndarray) -> tuple[ta.Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, their lower-case hashes, their canonical hashes, and which are slots."""
+def canonical(raw: np.ndarray, offsets: np.ndarray) -> tuple[ta.Words, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Words, their lower-case hashes, and two readings, with words that open sentences plain and as names: canonical hashes and which are slots."""
     n = len(raw)
     digit, point = DIGIT[raw], POINT[raw]
     inner = np.zeros(n, bool)
@@ -75,10 +76,12 @@ def canonical(raw: np.ndarray, offsets: np.ndarray) -> tuple[ta.Words, np.ndarra
     before = np.concatenate([[0], words.end[:-1]])[: len(words.start)]
     opens = (stops[words.start] > stops[before]) | np.isin(np.arange(len(words.start)), words.first[:-1])
     number = digit[words.start] if len(words.start) else np.zeros(0, bool)
-    name = UPPER[raw[words.start]] & ~opens if len(words.start) else number
-    unit = np.isin(plain, UNIT_HASHES) & ~number & ~name
-    out = np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, plain)))
-    return words, plain, out, number | name | unit
+    capital = UPPER[raw[words.start]] if len(words.start) else number
+    readings = []
+    for name in (capital & ~opens, capital):
+        unit = np.isin(plain, UNIT_HASHES) & ~number & ~name
+        readings.append((np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, plain))), number | name | unit))
+    return words, plain, readings
 
 
 def _filter_places(hashes: np.ndarray) -> np.ndarray:
@@ -97,30 +100,34 @@ def _window_rows(window: int, named: bool, bits=None, known=None):
         for batch in batches:
             raw, offsets = ta.buffers(batch.column(2))
             for a, b in ta.chunks(offsets):
-                words, plain, form, slot = canonical(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                words, plain, readings = canonical(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 for size in sizes:
-                    at = np.flatnonzero(ta.inside(words.row, size))
+                    every = np.flatnonzero(ta.inside(words.row, size))
                     if named and size < window:
-                        at = at[np.diff(words.first)[words.row[at]] == size]
-                    if not len(at):
+                        every = every[np.diff(words.first)[words.row[every]] == size]
+                    if not len(every):
                         continue
-                    slots = np.concatenate([[0], np.cumsum(slot)])
-                    hashes = ta.windows(form, size)[at]
-                    solid = (slots[at + size] - slots[at]) * 2 <= size
-                    hashes = np.where(solid, hashes, ta.mix(ta.windows(plain, size)[at] ^ DENSE))
-                    good = np.ones(len(at), bool)
-                    if passes is not None:
-                        for place in _filter_places(hashes):
-                            good &= (passes[place >> 3] >> (place & 7) & 1).astype(bool)
-                    at, hashes, solid = at[good], hashes[good], solid[good]
-                    if not len(at):
-                        continue
-                    values = np.where(slot[at[:, None] + np.arange(size)] | ~solid[:, None], plain[at[:, None] + np.arange(size)], np.uint64(0))
-                    row = words.row[at]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(a, b - a).take(pa.array(row)), batch.column(1).slice(a, b - a).take(pa.array(row)), pa.array(ta.signed(hashes)), pa.array((at - words.first[row]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, size, dtype=np.int32)), pa.array(ta.signed(values.reshape(-1)))), pa.array(solid)],
-                        ["id", "text_id", "hash", "at", "slots", "solid"],
-                    )
+                    turned = np.concatenate([[0], np.cumsum(readings[0][0] != readings[1][0])])
+                    n_slots = [np.concatenate([[0], np.cumsum(slot)]) for _, slot in readings]
+                    n_slots = [n[every + size] - n[every] for n in n_slots]
+                    for k, (form, slot) in enumerate(readings):
+                        # The second reading only where it differs; a window dense in the first is the same row in both.
+                        chosen = (turned[every + size] > turned[every]) & (n_slots[0] * 2 <= size) if k else np.ones(len(every), bool)
+                        at, solid = every[chosen], n_slots[k][chosen] * 2 <= size
+                        hashes = np.where(solid, ta.windows(form, size)[at], ta.mix(ta.windows(plain, size)[at] ^ DENSE))
+                        good = np.ones(len(at), bool)
+                        if passes is not None:
+                            for place in _filter_places(hashes):
+                                good &= (passes[place >> 3] >> (place & 7) & 1).astype(bool)
+                        at, hashes, solid = at[good], hashes[good], solid[good]
+                        if not len(at):
+                            continue
+                        values = np.where(slot[at[:, None] + np.arange(size)] | ~solid[:, None], plain[at[:, None] + np.arange(size)], np.uint64(0))
+                        row = words.row[at]
+                        yield pa.RecordBatch.from_arrays(
+                            [batch.column(0).slice(a, b - a).take(pa.array(row)), batch.column(1).slice(a, b - a).take(pa.array(row)), pa.array(ta.signed(hashes)), pa.array((at - words.first[row]).astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, size, dtype=np.int32)), pa.array(ta.signed(values.reshape(-1)))), pa.array(solid)],
+                            ["id", "text_id", "hash", "at", "slots", "solid"],
+                        )
 
     return run
 

@@ -27,3 +27,10 @@ def test_a_deviating_slot_costs_its_windows_only(spark):
     item = LONG.format("Anna", 3, "Anna", 3, "Anna")
     docs = [LONG.format("Anna", 3, "Bert", 3, "Anna"), LONG.format("Carl", 5, "Carl", 7, "Carl"), LONG.format("Carl", 5, "Dora", 7, "Emil").replace(" ripe ", " bad ").replace(" tall ", " short ")]
     assert judged(spark, [item], docs) == {0: "0", 1: "0", 2: ""}
+
+
+def test_names_that_open_sentences(spark):
+    story = "{0} sold 48 clips in April. {0} sold half as many in May. {0} then gave the rest to a friend. {0} wants to know how many were sold in all."
+    short = "Which river runs past the old town?"
+    docs = [story.format("Natalia"), story.format("Maria").replace("48", "52"), 'They were asked, "Which river runs past the old town?" and left', "Nothing here"]
+    assert judged(spark, [story.format("Natalia"), short], docs) == {0: "0", 1: "0", 2: "1", 3: ""}
