@@ -173,7 +173,7 @@ a AS (SELECT x.*, split_part(spaced, ' ', 1) AS affix FROM x JOIN (SELECT key, m
 t AS (SELECT affix, count(DISTINCT key) AS n_keys, sum(n)::BIGINT AS total, round(coalesce(sum(n) FILTER (variant = key), 0) / sum(n), 6) AS glued_share FROM a GROUP BY affix)"""
 
 
-def _index(spark, sf_dir, most: int = 2):
+def _index(spark, sf_dir, most: int = 6):
     return spacing.ngram_index(lines(table(spark, sf_dir, "documents")).select("line"), most)
 
 
@@ -190,7 +190,7 @@ def spacing_conflicts_topk(spark, sf_dir):
 
 @query(f"WITH {_index_sql(4)} SELECT length(variant) - length(key) + 1 AS words, count(*) AS variants, sum(n)::BIGINT AS n, max(n) AS most FROM x GROUP BY ALL")
 def ngram_index(spark, sf_dir):
-    x = _index(spark, sf_dir, 4)
+    x = _index(spark, sf_dir)
     return x.groupBy((F.length("variant") - F.length("key") + 1).cast("long").alias("words")).agg(F.count("*").alias("variants"), F.sum("n").alias("n"), F.max("n").alias("most"))
 
 
@@ -215,7 +215,7 @@ def series_satellites(spark, sf_dir):
 SELECT tail, sum(n)::BIGINT AS occurrences, count(DISTINCT head) AS heads, sum(n)::BIGINT + 10 * count(DISTINCT head) AS score FROM p GROUP BY tail HAVING count(DISTINCT head) >= 5""")
 def pattern_support(spark, sf_dir):
     """Second words of spaced pairs, with how often and after how many first words they stand."""
-    p = _index(spark, sf_dir).where("variant != key").select(F.substring_index("variant", " ", -1).alias("tail"), F.substring_index("variant", " ", 1).alias("head"), "n")
+    p = _index(spark, sf_dir, 2).where("variant != key").select(F.substring_index("variant", " ", -1).alias("tail"), F.substring_index("variant", " ", 1).alias("head"), "n")
     s = p.groupBy("tail").agg(F.sum("n").alias("occurrences"), F.countDistinct("head").alias("heads")).where("heads >= 5")
     return s.withColumn("score", F.col("occurrences") + 10 * F.col("heads"))
 
