@@ -72,8 +72,8 @@ def asof_decision(spark, sf_dir):
 
 @query("SELECT o_custkey, o_orderkey, o_orderdate + INTERVAL 30 DAY AS expires_at FROM orders WHERE o_custkey % 10 = 3 AND o_orderdate + INTERVAL 30 DAY > TIMESTAMP '1999-01-01'")
 def ttl_listing(spark, sf_dir):
-    """Unexpired rows of some customers, newest first."""
-    o = table(spark, sf_dir, "orders").where("o_custkey % 10 = 3").withColumn("expires_at", F.col("o_orderdate") + F.expr("interval 30 days"))
+    """Unexpired rows of all customers, newest first."""
+    o = table(spark, sf_dir, "orders").withColumn("expires_at", F.col("o_orderdate") + F.expr("interval 30 days"))
     return o.where("expires_at > timestamp'1999-01-01'").select("o_custkey", "o_orderkey", "expires_at").orderBy(F.desc("expires_at"), "o_orderkey")
 
 

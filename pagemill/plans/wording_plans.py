@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..functions import wording
 from ..operators import layout
-from ..sources.tables import table
+from ..sources.tables import lines, table
 
 LATIN = "a-zA-Z"
 SUFFIXES = ["ations", "ation", "ings", "ing", "ed", "es", "s", "e"]
@@ -58,9 +58,8 @@ def tail_words(spark, sf_dir):
 
 @query("""SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(string_split_regex(l, '[ \\t\\n\\r\\f]+'), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '[''`´‘’“”„«»「」『』]', '', 'g'), '^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$', '', 'g')), lambda x: x <> ''), ' ') AS form FROM (SELECT doc_id, split_part(text, chr(10), 1) AS l FROM documents)""")
 def unmarked_forms(spark, sf_dir):
-    """First lines without marks at the ends of their words."""
-    first = F.substring_index("text", "\n", 1)
-    return table(spark, sf_dir, "documents").select("doc_id", wording.without_marks(first, LATIN).alias("form"))
+    """Lines without marks at the ends of their words."""
+    return lines(table(spark, sf_dir, "documents")).select("doc_id", F.col("line_num").cast("long").alias("line_num"), wording.without_marks(F.col("line"), LATIN).alias("form"))
 
 
 PART_FORM = "p_size || ' ' || p_name || p_size || ' ' || p_size || 'x ' || p_size"

@@ -45,3 +45,37 @@ def test_six_words(spark, tmp_path):
     heads = [a for a in series if len(a) >= 4]
     singles = {k: [a for a in heads if k.startswith(a) and len(a) < len(k)] for k, f in forms.items() if len(f) == 1}
     assert set(run("series_satellites")) == {(k, max(a, key=len)) for k, a in singles.items() if a}
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_titles_of_any_letters_and_length(spark, tmp_path):
+    items = ["Élan vital à la carte. x", "Plain title here. y", "Über die Straße " + "lang " * 60]
+    docs = ["Élan vital a la carte. z", "Élan. z", "Plain title hère. q", "Über die Strasse " + "lang " * 59, "Über alles. q", "Other"]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {}
+    for i, text in enumerate(items):
+        title = text.split(".")[0]
+        for other in {d.split(".")[0] for d in docs}:
+            x, y = (v.replace(" ", "").lower() for v in (title, other))
+            score = round(1 - distance(x, y) / max(len(x), len(y)), 6)
+            if title.split(" ")[0] == other.split(" ")[0] and score >= 0.2:
+                expected[i] = min(expected.get(i, (0, "")), (-score, other))
+    got = {r.item_id: (-r.score, r.other) for r in catalogue.queries()["title_similarity"](spark, str(tmp_path)).collect()}
+    assert got == expected and set(got) == {0, 1, 2}
+
+
+def test_every_line_and_customer(spark, tmp_path):
+    spark.createDataFrame([(1, "'one', two.\n(three) four!")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k, "1998-12-20") for k in range(12)] + [(12, 99, "1998-01-01")], "o_orderkey long, o_custkey long, d string").selectExpr("o_orderkey", "o_custkey", "cast(d as timestamp_ntz) as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    q = catalogue.queries()
+    assert sorted((r.line_num, r.form) for r in q["unmarked_forms"](spark, str(tmp_path)).collect()) == [(0, "one two"), (1, "three four")]
+    assert sorted(r.o_custkey for r in q["ttl_listing"](spark, str(tmp_path)).collect()) == list(range(12))
