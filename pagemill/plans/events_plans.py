@@ -116,10 +116,9 @@ def upload_ordinal_bucket(spark, sf_dir):
 @query("SELECT user_id, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day, count(DISTINCT event_id) AS n FROM events GROUP BY ALL")
 def consumed_stream(spark, sf_dir):
     """Daily counts by Structured Streaming over the events folder, taken once."""
-    stream = quota.daily_counts(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema, lateness="40 days")
+    stream = quota.daily_counts(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema, lateness=None)
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
-    name = f"consumed_{uuid.uuid4().hex}"
-    return quota.run_once(stream, name, f"{shared}/{name}")
+    return quota.run_once(stream, f"{shared}/consumed_{uuid.uuid4().hex}")
 
 
 @query("SELECT event_id, user_id, event_type, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, day ORDER BY ts, event_id) = 1")

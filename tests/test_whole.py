@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 from pagemill.plans import catalogue
+from pagemill.streaming import quota
 
 LINES = ["note book note book notebook", "in so far as it goes", "insofarasit goes insofar as", "a b c d e f g", "abcdef abcdef a b c d e f", "notebooks notebookish insofarasitgoes", "note pad notepad notepad notepad notepad notepad notepad notepad"]
 
@@ -79,3 +80,23 @@ def test_every_line_and_customer(spark, tmp_path):
     q = catalogue.queries()
     assert sorted((r.line_num, r.form) for r in q["unmarked_forms"](spark, str(tmp_path)).collect()) == [(0, "one two"), (1, "three four")]
     assert sorted(r.o_custkey for r in q["ttl_listing"](spark, str(tmp_path)).collect()) == list(range(12))
+
+
+def test_stream_of_a_long_history_out_of_order(spark, tmp_path):
+    days = ["2024-06-01", "2024-01-01", "2024-09-01", "2024-02-01", "2023-01-01", "2024-06-01"]
+    rows = [(k, k % 2, f"{d} 01:00:00") for k, d in enumerate(days)]
+    for k, row in enumerate(rows + rows[:2]):
+        spark.createDataFrame([row], "event_id long, user_id long, d string").selectExpr("event_id", "user_id", "cast(d as timestamp) as ts").coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+    for k in range(8):
+        (tmp_path / "in" / f"part={k}" / "_SUCCESS").unlink()
+    stream = quota.daily_counts(spark, f"{tmp_path}/in/*", "*.parquet", "event_id long, user_id long, ts timestamp", lateness=None, files_per_trigger=1)
+    got = quota.run_once(stream, f"{tmp_path}/out")
+    assert Counter({(r.user_id, r.day): r.n for r in got.collect()}) == Counter((u, d[:10]) for _, u, d in rows)
+    assert got.inputFiles()
+
+
+def test_registered_stream_drops_no_late_event(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quota, "run_once", lambda stream, *rest: seen.append(stream._jdf.queryExecution().analyzed().toString()))
+    catalogue.queries()["consumed_stream"](spark, "/root/testdata/sf0.001")
+    assert "EventTimeWatermark" not in seen[0] and "Deduplicate" in seen[0]
