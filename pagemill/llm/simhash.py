@@ -7,7 +7,7 @@ varies in so few bits that its number of distinct fingerprints is bounded by a c
 
 In a bucket, fingerprints stand as bit planes (one word holds one bit of 64 fingerprints). A query is compared with 64 of
 them at a time: each plane's differences are added to carry-save counters preset so that their
-overflow means "more than radius", and the block is abandoned once every lane has overflowed. A
+overflow means "more than radius"; a word is abandoned once each of its lanes has overflowed, a query's own and earlier lanes from the start. A
 bucket gives a spanning forest, never all its pairs.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; a row with a null doc_id keeps its fingerprint
@@ -82,23 +82,37 @@ def planes(fps: np.ndarray) -> np.ndarray:
     return np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64)
 
 
-def near(queries: np.ndarray, sliced: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes [queries, words] within the radius, by carry-save counters over the bit planes."""
+def near(queries: np.ndarray, sliced: np.ndarray, radius: int, over: np.ndarray | None = None) -> np.ndarray:
+    """Lanes [queries, words] within the radius, by carry-save counters over the bit planes; lanes preset in ``over`` are left out."""
     width = (radius + 1).bit_length()
     preset = (1 << width) - (radius + 1)
     ones = np.uint64(0xFFFFFFFFFFFFFFFF)
     shape = (len(queries), sliced.shape[1])
-    counters = [np.full(shape, ones if preset >> k & 1 else np.uint64(0)) for k in range(width)]
-    over = np.zeros(shape, np.uint64)
+    out = np.full(shape, ones) if over is None else ~over
+    q, w = np.nonzero(out)
+    over = ~out[q, w]
+    counters = [np.full(len(q), ones if preset >> k & 1 else np.uint64(0)) for k in range(width)]
+    out[:] = 0
     for b in range(BITS):
-        mask = np.where(queries >> np.uint64(b) & np.uint64(1), ones, np.uint64(0))[:, None]
-        carry = sliced[b][None, :] ^ mask
+        mask = np.where(queries >> np.uint64(b) & np.uint64(1), ones, np.uint64(0))
+        carry = sliced[b][w] ^ mask[q]
         for k in range(width):
             counters[k], carry = counters[k] ^ carry, counters[k] & carry
         over |= carry
-        if b % 8 == 7 and (over == ones).all():
-            break
-    return ~over
+        if b % 8 == 7:
+            on = np.flatnonzero(over != ones)
+            if len(on) < len(q):
+                q, w, over, counters = q[on], w[on], over[on], [c[on] for c in counters]
+            if not len(q):
+                break
+    out[q, w] = ~over
+    return out
+
+
+def _lanes_up_to(n: int, words: int) -> np.ndarray:
+    """Lanes [n, words] of n queries' own places and those before, the first query standing in the first lane."""
+    places = np.arange(words * 64)
+    return np.packbits(places[None, :] <= np.arange(n)[:, None], axis=1, bitorder="little").view(np.uint64)
 
 
 def bucket_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,9 +121,12 @@ def bucket_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     label = np.arange(n)
     sliced = planes(fps)
     for a in range(0, n, 64):
-        hits = np.unpackbits(near(fps[a : a + 64], sliced, radius).view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
-        for i in np.flatnonzero(hits.sum(axis=1) > 1):
-            trees = np.unique(label[hits[i]])
+        queries = fps[a : a + 64]
+        # Pairs once: of a query only the lanes behind it, so words before this one are not read at all.
+        later = sliced[:, a // 64 :]
+        hits = np.unpackbits(near(queries, later, radius, _lanes_up_to(len(queries), later.shape[1])).view(np.uint8), axis=1, bitorder="little")[:, : n - a].astype(bool)
+        for i in np.flatnonzero(hits.any(axis=1)):
+            trees = np.unique(np.append(label[a:][hits[i]], label[a + i]))
             if len(trees) > 1:
                 label[np.isin(label, trees)] = trees[0]
     moved = np.flatnonzero(label != np.arange(n))
