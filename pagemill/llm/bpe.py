@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import textarrays as ta
+from .session import in_batches
 
 # Fixed value: the published pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -33,7 +34,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 QUICK_PATTERN = r""" ?[^\W\d_]+|'(?:[stmd]|re|ve|ll)| ?\d+| ?[^\s\w]+|\s+(?!\S)|\s+"""
 NOT_QUICK = r"[^\t\n\r -\^`-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
 #: Words kept with their ids by each Python worker; the cache starts anew beyond it.
-CACHE = 150_000
+CACHE = 100_000
 #: Most bytes of the words that are merged side by side and cached, in arrays of these widths.
 SHORT_BYTES = (16, 32, 64)
 #: The rank of a pair that is not merged.
@@ -208,7 +209,7 @@ def _encode(path: str, names: list[str], at: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            for a, b in ta.chunks(ta.buffers(batch.column(at))[1], 1 << 20):
+            for a, b in ta.chunks(ta.buffers(batch.column(at))[1]):
                 part = batch.slice(a, b - a)
                 ids = c.encode_all([t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(names))], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [*names, "n_tokens", "ids"])
@@ -220,8 +221,8 @@ def _decode(path: str, names: list[str], at: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
+            for a, b in ta.chunks(ta.buffers(batch.column(at))[1]):
+                part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(names))], pa.array([c.decode(x or b"") for x in part.column(at).to_pylist()], pa.string())], [*names, "decoded"])
 
     return run
@@ -234,10 +235,10 @@ def _with(df: DataFrame, *new: T.StructField) -> T.StructType:
 def encode(docs: DataFrame, path: str, column: str = "text") -> DataFrame:
     """docs with n_tokens and ids (binary, little-endian unsigned 32-bit); columns of these names are replaced."""
     base = docs.drop("n_tokens", "ids")
-    return base.mapInArrow(_encode(path, base.columns, base.columns.index(column)), _with(base, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())))
+    return in_batches(base, _encode(path, base.columns, base.columns.index(column)), _with(base, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())))
 
 
 def decode(rows: DataFrame, path: str, column: str = "ids") -> DataFrame:
     """rows with decoded, the text of their ids; a null counts as no ids."""
     base = rows.drop("decoded")
-    return base.mapInArrow(_decode(path, base.columns, base.columns.index(column)), _with(base, T.StructField("decoded", T.StringType())))
+    return in_batches(base, _decode(path, base.columns, base.columns.index(column)), _with(base, T.StructField("decoded", T.StringType())))

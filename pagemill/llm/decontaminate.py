@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
-from .session import cut, whole_text
+from .session import cut, in_batches, whole_text
 
 WINDOW = 8
 COVER = 0.5
@@ -154,13 +154,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     same_slots whether all slot values are the item's own, in windows that disagree as well.
     """
     context = docs.sparkSession.sparkContext
-    items = cut(_texts(benchmark, "item_id").where("id is not null").dropDuplicates(["id", "text_id"]).mapInArrow(_window_rows(window, True), WINDOWS))
+    items = cut(in_batches(_texts(benchmark, "item_id").where("id is not null").dropDuplicates(["id", "text_id"]), _window_rows(window, True), WINDOWS))
     sizes = [r.n for r in items.select(F.size("slots").alias("n")).distinct().collect()]  # at most ``window`` numbers
-    words = items.select("hash").distinct().mapInArrow(_filter_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = in_batches(items.select("hash").distinct(), _filter_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     bits = np.zeros(FILTER_BITS // 32, np.uint32)
     for r in words.toLocalIterator():  # at most FILTER_BITS / 32 rows
         bits[r.word] = r.bits
-    found = _texts(docs, "doc_id").mapInArrow(_window_rows(window, False, context.broadcast(bits.tobytes()), context.broadcast(sizes)), WINDOWS)
+    found = in_batches(_texts(docs, "doc_id"), _window_rows(window, False, context.broadcast(bits.tobytes()), context.broadcast(sizes)), WINDOWS)
     total = items.groupBy("id", "text_id").agg(F.countDistinct("at").alias("of"), F.countDistinct(F.when(F.col("solid"), F.col("at"))).alias("of_solid")).select(F.col("id").alias("item_id"), F.col("text_id").alias("item_text"), "of", "of_solid")
     theirs = items.select(F.col("id").alias("item_id"), F.col("text_id").alias("item_text"), "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.max("solid").over(Window.partitionBy("id", "text_id", "at")).alias("item_solid"))
     slots = F.filter(F.transform(F.arrays_zip("item_slots", "slots"), lambda x, k: F.struct((F.col("item_at") + k).alias("at"), x["item_slots"].alias("mine"), x["slots"].alias("theirs"))), lambda x: x["mine"] != 0)

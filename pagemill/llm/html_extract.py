@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from . import lstm
 from .html_blocks import Block, blocks, features
-from .session import sampled
+from .session import in_batches, sampled
 
 SAMPLE = 160
 SAMPLE_CHARS = 60_000
@@ -150,4 +150,4 @@ def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     short = base.select("html").where((F.length("html") <= SAMPLE_CHARS) & F.col("html").isNotNull())
     weights = base.sparkSession.sparkContext.broadcast(fit(sampled(short, "html", sample, pages.count())))
     schema = T.StructType([*[f for f in base.schema.fields if f.name != "html"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    return base.mapInArrow(_extract(weights, base.columns, base.columns.index("html")), schema)
+    return in_batches(base, _extract(weights, base.columns, base.columns.index("html")), schema)

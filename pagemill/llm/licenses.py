@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .session import in_batches
+
 # Phrases of the base contract and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 # Further notice phrases and their labels.
@@ -157,5 +159,5 @@ def scan_licenses(docs: DataFrame, column: str = "text", keep_text: bool = False
     """docs with n_words, n_base, first_word, last_word, base_labels, labels and score; columns of these names are replaced."""
     base = docs.drop(*[n for n, _, _ in FIELDS])
     schema = T.StructType([*base.schema.fields, *[T.StructField(n, kind) for n, kind, _ in FIELDS]])
-    out = base.mapInArrow(_scan(base.columns, base.columns.index(column)), schema)
+    out = in_batches(base, _scan(base.columns, base.columns.index(column)), schema)
     return out if keep_text else out.drop(column)

@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
-from .session import sampled, whole_text
+from .session import in_batches, sampled, whole_text
 
 SAMPLE = 6000
 SAMPLE_CHARS = 100_000
 DIMS = 1024
+#: Texts measured at a time at most.
+PART_ROWS = 250
 KEEP = 0.5
 #: Words by which a text's evidence is thinned, so that a few odd words do not condemn a short text.
 SHORT = 4
@@ -114,10 +116,10 @@ def votes(measures: np.ndarray, empty: np.ndarray) -> np.ndarray:
 
 def _chunks(text: pa.Array):
     raw, offsets = ta.buffers(text)
-    for a, b in ta.chunks(offsets, 1 << 20):
+    for a, b in ta.chunks(offsets):
         # DIMS counts a row: short texts go in parts of bounded row counts.
-        for c in range(a, b, 2000):
-            d = min(b, c + 2000)
+        for c in range(a, b, PART_ROWS):
+            d = min(b, c + PART_ROWS)
             part = raw[offsets[c] : offsets[d]]
             yield ta.split(part, offsets[c : d + 1] - offsets[c], ~ta.WHITE[part]), part, offsets[c : d + 1] - offsets[c]
 
@@ -181,7 +183,7 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 600, rate: float = 1.
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """The weak-label model over all docs, and the scorer fitted on a sample of at most so many texts."""
     text = docs.select(whole_text().alias("text"))
-    found = text.mapInArrow(_vote_rows, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # at most 3**labellers rows
+    found = in_batches(text, _vote_rows, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()  # at most 3**labellers rows
     patterns = _unpack(np.array([r.pattern for r in found], np.int64)) if found else np.zeros((0, len(LABELLERS)), np.int64)
     model = expectation_maximisation(patterns, np.array([r.n for r in found], float))
     short = text.where((F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0))
@@ -221,4 +223,4 @@ def classify(docs: DataFrame, sample: int = SAMPLE, keep: float = KEEP) -> DataF
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
     base = docs.drop(*[n for n, _ in FIELDS])
     schema = T.StructType([*base.schema.fields, *[T.StructField(n, kind) for n, kind in FIELDS]])
-    return base.mapInArrow(_score(model, base.columns, base.columns.index("text"), keep), schema)
+    return in_batches(base, _score(model, base.columns, base.columns.index("text"), keep), schema)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .components import components
-from .session import cut, whole_text
+from .session import cut, in_batches, whole_text
 
 SHINGLE = 3
 RADIUS = 2
@@ -71,19 +71,25 @@ def _fingerprints(shingle: int):
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp long) of every row."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), _fingerprints(shingle), "doc_id long, fp long")
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """Bit planes [64, words]: bit i of word w of plane b is bit b of fingerprint 64*w+i."""
-    n = -(-len(fps) // 64) * 64
-    bits = np.zeros((n, BITS), np.uint8)
-    bits[: len(fps)] = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64)
+    """Bit planes [bits, words] of fingerprints of one or several 64-bit words each: bit i of word w of plane b is bit b of fingerprint 64*w+i."""
+    fps = fps.reshape(len(fps), -1)
+    width = fps.shape[1] * 64
+    out = np.zeros((width, -(-len(fps) // 64)), np.uint64)
+    for a in range(0, len(fps), 1 << 13):
+        part = np.ascontiguousarray(fps[a : a + (1 << 13)])
+        bits = np.zeros((-(-len(part) // 64) * 64, width), np.uint8)
+        bits[: len(part)] = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        out[:, a // 64 : a // 64 + len(bits) // 64] = np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64)
+    return out
 
 
 def near(queries: np.ndarray, sliced: np.ndarray, radius: int, over: np.ndarray | None = None) -> np.ndarray:
     """Lanes [queries, words] within the radius, by carry-save counters over the bit planes; lanes preset in ``over`` are left out."""
+    queries = queries.reshape(len(queries), -1)
     width = (radius + 1).bit_length()
     preset = (1 << width) - (radius + 1)
     ones = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -93,8 +99,8 @@ def near(queries: np.ndarray, sliced: np.ndarray, radius: int, over: np.ndarray
     over = ~out[q, w]
     counters = [np.full(len(q), ones if preset >> k & 1 else np.uint64(0)) for k in range(width)]
     out[:] = 0
-    for b in range(BITS):
-        mask = np.where(queries >> np.uint64(b) & np.uint64(1), ones, np.uint64(0))
+    for b in range(len(sliced)):
+        mask = np.where(queries[:, b // 64] >> np.uint64(b % 64) & np.uint64(1), ones, np.uint64(0))
         carry = sliced[b][w] ^ mask[q]
         for k in range(width):
             counters[k], carry = counters[k] ^ carry, counters[k] & carry
@@ -192,7 +198,7 @@ def links(base: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataFram
     subs = F.coalesce(*[F.when(F.col("part") == k, again(k)) for k in range(len(pairs))])
     warm = dealt.join(hot, ["part", "key"], "left_semi").select("part", "key", "fp", "node", F.explode(subs).alias("x")).select((F.col("part") + 100 * F.col("x.turn")).alias("part"), "key", "fp", "node", F.col("x.bits").alias("sub"))
     rows = cold.unionByName(warm).select("part", "key", "sub", "fp", "node")
-    return rows.repartition("part", "key", "sub").sortWithinPartitions("part", "key", "sub").mapInArrow(_links(radius), "a long, b long").distinct()
+    return in_batches(rows.repartition("part", "key", "sub").sortWithinPartitions("part", "key", "sub"), _links(radius), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -209,14 +215,3 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs without near duplicates: of each component, the row of the smallest doc_id stays (one of equal ones).
-
-    Rows without a doc_id stay.
-    """
-    found = near_duplicates(docs, shingle, radius).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    with_id = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    kept = with_id.join(found, with_id["doc_id"].cast("long") == found["__kept"], "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textarrays as ta
+from .session import in_batches
 
 WINDOW = 13
 GRAM = 5
@@ -236,21 +237,21 @@ def removal_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     base, key, text = _plain(docs)
     doc, body = F.col(key).cast("long"), F.coalesce(F.col(text), F.lit(""))
     text_id = F.shiftright(F.xxhash64(body), 32).cast("int")
-    hashed = base.select(doc.alias("doc_id"), text_id.alias("text_id"), F.xxhash64(body).alias("t1"), F.xxhash64(body, F.lit(1)).alias("t2")).where("doc_id is not null")
+    hashed = base.select(doc.alias("doc_id"), text_id.alias("text_id"), F.xxhash64(body).alias("t1"), F.xxhash64(F.lit(1), body).alias("t2")).where("doc_id is not null")
     groups = hashed.groupBy("t1", "t2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     copies = hashed.join(groups, ["t1", "t2"]).where("doc_id > least").select("doc_id", "text_id")
     copied = copies.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("text_id").alias("__copied"))
 
     first = base.join(copied, doc == F.col("__doc"), "left")
     asked = first.select(doc.alias("doc_id"), body.alias("text"), (doc.isNotNull() & ~F.coalesce(F.array_contains("__copied", text_id), F.lit(False))).alias("asked"))
-    seeds = asked.mapInArrow(_seed_rows(window, gram), SEEDS)
+    seeds = in_batches(asked, _seed_rows(window, gram), SEEDS)
     by_hash = lambda h: F.when(F.col("settled") == OPEN, F.col(h)).otherwise(F.col("doc_id"))
-    shared = seeds.repartition(by_hash("seed")).sortWithinPartitions("settled", "seed").mapInArrow(_shared_seeds, "seed long, doc_id long")
+    shared = in_batches(seeds.repartition(by_hash("seed")).sortWithinPartitions("settled", "seed"), _shared_seeds, "seed long, doc_id long")
     by_doc = shared.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("seed").alias("__seeds"))
 
     candidates = base.join(by_doc, doc == F.col("__doc"), "left").select(doc.alias("doc_id"), body.alias("text"), text_id.alias("text_id"), F.col("__seeds").alias("seeds"))
-    rows = candidates.mapInArrow(_window_rows(window, gram), WINDOWS)
-    repeated = rows.repartition(by_hash("h1")).sortWithinPartitions("settled", "h1", F.shiftright("h2_text", 32), "doc_id").mapInArrow(_repeated, SPANS)
+    rows = in_batches(candidates, _window_rows(window, gram), WINDOWS)
+    repeated = in_batches(rows.repartition(by_hash("h1")).sortWithinPartitions("settled", "h1", F.shiftright("h2_text", 32), "doc_id"), _repeated, SPANS)
     everything = repeated.unionByName(copies.select("doc_id", "text_id", F.lit(0).alias("start"), F.lit(ALL).alias("end")))
     return everything.groupBy("doc_id").agg(F.collect_list(F.struct("text_id", "start", "end")).alias("spans"))
 
@@ -305,4 +306,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, clea
     joined = base.join(spans, F.col(key).cast("long") == F.col("__doc"), "left")
     mine = joined.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(keep)], F.filter("spans", lambda x: x["text_id"] == text_id).alias("__spans"))
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    return mine.mapInArrow(_apply(keep, keep.index("text"), window, clean_layout), schema)
+    return in_batches(mine, _apply(keep, keep.index("text"), window, clean_layout), schema)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time; a longer single text is a chunk of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 # Odd multipliers of the two independent polynomials and of the mixer.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
