@@ -158,8 +158,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     sizes = [r.n for r in items.select(F.size("slots").alias("n")).distinct().collect()]  # at most ``window`` numbers
     words = in_batches(items.select("hash").distinct(), _filter_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     bits = np.zeros(FILTER_BITS // 32, np.uint32)
-    for r in words.toLocalIterator():  # at most FILTER_BITS / 32 rows
-        bits[r.word] = r.bits
+    filled = words.toArrow()  # at most FILTER_BITS / 32 rows
+    bits[filled["word"].to_numpy()] = filled["bits"].to_numpy()
     found = in_batches(_texts(docs, "doc_id"), _window_rows(window, False, context.broadcast(bits.tobytes()), context.broadcast(sizes)), WINDOWS)
     total = items.groupBy("id", "text_id").agg(F.countDistinct("at").alias("of"), F.countDistinct(F.when(F.col("solid"), F.col("at"))).alias("of_solid")).select(F.col("id").alias("item_id"), F.col("text_id").alias("item_text"), "of", "of_solid")
     theirs = items.select(F.col("id").alias("item_id"), F.col("text_id").alias("item_text"), "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.max("solid").over(Window.partitionBy("id", "text_id", "at")).alias("item_solid"))

@@ -6,8 +6,9 @@ Fingerprints of 64 bits cannot tell that similarity, so each set has one of 256
    leave a text. The order is by hash, common shingles last.
 2. *First of a bucket.* Every set is held against the first of each of its buckets, so a large group of near copies becomes one
    component without all its pairs.
-3. *The others.* Sets of a bucket that are still in different components are compared by bit planes and carry-save
-   counters as in ``simhash``; a large bucket is dealt into blocks, and pairs of blocks are compared apart.
+3. *The others.* In a small bucket, sets that are still in different components are compared one by one by their fingerprints. A
+   large bucket is dealt into blocks of bounded rows and shingles; a pair of blocks is compared by bit planes and carry-save
+   counters as in ``simhash``, what is left by counts of shared shingles, and only a spanning forest of the links leaves it.
 4. *Exact check.* Pairs within RADIUS bits are compared by their whole sets.
 
 RADIUS is 5 standard deviations above the bits in which sets of similarity 0.8 differ (of 256 about 39, of sets of
@@ -38,10 +39,10 @@ SHINGLE = 5
 COMMON = 32
 WORDS = 4
 RADIUS = 80
-#: Rows of a bucket from which it is dealt into blocks of about that size.
-BUCKET = 8192
 #: Rows of a bucket up to which rows are compared one by one.
 SMALL = 48
+#: Rows and shingles of a block of a larger bucket, about.
+BLOCK, BLOCK_ITEMS = 1024, 1 << 20
 PRINT = [f"f{k}" for k in range(WORDS)]
 
 
@@ -57,8 +58,8 @@ def _filter(df: DataFrame) -> bytes:
     """Bloom filter of a column of hashes, of a fixed size."""
     words = in_batches(df.distinct(), _filter_bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     bits = np.zeros(FILTER_BITS // 32, np.uint32)
-    for r in words.toLocalIterator():  # at most FILTER_BITS / 32 rows
-        bits[r.word] = r.bits
+    found = words.toArrow()  # at most FILTER_BITS / 32 rows
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
     return bits.tobytes()
 
 
@@ -94,14 +95,14 @@ def wide_fingerprint(h: np.ndarray) -> np.ndarray:
 
 
 def _sets(size: int, what: str, bits=None):
-    """Rows of texts' shingle sets: "keys" (rid, doc_id, key, n), "prefix" (shingle, key, n, pos) or "sets" (rid, key, fingerprint, items).
+    """Rows of texts' shingle sets: "keys" (rid, doc_id, key, n), "prefix" (shingle, key, n, pos), "prints" (key, fingerprint) or "sets" (key, items).
 
-    The filter holds the common shingles of "prefix" and the wanted row ids of "sets".
+    The filter holds the common shingles of "prefix" and the wanted row ids of the last two.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if what == "sets":
+            if what in ("prints", "sets"):
                 batch = batch.filter(pa.array(_passes(bits.value, batch.column(0).to_numpy().view(np.uint64))))
             raw, offsets = ta.buffers(batch.column(2))
             for a, b in ta.chunks(offsets):
@@ -118,11 +119,11 @@ def _sets(size: int, what: str, bits=None):
                     pos = np.arange(len(h)) - first[row]
                     at = np.flatnonzero(pos <= n[row] // 5)
                     yield pa.RecordBatch.from_arrays([pa.array(ta.signed(h[at])), pa.array(ta.signed(key[row[at]])), pa.array(n[row[at]].astype(np.int32)), pa.array(pos[at].astype(np.int32))], ["shingle", "key", "n", "pos"])
+                elif what == "sets":
+                    yield pa.RecordBatch.from_arrays([pa.array(ta.signed(key)), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ta.signed(h)))], ["key", "items"])
                 elif b > a:
                     prints = np.stack([wide_fingerprint(h[i:j]) for i, j in zip(first[:-1], first[1:], strict=True)])
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).slice(a, b - a), pa.array(ta.signed(key)), *[pa.array(ta.signed(prints[:, k].copy())) for k in range(WORDS)], pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ta.signed(h)))], ["rid", "key", *PRINT, "items"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(ta.signed(key)), *[pa.array(ta.signed(prints[:, k].copy())) for k in range(WORDS)]], ["key", *PRINT])
 
     return run
 
@@ -167,81 +168,113 @@ def _may(n: np.ndarray, pos: np.ndarray, m: np.ndarray, other: np.ndarray) -> np
     return (np.minimum(n, m) * 5 >= np.maximum(n, m) * 4) & (np.minimum(n - pos, m - other) * 9 >= (n + m) * 4)
 
 
-def _block_pairs(fps: np.ndarray, root: np.ndarray, block: np.ndarray, cross: bool, n: np.ndarray, pos: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j), i < j, within the radius, of different roots, and of different blocks if ``cross``."""
-    size = len(fps)
-    sliced = planes(fps)
-    lanes = sliced.shape[1] * 64
-    for a in range(0, size, 64):
-        m = min(64, size - a)
-        skip = np.ones((m, lanes - a), bool)
-        skip[:, : size - a] = (root[a : a + m, None] == root[None, a:]) | (np.arange(size - a)[None, :] <= np.arange(m)[:, None])
-        if cross:
-            skip[:, : size - a] |= block[a : a + m, None] == block[None, a:]
-        if skip.all():
-            continue
-        hits = near(fps[a : a + m], sliced[:, a // 64 :], RADIUS, np.packbits(skip, axis=1, bitorder="little").view(np.uint64))
-        i, j = np.nonzero(np.unpackbits(hits.view(np.uint8), axis=1, bitorder="little")[:, : size - a])
-        i, j = i + a, j + a
-        good = _may(n[i], pos[i], n[j], pos[j])
-        yield i[good], j[good]
-
+def _groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of rows sorted by keys, with the places where they begin and the end; one group may wait for the next batch."""
+    held: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
+        head = np.zeros(max(0, len(t) - 1), bool)
+        for x in keys:
+            c = t.column(x).to_numpy()
+            head |= c[1:] != c[:-1]
+        at = np.concatenate([[0], np.flatnonzero(head) + 1])
+        if len(at) > 1:
+            yield t.slice(0, at[-1]), at
+        held = t.slice(at[-1])
+    if held is not None and len(held):
+        yield held, np.array([0, len(held)])
 
-def _others(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shingle, low, high): candidate pairs (a, b) of keys of each such block pair."""
 
-    def done(t: pa.Table) -> Iterator[pa.RecordBatch]:
+def _neighbours(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of small buckets, sorted by shingle: pairs (a, b) of keys of different roots within the radius. Row against the d-th row after it, all buckets at once."""
+    for t, at in _groups(batches, ["shingle"]):
         c = {x: t.column(x).to_numpy() for x in t.column_names}
-        head = np.ones(len(t), bool)
-        for x in ("shingle", "low", "high"):
-            head[1:] &= c[x][1:] == c[x][:-1]
-        head[1:] = ~head[1:]
+        bucket = np.repeat(np.arange(len(at) - 1), np.diff(at))
         fps = np.stack([c[x] for x in PRINT], axis=1).view(np.uint64)
-        at = np.append(np.flatnonzero(head), len(t))
-        sizes = np.diff(at)
-        small = np.repeat(sizes <= SMALL, sizes)
-        bucket = np.cumsum(head)
-
-        def out(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-            x, y = c["key"][i], c["key"][j]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-
-        # Small buckets side by side, row against the d-th row after it: a word of bit planes would stand mostly empty.
-        for d in range(1, int(sizes[sizes <= SMALL].max(initial=0))):
-            i = np.flatnonzero((bucket[:-d] == bucket[d:]) & small[d:] & (c["root"][:-d] != c["root"][d:]))
-            j = i + d
-            good = _may(c["n"][i], c["pos"][i], c["n"][j], c["pos"][j]) & ((c["low"][i] == c["high"][i]) | (c["block"][i] != c["block"][j]))
-            i, j = i[good], j[good]
-            near_by = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1) <= RADIUS
-            if near_by.any():
-                yield out(i[near_by], j[near_by])
+        for d in range(1, int(np.diff(at).max())):
+            i = np.flatnonzero((bucket[:-d] == bucket[d:]) & (c["root"][:-d] != c["root"][d:]))
+            i = i[_may(c["n"][i], c["pos"][i], c["n"][i + d], c["pos"][i + d])]
+            i = i[np.bitwise_count(fps[i] ^ fps[i + d]).sum(axis=1) <= RADIUS]
+            if len(i):
+                x, y = c["key"][i], c["key"][i + d]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
+def shared_counts(items: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Shared items of each two rows [rows, rows]; items of many rows by a product of matrices, the others pair by pair."""
+    order = np.lexsort((row, items))
+    row = row[order]
+    at = np.flatnonzero(np.concatenate([[True], np.diff(items[order]) != 0, [True]]))
+    sizes = np.diff(at)
+    many = sizes > SMALL
+    out = np.zeros((rows, rows), np.float32)
+    for chunk in np.array_split(np.flatnonzero(many), -(-int(many.sum()) // 512) or 1):
+        has = np.zeros((rows, len(chunk)), np.float32)
+        for k, c in enumerate(chunk):
+            has[row[at[c] : at[c + 1]], k] = 1
+        out += has @ has.T
+    item = np.repeat(np.arange(len(sizes)), sizes)
+    few = ~many[item]
+    for d in range(1, int(sizes[~many].max(initial=0))):
+        i = np.flatnonzero((item[:-d] == item[d:]) & few[d:])
+        np.add.at(out, (row[i], row[i + d]), 1)
+        np.add.at(out, (row[i + d], row[i]), 1)
+    return out
+
+
+def block_links(fps: np.ndarray, root: np.ndarray, n: np.ndarray, items: np.ndarray, cut_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between rows of different roots: places (i, j). Sets are items[cut_at[i]:cut_at[i+1]]."""
+    size = len(fps)
+    sliced = planes(fps)
+    close = np.zeros((size, size), bool)
+    for a in range(0, size, 64):
+        skip = np.ones((min(64, size - a), sliced.shape[1] * 64), bool)
+        skip[:, :size] = root[a : a + 64, None] == root[None]
+        if not skip.all():
+            hits = near(fps[a : a + 64], sliced, RADIUS, np.packbits(skip, axis=1, bitorder="little").view(np.uint64))
+            close[a : a + 64] = np.unpackbits(hits.view(np.uint8), axis=1, bitorder="little")[:, :size]
+    if not close.any():
+        return np.zeros(0, int), np.zeros(0, int)
+    shared = shared_counts(items, np.repeat(np.arange(size), np.diff(cut_at)), size)
+    close &= shared * 9 >= (n[:, None] + n[None]) * 4
+    label = np.unique(root, return_inverse=True)[1]
+    ends: list[tuple[int, int]] = []
+    for i in np.flatnonzero(close.any(axis=1)):
+        for j in np.flatnonzero(close[i]):
+            if label[i] != label[j]:
+                ends.append((i, j))
+                label[label == label[j]] = label[i]
+    i, j = np.array(ends, int).reshape(-1, 2).T
+    return i, j
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of pairs of blocks of large buckets, sorted by (shingle, low, high): a forest of their links (a, b)."""
+    for t, at in _groups(batches, ["shingle", "low", "high"]):
         for s, e in zip(at[:-1], at[1:], strict=True):
-            if e - s <= SMALL or (c["root"][s:e] == c["root"][s]).all():
+            part = t.slice(s, e - s).combine_chunks()
+            c = {x: part.column(x).to_numpy() for x in part.column_names if x != "items"}
+            if (c["root"] == c["root"][0]).all():
                 continue
-            for i, j in _block_pairs(fps[s:e], c["root"][s:e], c["block"][s:e], bool(c["low"][s] != c["high"][s]), c["n"][s:e], c["pos"][s:e]):
-                if len(i):
-                    yield out(s + i, s + j)
+            lists = part.column("items").chunk(0)
+            i, j = block_links(np.stack([c[x] for x in PRINT], axis=1).view(np.uint64), c["root"], c["n"].astype(np.int64), lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]))
+            yield pa.RecordBatch.from_arrays([pa.array(c["key"][i]), pa.array(c["key"][j])], ["a", "b"])
 
-    held: pa.Table | None = None
-    for batch in batches:
-        t = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-        s, low, high = (t.column(x).to_numpy() for x in ("shingle", "low", "high"))
-        heads = np.flatnonzero((s[1:] != s[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]))
-        last = int(heads[-1]) + 1 if len(heads) else 0
-        if last:
-            yield from done(t.slice(0, last))
-        held = t.slice(last)
-    if held is not None and len(held):
-        yield from done(held)
+
+def _of_keys(texts: DataFrame, keys: DataFrame, wanted: DataFrame, what: str, size: int) -> DataFrame:
+    """Prints or sets of the wanted keys, from one text each; the filter lets a few others through."""
+    rids = keys.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("rid").alias("rid")).select("rid")
+    schema = "key long, " + ("items array<long>" if what == "sets" else ", ".join(f"{x} long" for x in PRINT))
+    return in_batches(texts, _sets(size, what, texts.sparkSession.sparkContext.broadcast(_filter(rids))), schema).dropDuplicates(["key"])
 
 
-def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of keys whose sets have a similarity of 0.8; only pairs within the radius see the sets."""
-    prints = sets.select("key", *PRINT)
+def _similar(pairs: DataFrame, prints: DataFrame, texts: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """Those of the pairs (a, b) of keys whose sets have a similarity of 0.8; only sets with a partner within the radius are read."""
     for side in ("a", "b"):
         pairs = pairs.join(prints.select(F.col("key").alias(side), *[F.col(x).alias(side + x) for x in PRINT]), side)
     apart = sum((F.bit_count(F.col("a" + x).bitwiseXOR(F.col("b" + x))) for x in PRINT[1:]), F.bit_count(F.col("af0").bitwiseXOR(F.col("bf0"))))
-    close = pairs.where(apart <= RADIUS).select("a", "b")
+    close = cut(pairs.where(apart <= RADIUS).select("a", "b"))
+    sets = cut(_of_keys(texts, keys, close.select(F.explode(F.array("a", "b")).alias("key")), "sets", size))
     both = close.join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y")).cast("long")
     return both.where(shared * 9 >= (F.size("x") + F.size("y")) * 4).select("a", "b")
@@ -265,19 +298,22 @@ def classes(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     turn = cut(members.where(may).select(F.col("first").alias("a"), F.col("key").alias("b")).distinct())
     late = members.where(~F.col("alone")).select("shingle", "key", "n", "pos")
     wanted = turn.select(F.explode(F.array("a", "b")).alias("key")).unionByName(late.select("key")).distinct()
-    chosen = keys.groupBy("key").agg(F.min("rid").alias("rid")).join(wanted, "key")
-    found = in_batches(texts, _sets(size, "sets", context.broadcast(_filter(chosen.select("rid")))), "rid long, key long, " + ", ".join(f"{x} long" for x in PRINT) + ", items array<long>")
-    # Of equal rows, and of rows that only the filter lets through, one of each key is left.
-    sets = cut(found.groupBy("key").agg(F.first(F.struct(*PRINT, "items")).alias("x")).select("key", "x.*"))
-    links = cut(_similar(turn, sets))
-
-    named = late.join(sets.select("key", *PRINT), "key").join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    blocks = named.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("shingle", F.ceil(F.col("rows") / BUCKET).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("key", "shingle"), F.col("blocks")).cast("int")
-    dealt = named.join(blocks, "shingle").withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "key", "root", "n", "pos", *PRINT)
-    rest = in_batches(dealt.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high"), _others, "a long, b long").distinct()
-    links = links.unionByName(_similar(rest, sets))
+    prints = cut(_of_keys(texts, keys, wanted, "prints", size))
+    links = cut(_similar(turn, prints, texts, keys, size))
+
+    named = late.join(prints, "key").join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    buckets = named.groupBy("shingle").agg(F.count("*").alias("rows"), F.sum("n").alias("items"), F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
+    named = cut(named.join(buckets.select("shingle", "rows", "items"), "shingle"))
+    small = named.where(F.col("rows") <= SMALL).select("shingle", "key", "root", "n", "pos", *PRINT)
+    rest = in_batches(small.repartition("shingle").sortWithinPartitions("shingle"), _neighbours, "a long, b long").distinct()
+
+    large = named.where(F.col("rows") > SMALL)
+    sets = _of_keys(texts, keys, large.select("key").distinct(), "sets", size)
+    blocks = F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int")
+    dealt = large.withColumn("blocks", blocks).drop("items").join(sets, "key").withColumn("block", F.pmod(F.xxhash64("key", "shingle"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "key", "root", "n", *PRINT, "items")
+    found = in_batches(dealt.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high"), _blocks, "a long, b long")
+    links = links.unionByName(_similar(rest, prints, texts, keys, size)).unionByName(found)
     return keys.join(components(links).withColumnRenamed("node", "key"), "key", "left").select("rid", "doc_id", "n", F.coalesce("root", "key").alias("root"))
 
 

@@ -67,7 +67,8 @@ def test_rows_of_one_id_and_rows_without_words(spark):
 
 
 def test_large_bucket_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(cp.simhash_sets, "BUCKET", 60)
+    monkeypatch.setattr(cp.simhash_sets, "BLOCK", 60)
+    monkeypatch.setattr(cp.simhash_sets, "BLOCK_ITEMS", 3000)
     random.seed(5)
     base = [f"w{k}" for k in range(60)]
     rows = []
