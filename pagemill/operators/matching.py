@@ -2,26 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..sources.tables import Rule
+
+
+FOUND = "rule int, replace string, leading_boundary boolean, category string, before string, start long, matched string"
 
 
-def positions(df: DataFrame, text: str = "text", pattern: str = "pattern") -> DataFrame:
-    """One row per match of the pattern column: df's other columns, before (the character before it), start and matched.
+def compiled(rules: list[Rule]) -> tuple[list[tuple[Rule, regex.Pattern]], list[tuple[int, str]]]:
+    """Enabled rules with their patterns, and (rule, error) of those whose pattern cannot be read: these match nothing and stop no run."""
+    good, bad = [], []
+    for r in rules:
+        try:
+            if r.enabled:
+                good.append((r, regex.compile(r.pattern())))
+        except regex.error as e:
+            bad.append((r.ord, str(e)))
+    return good, bad
 
-    Offsets are code points from 0. Pieces between matches and matches alternate, so a match starts after a running
-    sum of lengths; it is taken by a window over the row's own matches, which stays linear in a text's length.
+
+def positions(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """One row per match of each enabled rule: docs' other columns, the rule's, before (the character before it), start and matched.
+
+    Offsets are code points from 0. A task reads each text once, in Arrow batches, with every rule compiled once; the text
+    goes no further, there is no shuffle, and any number of rules will do. A null text has no matches.
     """
-    keep = [c for c in df.columns if c not in (text, pattern)]
-    hits = df.where(F.expr(f"{text} rlike {pattern}")).withColumn("__row", F.monotonically_increasing_id())
-    parts = F.arrays_zip(F.expr(f"split({text}, {pattern}, -1)").alias("piece"), F.expr(f"regexp_extract_all({text}, {pattern}, 0)").alias("matched"))
-    each = hits.select(*keep, "__row", F.posexplode(parts).alias("k", "x")).select(*keep, "__row", "k", F.col("x.piece").alias("piece"), F.col("x.matched").alias("matched"))
-    so_far = Window.partitionBy("__row").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("piece") + F.coalesce(F.length("matched"), F.lit(0))).over(so_far), F.lit(0)) + F.length("piece")
-    last = F.lag("matched").over(Window.partitionBy("__row").orderBy("k"))
-    before = F.when(F.length("piece") > 0, F.expr("right(piece, 1)")).otherwise(F.expr("right(__last, 1)"))
-    placed = each.withColumn("start", start.cast("long")).withColumn("__last", last)
-    return placed.where("matched is not null and matched != ''").select(*keep, F.coalesce(before, F.lit("")).alias("before"), "start", "matched")
+    keep = [c for c in docs.columns if c != text]
+    patterns = compiled(rules)[0]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, out = [], []
+            for k, t in enumerate(batch.column(len(keep)).to_pylist()):
+                for r, p in patterns if t else ():
+                    for m in p.finditer(t):
+                        if m.end() > m.start():
+                            rows.append(k)
+                            out.append((r.ord, r.replace, r.leading_boundary, r.category, t[m.start() - 1 : m.start()] if m.start() else "", m.start(), m[0]))
+            kept = batch.take(pa.array(rows, pa.int64()))
+            kinds = [pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.string()]
+            columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in range(len(keep))], *[pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]], [*keep, *[x.split()[0] for x in FOUND.split(", ")]])
+
+    base = docs.select(*keep, text)
+    return base.mapInArrow(run, T.StructType([*[base.schema[c] for c in keep], *T._parse_datatype_string(FOUND).fields]))
 
 
 def leading_boundary(matches: DataFrame) -> DataFrame:

@@ -11,10 +11,15 @@ def ngram_index(lines: DataFrame, most: int = 6, shortest: int = 1) -> DataFrame
     Partial counts meet before the shuffle, so a frequent n-gram sends one row per task.
     """
     words = lines.select(F.filter(F.split("line", " "), lambda w: w != "").alias("w"))
-    starts = words.where(F.size("w") > 0).select("w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("s"))
-    sizes = starts.select("w", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.size("w") - F.col("s") + 1))).alias("m"))
-    grams = sizes.select(F.array_join(F.slice("w", F.col("s"), F.col("m")), " ").alias("variant"))
-    return grams.withColumn("key", F.regexp_replace("variant", " ", "")).where(F.length("key") >= shortest).groupBy("key", "variant").agg(F.count("*").alias("n"))
+
+    # The n-grams are built inside the row, each from the one a word shorter, so that only strings are exploded and no row carries its line's words.
+    grown = words.withColumn("g1", F.col("w"))
+    for m in range(2, most + 1):
+        left = F.size("w") - (m - 1)
+        longer = F.zip_with(F.slice(f"g{m - 1}", F.lit(1), left), F.slice("w", F.lit(m), left), lambda x, y: F.concat(x, F.lit(" "), y))
+        grown = grown.withColumn(f"g{m}", F.when(left > 0, longer).otherwise(F.array().cast("array<string>")))
+    grams = grown.select(F.explode(F.flatten(F.array(*[f"g{m}" for m in range(1, most + 1)]))).alias("variant"))
+    return grams.withColumn("key", F.translate("variant", " ", "")).where(F.length("key") >= shortest).groupBy("key", "variant").agg(F.count("*").alias("n"))
 
 
 def conflicts(index: DataFrame) -> DataFrame:
@@ -31,9 +36,15 @@ def conflicts(index: DataFrame) -> DataFrame:
 
 def with_affix(index: DataFrame) -> DataFrame:
     """Variants of conflicting keys with their series affix: the first word of the key's first spaced form by name."""
+    forms = F.collect_list(F.struct("variant", "n")).alias("forms")
+    keys = index.groupBy("key").agg(*_two_forms(), forms).where("g and spaced is not null")
+    return keys.select("key", F.substring_index("spaced", " ", 1).alias("affix"), F.inline("forms"))
+
+
+def _two_forms() -> list:
+    """Aggregates of a key: its first spaced form by name, and whether it has the glued one."""
     spaced = F.when(F.col("variant") != F.col("key"), F.col("variant"))
-    keys = index.groupBy("key").agg(F.min(spaced).alias("spaced"), F.bool_or(F.col("variant") == F.col("key")).alias("g")).where("g and spaced is not null")
-    return index.join(keys.select("key", F.substring_index("spaced", " ", 1).alias("affix")), "key")
+    return [F.min(spaced).alias("spaced"), F.bool_or(F.col("variant") == F.col("key")).alias("g")]
 
 
 def series_trend(variants: DataFrame) -> DataFrame:
@@ -44,18 +55,24 @@ def series_trend(variants: DataFrame) -> DataFrame:
 
 def series_majority(variants: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(affix, key, preselected): in series leaning one way by the threshold, each key's form of that way."""
-    trend = series_trend(variants).where((F.col("glued_share") >= threshold) | (F.col("glued_share") <= round(1 - threshold, 6))).select("affix", (F.col("glued_share") >= threshold).alias("to_glued"))
-    form = F.col("variant") == F.col("key")
-    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("variant").alias("variant")))["variant"]
-    return variants.join(trend, "affix").where(form == F.col("to_glued")).groupBy("affix", "key").agg(best.alias("preselected"))
+    glued = F.col("variant") == F.col("key")
+    best = lambda which: F.min(F.when(which, F.struct((-F.col("n")).alias("n"), F.col("variant").alias("variant"))))["variant"]
+    keys = variants.groupBy("affix", "key").agg(F.sum("n").alias("total"), F.sum(F.when(glued, F.col("n")).otherwise(0)).alias("glued"), best(glued).alias("one"), best(~glued).alias("several"))
+    series = Window.partitionBy("affix")
+    share = F.round(F.coalesce(F.sum("glued").over(series) / F.sum("total").over(series), F.lit(0.5)), 6)
+    leaning = keys.withColumn("share", share).where((F.col("share") >= threshold) | (F.col("share") <= round(1 - threshold, 6)))
+    return leaning.select("affix", "key", F.when(F.col("share") >= threshold, F.col("one")).otherwise(F.col("several")).alias("preselected")).where("preselected is not null")
 
 
-def satellites(index: DataFrame, affixes: DataFrame, shortest: int = 4) -> DataFrame:
+def satellites(index: DataFrame, shortest: int = 4) -> DataFrame:
     """(key, affix): keys with one form alone, given to the longest series affix they begin with (of equals there is one).
 
-    The join is on equal prefixes of every length, not on a startswith condition, so it hashes.
+    The join is on equal prefixes of every length, not on a startswith condition, so it hashes. Both sides come from one
+    grouping of the index by key, whose exchange Spark reuses.
     """
-    single = index.groupBy("key").agg(F.count("*").alias("k")).where("k = 1").select("key")
+    keys = index.groupBy("key").agg(F.count("*").alias("k"), *_two_forms())
+    single = keys.where("k = 1 and (g or spaced is not null)").select("key")
+    affixes = keys.where("k >= 2 and g and spaced is not null").select(F.substring_index("spaced", " ", 1).alias("affix")).where(F.length("affix") >= shortest)
     lengths = F.explode(F.sequence(F.lit(shortest), F.length("key") - 1)).alias("len")
     heads = single.where(F.length("key") > shortest).select("key", lengths).select("key", "len", F.expr("substring(key, 1, len)").alias("affix"))
     hit = heads.join(affixes.select("affix").distinct(), "affix")

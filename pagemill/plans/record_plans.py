@@ -70,7 +70,7 @@ def asof_decision(spark, sf_dir):
     return o.groupBy("o_custkey").agg(F.max_by("o_orderpriority", F.struct("o_orderdate", "o_orderkey")).alias("pinned"), F.max("o_orderdate").alias("at"))
 
 
-@query("SELECT o_custkey, o_orderkey, o_orderdate + INTERVAL 30 DAY AS expires_at FROM orders WHERE o_custkey % 10 = 3 AND o_orderdate + INTERVAL 30 DAY > TIMESTAMP '1999-01-01'")
+@query("SELECT o_custkey, o_orderkey, o_orderdate + INTERVAL 30 DAY AS expires_at FROM orders WHERE o_orderdate + INTERVAL 30 DAY > TIMESTAMP '1999-01-01'")
 def ttl_listing(spark, sf_dir):
     """Unexpired rows of all customers, newest first."""
     o = table(spark, sf_dir, "orders").withColumn("expires_at", F.col("o_orderdate") + F.expr("interval 30 days"))
@@ -133,9 +133,10 @@ def shadowed_titles(spark, sf_dir):
 FROM n a JOIN n b ON a.p_name < b.p_name AND length(a.p_name) = length(b.p_name) AND hamming(a.p_name, b.p_name) <= 2 WHERE levenshtein(a.p_name, b.p_name) <= 2""")
 def near_form_pairs(spark, sf_dir):
     """Names of equal length that differ in at most two characters: equal once the same two places are blanked, so the join hashes."""
-    n = table(spark, sf_dir, "part").select("p_name").distinct().where("length(p_name) >= 2")
-    i = n.select("p_name", F.explode(F.sequence(F.lit(1), F.length("p_name") - 1)).alias("i"))
+    n = table(spark, sf_dir, "part").select("p_name").distinct()
+    short = n.where("length(p_name) = 1").select("p_name", F.lit("").alias("k"))  # any two letters differ in one place
+    i = n.where("length(p_name) >= 2").select("p_name", F.explode(F.sequence(F.lit(1), F.length("p_name") - 1)).alias("i"))
     ij = i.select("p_name", "i", F.explode(F.sequence(F.col("i") + 1, F.length("p_name"))).alias("j"))
-    keyed = ij.select("p_name", "i", "j", F.expr("concat(substring(p_name, 1, i - 1), '\\u0001', substring(p_name, i + 1, j - i - 1), '\\u0001', substring(p_name, j + 1))").alias("k"))
+    keyed = ij.select("p_name", "i", "j", F.expr("concat(substring(p_name, 1, i - 1), '\\u0001', substring(p_name, i + 1, j - i - 1), '\\u0001', substring(p_name, j + 1))").alias("k")).select("p_name", "k").unionByName(short)
     pairs = keyed.alias("x").join(keyed.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.p_name") < F.col("y.p_name"))).select(F.col("x.p_name").alias("a"), F.col("y.p_name").alias("b")).distinct()
     return pairs.withColumn("distance", F.levenshtein("a", "b"))

@@ -56,7 +56,7 @@ def tail_words(spark, sf_dir):
     return _words(spark, sf_dir).where(wording.has_tail(F.col("word"), TAILS))
 
 
-@query("""SELECT doc_id, array_to_string(list_filter(list_transform(list_filter(string_split_regex(l, '[ \\t\\n\\r\\f]+'), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '[''`´‘’“”„«»「」『』]', '', 'g'), '^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$', '', 'g')), lambda x: x <> ''), ' ') AS form FROM (SELECT doc_id, split_part(text, chr(10), 1) AS l FROM documents)""")
+@query("""SELECT doc_id, line_num, array_to_string(list_filter(list_transform(list_filter(string_split_regex(l, '[ \\t\\n\\r\\f]+'), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '[''`´‘’“”„«»「」『』]', '', 'g'), '^[^a-zA-Z0-9]+|[^a-zA-Z0-9]+$', '', 'g')), lambda x: x <> ''), ' ') AS form FROM (SELECT doc_id, unnest(range(0, len(s))) AS line_num, unnest(s) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))""")
 def unmarked_forms(spark, sf_dir):
     """Lines without marks at the ends of their words."""
     return lines(table(spark, sf_dir, "documents")).select("doc_id", F.col("line_num").cast("long").alias("line_num"), wording.without_marks(F.col("line"), LATIN).alias("form"))

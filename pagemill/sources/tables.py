@@ -7,9 +7,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most rules of one run; rules travel as literals of the plan.
-MOST_RULES = 1000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -40,16 +37,16 @@ def literal(text: str) -> str:
     return " +".join("".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in part) for part in text.split(" "))
 
 
-def with_rules(docs: DataFrame, rules: list[Rule]) -> DataFrame:
-    """docs once for each enabled rule, with its columns; a bounded list of literals, so no join and no shuffle."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; the most is {MOST_RULES}")
-    rows = [F.struct(F.lit(r.ord).alias("rule"), F.lit(r.pattern()).alias("pattern"), F.lit(r.replace).alias("replace"), F.lit(r.leading_boundary).alias("leading_boundary"), F.lit(r.category).alias("category")) for r in rules if r.enabled]
-    return docs.select("*", F.explode(F.array(*rows)).alias("r")).select(*docs.columns, "r.*")
-
-
 def lines(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, line_num, start, line): lines of each text and the offset at which each begins."""
-    split = docs.select(key, F.posexplode(F.split("text", "\n", -1)).alias("line_num", "line"), F.split("text", "\n", -1).alias("all"))
-    before = F.aggregate(F.slice("all", F.lit(1), F.col("line_num")), F.lit(0), lambda acc, x: acc + F.length(x) + 1)
-    return split.select(key, "line_num", before.alias("start"), "line")
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    one_more = lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts"))
+    # Offsets by blocks of 256 lines: an array that grows by one line at a time is copied each time, so it has to stay short.
+    split = docs.select(key, F.split("text", "\n", -1).alias("all"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / 256).cast("int")), lambda b: F.slice("all", b * 256 + 1, F.lit(256)))
+    sizes = F.transform(F.col("blocks"), lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + F.length(x) + 1))
+    split = split.where(F.size("all") > 0).select(key, blocks.alias("blocks")).select(key, "blocks", sizes.alias("sizes"))
+    each = split.select(key, F.aggregate("sizes", empty, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")))["starts"].alias("base"), "blocks")
+    each = each.select(key, F.posexplode(F.arrays_zip("base", "blocks")).alias("block", "x")).select(key, "block", F.col("x.base").alias("base"), F.col("x.blocks").alias("part"))
+    placed = each.select(key, "block", "base", F.posexplode(F.arrays_zip(F.aggregate("part", empty, one_more)["starts"].alias("start"), F.col("part").alias("line"))).alias("k", "x"))
+    return placed.select(key, (F.col("block") * 256 + F.col("k")).alias("line_num"), (F.col("base") + F.col("x.start")).alias("start"), F.col("x.line").alias("line"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as fn
 from pagemill.operators import events, matching, merging
 from pagemill.plans import catalogue
-from pagemill.sources.tables import Rule, lines, with_rules
+from pagemill.sources.tables import Rule, lines
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark conversations".split()
@@ -38,7 +38,7 @@ def test_equals_sql(spark, con, name):
 @pytest.mark.parametrize("parts", [1, 5])
 def test_match_offsets_whatever_the_partitions(spark, parts):
     docs = spark.createDataFrame([(1, "조선시대입니다."), (2, "고려 시대와 조선시대, a조선시대"), (3, None)], "doc_id long, text string").repartition(parts)
-    m = matching.positions(with_rules(docs, [Rule(1, "조선시대", leading_boundary=True), Rule(2, "x", enabled=False)]))
+    m = matching.positions(docs, [Rule(1, "조선시대", leading_boundary=True), Rule(2, "x", enabled=False), Rule(3, "(?", regex=True)])
     assert sorted((r.doc_id, r.start, r.before) for r in m.collect()) == [(1, 0, ""), (2, 7, " "), (2, 14, "a")]
     assert matching.leading_boundary(m).count() == 2
 
