@@ -62,6 +62,8 @@ class Codec:
             a, b = (bytes(byte_of[c] for c in x) for x in (merge.split(" ") if isinstance(merge, str) else merge))
             keys.append(self.pieces[a] << 20 | self.pieces[b])
             into.append(self.pieces[a + b])
+        #: Whether every piece comes from one merge. Then a pair with the new piece ranks behind the merge that made it.
+        self.one_way = len(set(into)) == len(into)
         order = np.argsort(keys)
         #: Pairs in order, the rank of each, and the id that each rank's pair becomes.
         self.pairs, self.pair_rank, self.into = np.array(keys)[order], order.astype(np.int32), np.array(into, np.int32)
@@ -131,14 +133,18 @@ class Codec:
         return out
 
     def merge_long(self, word: bytes) -> bytes:
-        """Ids of a very long word: deleted boundaries are stepped over by links, and a scan takes all places of its least rank, left to right."""
+        """Ids of a very long word: deleted boundaries are stepped over by links, and a scan takes all places of its least rank, left to right.
+
+        All of them at once is right if no merge can bring a smaller rank, which holds where every piece comes from one merge; else
+        a scan takes one place.
+        """
         ids = self.byte_id[np.frombuffer(word, np.uint8)].copy()
         n = len(ids)
         rank = np.append(self.ranks(ids[:-1], ids[1:]), NONE)
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         alive = np.ones(n, bool)
         while (least := int(rank.min())) != NONE:
-            for k in np.flatnonzero(rank == least).tolist():
+            for k in np.flatnonzero(rank == least)[: None if self.one_way else 1].tolist():
                 if rank[k] != least:
                     continue
                 gone = right[k]
