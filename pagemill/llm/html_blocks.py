@@ -18,11 +18,15 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 # Elements that end an open element of the same kind.
 SELF_CLOSING = set("p li dt dd tr td th option".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{DROPPED})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>[^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+#: Attributes up to the end of the tag; a quote opens a value only after an equals sign.
+ATTRS = r"""(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{DROPPED})\b{ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>{ATTRS})(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+#: Of a block's open elements the outermost and the innermost so many make its path, each with so many words of its names.
+OUTER, INNER, NAME_WORDS = 6, 10, 8
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 PARTS = re.compile(r"[a-z]+")
 
-PATH_DIMS, WORD_DIMS, DENSE_DIMS = 96, 32, 10
+PATH_DIMS, WORD_DIMS, DENSE_DIMS = 128, 96, 12
 DIMS = PATH_DIMS + WORD_DIMS + DENSE_DIMS
 
 
@@ -39,12 +43,14 @@ def blocks(html: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked = depth = 0
+    opened: dict[str, int] = {}
 
     def flush():
         nonlocal linked
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            out.append(Block(tuple(t for _, names in stack for t in names), text, linked))
+            path = stack if len(stack) <= OUTER + INNER else stack[:OUTER] + stack[-INNER:]
+            out.append(Block(tuple(t for _, names in path for t in names), text, linked))
         parts.clear()
         linked = 0
 
@@ -67,14 +73,19 @@ def blocks(html: str) -> list[Block]:
         flush()
         depth = 0
         if m["end"]:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if opened.get(tag):
+                while True:
+                    last_open = stack.pop()[0]
+                    opened[last_open] -= 1
+                    if last_open == tag:
+                        break
         elif tag not in VOID and not m["attrs"].endswith("/"):
             if tag in SELF_CLOSING and stack and stack[-1][0] == tag:
                 stack.pop()
+                opened[tag] -= 1
             words = [w for n in NAMES.findall(m["attrs"]) for w in PARTS.findall("".join(n).lower())] if m["attrs"] else []
-            stack.append((tag, (tag, *(f".{w}" for w in words))))
+            stack.append((tag, (tag, *(f".{w}" for w in words[:NAME_WORDS]))))
+            opened[tag] = opened.get(tag, 0) + 1
     if len(html) > last:
         parts.append(html[last:])
     flush()
@@ -130,7 +141,9 @@ def features(pages: list[list[Block]]) -> list[np.ndarray]:
         dense[:, 4] = n_words < 8
         dense[:, 5] = [b.text[-1] in ".!?" for b in flat]
         dense[:, 6] = ["©" in b.text for b in flat]
-        dense[:, 7] = [len(b.path) / 10 for b in flat]
+        dense[:, 7] = [min(len(b.path), 40) / 10 for b in flat]
+        dense[:, 8] = [b.link_chars > 0 for b in flat]
+        dense[:, 9] = [bool(b.path) and b.path[-1] in ("h1", "h2", "h3") for b in flat]
     bounds = np.concatenate([[0], np.cumsum([len(p) for p in pages])]).astype(int)
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if b > a:

@@ -30,15 +30,18 @@ SAMPLE = 160
 SAMPLE_CHARS = 60_000
 #: Blocks of a training page at most; longer ones are cut for training alone.
 TRAIN_BLOCKS = 60
-LAYOUTS = 3
+LAYOUTS = 4
 
 # Names of containers, by what they hold.
 MAIN_NAMES = ["article", "main", 'div class="content"', 'div id="content"', 'div class="post"', 'div class="entry-content"', 'section class="article-body"', 'div class="story"', 'div id="main"', 'div class="text"', 'div role="main"', 'div class="post-body"']
-OTHER_NAMES = ["nav", "header", "footer", "aside", "form", 'div class="ad"', 'div class="ads banner"', 'div class="advert"', 'div class="sponsored promo"', 'div class="menu"', 'ul class="nav"', 'div id="menu"', 'div class="navbar"', 'div class="breadcrumb"', 'div class="sidebar"', 'div id="sidebar"', 'div class="widget"', 'div class="related"', 'div class="share social"', 'div class="footer"', 'div id="footer"', 'div id="header"', 'div class="header masthead"', 'div class="cookie notice"', 'div class="notice"', 'div class="newsletter subscribe"', 'form class="search"', 'form class="login"', 'div class="legal copyright"']
-COMMENT_NAMES = ['div class="comments"', 'section id="comments"', 'section class="comments"', 'div class="comment-list"', 'ol class="commentlist"', 'div class="reader-comments"', 'div class="replies"']
+OTHER_NAMES = ['div class="promo-box"', 'div class="promo"', 'div class="bottom"', 'div class="top-bar"', 'div class="site-info"', 'div id="colophon"', 'div class="banner-box"', 'div class="popup modal"', 'div class="toolbar"', 'div class="author-box"', 'div class="tags"', 'ul class="pagination"', 'div class="recommended"', 'div class="trending popular"', 'div class="alert"', 'div role="navigation"', 'div role="contentinfo"', "nav", "header", "footer", "aside", "form", 'div class="ad"', 'div class="ads banner"', 'div class="advert"', 'div class="sponsored promo"', 'div class="menu"', 'ul class="nav"', 'div id="menu"', 'div class="navbar"', 'div class="breadcrumb"', 'div class="sidebar"', 'div id="sidebar"', 'div class="widget"', 'div class="related"', 'div class="share social"', 'div class="footer"', 'div id="footer"', 'div id="header"', 'div class="header masthead"', 'div class="cookie notice"', 'div class="notice"', 'div class="newsletter subscribe"', 'form class="search"', 'form class="login"', 'div class="legal copyright"']
+COMMENT_NAMES = ['div id="disqus_thread"', 'section class="comment-section"', 'div id="comments-area"', 'div class="discussion"', 'div class="responses"', 'div id="respond"', 'section class="reactions"', 'div class="feedback thread"', 'div class="comments"', 'section id="comments"', 'section class="comments"', 'div class="comment-list"', 'ol class="commentlist"', 'div class="reader-comments"', 'div class="replies"']
 MAIN_TAGS = {"article", "main"}
 OTHER_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
-OTHER_WORDS = {f".{w}" for w in "ad ads advert banner sponsored promo menu nav navbar breadcrumb sidebar widget related share social footer masthead cookie notice newsletter subscribe login legal comments comment commentlist replies".split()}
+OTHER_WORDS = {f".{w}" for w in "disqus respond reactions responses discussion promobox ad ads advert banner sponsored promo menu nav navbar breadcrumb sidebar widget related share social footer masthead cookie notice newsletter subscribe login legal comments comment commentlist replies".split()}
+PHRASES = ["Subscribe to our newsletter", "Sign up for free", "Log in", "All rights reserved", "Privacy policy", "Terms of use", "We use cookies to improve this site", "Accept cookies", "Share this article", "Follow us", "Advertisement", "Sponsored", "Buy now", "Special offer: save 20 percent today", "Related articles", "Read more", "Most popular", "Back to top", "Contact us", "About us", "Leave a reply", "Reply", "Report this comment", "Your email address will not be published", "Search this site", "Skip to content", "Download our app", "Copyright 2021 by the publisher", "Tags", "Next page", "Home", "Order now and get one for free"]
+#: How a reader's comment begins or ends.
+COMMENT_FRAMES = ["{x}", "{n} says: {x}", "{n} wrote on Monday: {x}", "Posted by {n}: {x}", "{x} Reply", "I agree. {x}", "Great article! {x}", "Thanks for this. {x}", "{n}, 3 days ago: {x}"]
 SPARE_TEXTS = ["The first paragraph of a story tells what happened, and when.", "A second one adds who was there; it is longer, as it must name them all.", "It ends with what comes next."]
 
 
@@ -53,6 +56,12 @@ def _semantic(block: Block) -> bool | None:
     return bool(inner)
 
 
+def _unknown(rng: np.random.Generator) -> str:
+    """A container whose name tells nothing."""
+    word = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(3, 8))))
+    return f'{("div", "section")[rng.integers(2)]} {("class", "id")[rng.integers(2)]}="{word}"'
+
+
 def _escape(text: str) -> str:
     return text.replace("&", "&amp;").replace("<", "&lt;")
 
@@ -65,18 +74,30 @@ def _layout(rng: np.random.Generator, main: list[str], others: list[str], menu:
     def box(name: str, inner: str) -> str:
         return f"<{name}>{inner}</{name.split()[0]}>"
 
+    def named(names: list[str], share: float = 0.15) -> str:
+        return _unknown(rng) if rng.random() < share else pick(names)
+
+    def comments() -> str:
+        n = int(rng.integers(1, 5))
+        labels.extend([0] * n)
+        each = [pick(COMMENT_FRAMES).format(x=pick(others), n=pick(menu).title()) for _ in range(n)]
+        return box(pick(COMMENT_NAMES), "".join(box(pick(["p", 'div class="comment"', "li", 'div class="reply"']), _escape(x)) for x in each))
+
     def boilerplate() -> str:
-        kind = rng.integers(4)
+        kind = rng.integers(5)
+        if kind == 4:  # told by its words alone, as often as by its container's name
+            labels.append(0)
+            return box(named(OTHER_NAMES, 0.5), f"<p>{_escape(pick(PHRASES))}{pick(['', '.', '!'])}</p>")
         if kind == 0:
             items = [_escape(pick(menu)) for _ in range(rng.integers(2, 8))]
             labels.extend([0] * len(items))
-            return box(pick(OTHER_NAMES), "<ul>" + "".join(f'<li><a href="/{k}">{x}</a></li>' for k, x in enumerate(items)) + "</ul>")
+            return box(named(OTHER_NAMES, 0.3), "<ul>" + "".join(f'<li><a href="/{k}">{x}</a></li>' for k, x in enumerate(items)) + "</ul>")
         if kind == 1:
             labels.append(0)
             return box(pick(OTHER_NAMES), _escape(pick(others)))
         if kind == 2:
             labels.append(0)
-            return box(pick(["footer", 'div class="footer"', 'div id="footer"']), f"&copy; {_escape(pick(menu))} &middot; {_escape(pick(others))}")
+            return box(named(["footer", 'div class="footer"', 'div id="footer"', 'div class="bottom"', 'div class="legal"'], 0.4), f"{pick(['&copy;', 'Copyright', '&copy; 2020'])} {_escape(pick(menu))} &middot; {_escape(pick(others))}")
         n = rng.integers(1, 4)
         labels.extend([0] * n)
         return box(pick(OTHER_NAMES), "".join(f"<p>{_escape(pick(others))}</p>" for _ in range(n)))
@@ -87,17 +108,21 @@ def _layout(rng: np.random.Generator, main: list[str], others: list[str], menu:
             labels.append(1)
             tag = "h1" if k == 0 and rng.random() < 0.6 else pick(["p"] * 8 + ["h2", "li", "blockquote", "div"])
             inner += f"<{tag}>{_escape(x)}</{tag}>"
-            if rng.random() < 0.06:
+            if rng.random() < 0.08:
                 inner += boilerplate()
-        return box(pick(MAIN_NAMES), inner)
+        if rng.random() < 0.3:
+            inner += comments()
+        return inner
 
     page = "".join(boilerplate() for _ in range(rng.integers(0, 4)))
     wrap = rng.random() < 0.3
-    page += ('<div class="page wrapper">' if wrap else "") + text() + ("</div>" if wrap else "")
+    kind = rng.random()
+    if kind < 0.2:  # laid out by tables
+        page += "<table><tr>" + (box("td", boilerplate()) if rng.random() < 0.6 else "") + box(pick(["td", 'td width="70%"', 'td valign="top"']), text()) + "</tr></table>"
+    else:
+        page += ('<div class="page wrapper">' if wrap else "") + (text() if kind < 0.26 else box(named(MAIN_NAMES, 0.25), text())) + ("</div>" if wrap else "")
     if rng.random() < 0.4:
-        n = rng.integers(1, 5)
-        labels.extend([0] * n)
-        page += box(pick(COMMENT_NAMES), "".join(box(pick(["p", 'div class="comment"', "li"]), _escape(pick(others))) for _ in range(n)))
+        page += comments()
     page += "".join(boilerplate() for _ in range(rng.integers(0, 3)))
     found = blocks(f"<html><body>{page}</body></html>")
     return found, np.array(labels, np.float32)
@@ -144,10 +169,15 @@ def _extract(weights, names: list[str], at: int):
     return run
 
 
+def weights_of(pages: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
+    """The labeller trained on a bounded sample of the pages."""
+    short = pages.select("html").where((F.length("html") <= SAMPLE_CHARS) & F.col("html").isNotNull())
+    return fit(sampled(short, "html", sample, pages.count()))
+
+
 def extract(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """pages without html but with text and n_chars (code points); columns of these names are replaced."""
     base = pages.drop("text", "n_chars")
-    short = base.select("html").where((F.length("html") <= SAMPLE_CHARS) & F.col("html").isNotNull())
-    weights = base.sparkSession.sparkContext.broadcast(fit(sampled(short, "html", sample, pages.count())))
+    weights = base.sparkSession.sparkContext.broadcast(weights_of(base, sample))
     schema = T.StructType([*[f for f in base.schema.fields if f.name != "html"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return in_batches(base, _extract(weights, base.columns, base.columns.index("html")), schema)
