@@ -44,12 +44,28 @@ NOTICE_PHRASES = {
 TAG = "spdx license identifier"
 # How freely text under a label may be reused.
 FREEDOM = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "cc0": 1.0, "cc-by": 0.9, "cc": 0.5, "mpl": 0.7, "epl": 0.7, "lgpl": 0.6, "cc-by-sa": 0.5, "gpl": 0.4, "agpl": 0.2, "cc-by-nc": 0.1, "reserved": 0.0}
-# First letters of identifiers and their labels, longest first.
-IDENTIFIERS = {"cc-by-nc": "cc-by-nc", "cc-by-sa": "cc-by-sa", "cc-by": "cc-by", "apache": "apache", "agpl": "agpl", "lgpl": "lgpl", "cc0": "cc0", "mit": "mit", "bsd": "bsd", "isc": "isc", "gpl": "gpl", "mpl": "mpl", "epl": "epl"}
+# How the published short identifiers of each label are built; a whole token has to match.
+IDENTIFIERS = {
+    "mit": r"mit(-0|-advertising|-cmu|-enna|-feh|-festival|-khronos-old|-modern-variant|-open-group|-testregex|-wu)?|x11|expat",
+    "apache": r"apache-(1\.0|1\.1|2\.0)",
+    "bsd": r"0bsd|bsd-[1-4]-clause(-[a-z0-9]+)*|bsd-(protection|source-code|systemics)",
+    "isc": r"isc(-veillard)?",
+    "cc0": r"cc0-1\.0|unlicense|cc-pddc",
+    "cc-by-nc": r"cc-by-nc(-sa|-nd)?-[1-4]\.[05](-[a-z]{2,3})?",
+    "cc-by-sa": r"cc-by-sa-[1-4]\.[05](-[a-z]{2,3})?",
+    "cc-by": r"cc-by(-nd)?-[1-4]\.[05](-[a-z]{2,3})?",
+    "agpl": r"agpl-[13]\.0(\+|-only|-or-later)?",
+    "lgpl": r"lgpl-(2\.0|2\.1|3\.0)(\+|-only|-or-later)?|lgpllr",
+    "gpl": r"gpl-[1-3]\.0(\+|-only|-or-later)?",
+    "mpl": r"mpl-(1\.0|1\.1|2\.0)(-no-copyleft-exception)?",
+    "epl": r"epl-[12]\.0",
+}
+IDENTIFIER_RE = re.compile("|".join(f"(?P<{label.replace('-', '_')}>{pattern})" for label, pattern in IDENTIFIERS.items()), re.I)
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 
 LOWER_SPACED = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-TAG_RE = re.compile(r"(?i)spdx[^0-9a-z\n]*license[^0-9a-z\n]*identifier[^0-9a-z(\n]*([^\n]*)")
+APART = r"[^0-9a-z\u0080-\U0010ffff]"  # no letter or digit, as between words
+TAG_RE = re.compile(rf"(?i)(?:(?<={APART})|(?<![\s\S]))spdx{APART}+license{APART}+identifier(?:(?!\()(?!\n\s*\n){APART})*([^\n]*)")
 TOKEN_RE = re.compile(r"[()]|[0-9A-Za-z.+-]+")
 
 
@@ -63,7 +79,8 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def label_of(identifier: str) -> str | None:
-    return next((label for start, label in IDENTIFIERS.items() if identifier.lower().startswith(start)), None)
+    found = IDENTIFIER_RE.fullmatch(identifier)
+    return found.lastgroup.replace("_", "-") if found else None
 
 
 def parse(expression: str) -> list[str] | None:
@@ -102,17 +119,16 @@ def parse(expression: str) -> list[str] | None:
 
 def evaluate(postfix: list[str]) -> tuple[float, set[str]]:
     """Score and labels of a parsed expression; an unknown identifier scores 0 and has no label."""
-    values: list[float] = []
-    labels: set[str] = set()
+    values: list[tuple[float, set[str]]] = []
     for token in postfix:
         if token in PRECEDENCE:
-            right, left = values.pop(), values.pop()
-            values.append(max(left, right) if token == "or" else min(left, right) if token == "and" else (1 + left) / 2)
+            (right, theirs), (left, ours) = values.pop(), values.pop()
+            # What stands after WITH is an exception, no licence: it gives no label.
+            values.append(((1 + left) / 2, ours) if token == "with" else (max(left, right) if token == "or" else min(left, right), ours | theirs))
         else:
             label = label_of(token)
-            labels |= {label} if label else set()
-            values.append(FREEDOM.get(label, 0.0))
-    return values[-1], labels
+            values.append((FREEDOM.get(label, 0.0), {label} if label else set()))
+    return values[-1]
 
 
 def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float]:
@@ -126,13 +142,20 @@ def scan(text: bytes) -> tuple[int, int, int | None, int | None, str, str, float
         if phrase == TAG:
             tagged = True
         elif phrase in BASE_PHRASES:
-            base.append(line.count(" ", 0, end - len(phrase) - 1))
+            base.append(end - len(phrase) - 1)
             base_labels.add(BASE_PHRASES[phrase])
         else:
             labels.add(NOTICE_PHRASES[phrase])
+    # Word numbers from places in the line, counting blanks onwards from the place before.
+    at = blanks = 0
+    for k, place in enumerate(sorted(base)):
+        blanks += line.count(" ", at, place)
+        base[k], at = blanks, place
     scores = [FREEDOM[x] for x in labels | base_labels]
     if tagged:
-        for m in TAG_RE.finditer(text.decode()):
+        tags = list(TAG_RE.finditer(text.decode()))
+        labels |= set() if tags else {"unparsed"}
+        for m in tags:
             if (postfix := parse(m[1])) is None:
                 labels.add("unparsed")
             else:
