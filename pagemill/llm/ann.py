@@ -9,7 +9,8 @@ in a small per-query top-k.
 Queries come in blocks as well, so a task holds one block of vectors and one of queries, whatever the table's size.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; vectors of another length than the
-query's are not compared with it; null ids take no part; repeated rows are candidates each; ties go to the smaller id.
+query's are not compared with it; null ids take no part; repeated rows are candidates each; ties go to the smaller id; vectors of
+very small or large components are scaled by powers of two, which leaves their cosines as they are.
 """
 
 from __future__ import annotations
@@ -85,6 +86,11 @@ class Block:
         return ids[at][best], score[best]
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that their largest component is near 1: cosines stay what they are to the last bit, and no norm under- or overflows."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def cosine(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """In double precision, each pair by the same sums whatever the block."""
     dot = (vectors * query).sum(axis=1)
@@ -104,7 +110,7 @@ def _search(k: int):
             asked = np.flatnonzero((dims == d) & is_query)
             if not len(mine) or not len(asked):
                 continue
-            take = lambda rows: flat[(starts[rows][:, None] + np.arange(d)).reshape(-1)].reshape(len(rows), d)  # noqa: B023, E731
+            take = lambda rows: scaled(flat[(starts[rows][:, None] + np.arange(d)).reshape(-1)].reshape(len(rows), d))  # noqa: B023, E731
             mine = mine[np.argsort(ids[mine], kind="stable")]
             block = Block(take(mine))
             for q, v in zip(ids[asked].tolist(), take(asked), strict=True):
