@@ -28,6 +28,30 @@ def compiled(rules: list[Rule]) -> tuple[list[tuple[Rule, regex.Pattern]], list[
     return good, bad
 
 
+def _plain(text: str | None) -> str:
+    return " ".join((text or "").split())
+
+
+def rejected(rule: Rule, match: regex.Match, text: str) -> bool:
+    """Whether a match falls under its rule's exclusions.
+
+    By prefix: its first group is one of them. By phrase: it equals one, or one begins where it begins, or where the longest of
+    the rule's stems that it ends with begins. Runs of blanks count as one.
+    """
+    if rule.exclude_prefixes and _plain(match[1] if match.re.groups else "") in map(_plain, rule.exclude_prefixes):
+        return True
+    matched = _plain(match[0])
+    stems = [s for s in sorted(rule.stems, key=len, reverse=True) if _plain(s) and matched.endswith(_plain(s))]
+    for phrase in rule.exclude_phrases:
+        plain = _plain(phrase)
+        if plain and (matched == plain or _plain(text[match.start() : match.start() + len(phrase)]) == plain):
+            return True
+        # A stem's continuation: enough of the text that blanks cannot hide the phrase from view.
+        if plain and any(_plain(text[match.end() - len(s) : match.end() - len(s) + 4 * len(phrase)]).startswith(plain) for s in stems):
+            return True
+    return False
+
+
 def positions(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """One row per match of each enabled rule: docs' other columns, the rule's, before (the character before it), start and matched.
 
@@ -43,7 +67,7 @@ def positions(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFra
             for k, t in enumerate(batch.column(len(keep)).to_pylist()):
                 for r, p in patterns if t else ():
                     for m in p.finditer(t):
-                        if m.end() > m.start():
+                        if m.end() > m.start() and not rejected(r, m, t):
                             rows.append(k)
                             out.append((r.ord, r.replace, r.leading_boundary, r.category, t[m.start() - 1 : m.start()] if m.start() else "", m.start(), m[0]))
             kept = batch.take(pa.array(rows, pa.int64()))

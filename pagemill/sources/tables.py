@@ -24,6 +24,9 @@ class Rule:
     leading_boundary: bool = False
     category: str = "spelling"
     finds: tuple[str, ...] = field(default=())
+    exclude_prefixes: tuple[str, ...] = ()
+    exclude_phrases: tuple[str, ...] = ()
+    stems: tuple[str, ...] = ()
 
     def pattern(self) -> str:
         """The regular expression: itself, the literal, or the alternation of its variants, longest first."""
