@@ -215,3 +215,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     named = roots.join(least, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """docs without near duplicates: of each component, the document of the smallest doc_id stays, with all its different texts, each once.
+
+    Rows without a doc_id stay.
+    """
+    found = near_duplicates(docs, shingle, radius).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    with_id = docs.where("doc_id is not null").withColumn("__text", F.xxhash64(whole_text())).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    kept = with_id.join(found, with_id["doc_id"].cast("long") == found["__kept"], "left_semi")
+    return kept.unionByName(docs.where("doc_id is null"))

@@ -236,7 +236,9 @@ def block_links(fps: np.ndarray, root: np.ndarray, n: np.ndarray, items: np.ndar
     if not close.any():
         return np.zeros(0, int), np.zeros(0, int)
     shared = shared_counts(items, np.repeat(np.arange(size), np.diff(cut_at)), size)
-    close &= shared * 9 >= (n[:, None] + n[None]) * 4
+    for a in range(0, size, 256):
+        close[a : a + 256] &= shared[a : a + 256] * 9 >= (n[a : a + 256, None] + n[None]) * 4
+    del shared
     label = np.unique(root, return_inverse=True)[1]
     ends: list[tuple[int, int]] = []
     for i in np.flatnonzero(close.any(axis=1)):

@@ -70,5 +70,5 @@ def test_run_is_the_stages_one_after_the_other(spark):
         assert any(sum(x in windows for x in item) * 2 >= len(item) for item in of)
     assert all(r.round_trip for r in out.values())
     for i, _, n_removed, _ in rows:
-        if i in left and not n_removed:
+        if i in out and not n_removed:
             assert np.frombuffer(out[i].ids, "<u4").tolist() == library.encode(whole[i], add_special_tokens=False).ids
