@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontaminate, html_extract, licenses, quality, sharding, simhash, substring_dedup
+from . import ann, bpe, chat, clusters, decontaminate, html_extract, licenses, quality, sharding, simhash, substring_dedup
 from .session import table
 
 SHARD_BYTES = 1 << 20
@@ -62,8 +62,13 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = clusters.cluster(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256).alias("centroid_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_sharding, op3_quality, op4_decontamination, op5_preferences, op6_neighbours, op7_main_text, op8_bpe, op9_licenses, op10_substrings)}
+    return {f.__name__: f for f in (op1_simhash, op2_sharding, op3_quality, op4_decontamination, op5_preferences, op6_neighbours, op7_main_text, op8_bpe, op9_licenses, op10_substrings, op11_clusters)}
 
 
 OP2_SQL = f"""
@@ -137,5 +142,23 @@ SELECT doc_id, n::BIGINT AS n_words, m::BIGINT AS n_removed, sha256(array_to_str
 """
 
 
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """Every vector against every centroid in each round."""
+    finite = "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    parts = [
+        f"v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(embedding) = 64 AND {finite})",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS j, v AS c FROM v QUALIFY j < {k})",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"d{n} AS (SELECT r, j, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{n})")
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, arg_min(j, (d, j)) AS j, min(d) AS d FROM d{n} GROUP BY r)")
+        if n < rounds:
+            parts.append(f"s{n} AS (SELECT j, list(m ORDER BY i) AS c FROM (SELECT j, i, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m FROM (SELECT j, unnest(v) AS x, unnest(range(64)) AS i FROM a{n} JOIN v USING (r)) GROUP BY j, i) GROUP BY j)")
+            parts.append(f"c{n + 1} AS MATERIALIZED (SELECT j, coalesce(s{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN s{n} USING (j))")
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, j::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY j)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN v USING (r) JOIN c{rounds} USING (j)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": OP2_SQL, "op5_preferences": OP5_SQL, "op10_substrings": OP10_SQL}
+    return {"op2_sharding": OP2_SQL, "op5_preferences": OP5_SQL, "op10_substrings": OP10_SQL, "op11_clusters": _op11_sql()}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,11 +26,35 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+#: Where the tables of cut() lie that are still there.
+_places: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a table in the shared folder; it is Parquet, so it is small and later steps read only the columns they need."""
-    at = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    """Cut the lineage with a table in the shared folder; it is Parquet, so it is small and later steps read only the columns they need.
+
+    Tables go with ``discard``. A table that a lazy result reads stays until the application ends: the file system deletes it then.
+    """
+    spark = df.sparkSession
+    at = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    out = spark.read.schema(df.schema).parquet(at)
+    _places[out] = at
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the table of a frame that cut() gave and that nothing reads any more; other frames are left alone."""
+    at = _places.pop(df, None)
+    if at is not None:
+        _delete(df.sparkSession, at)
 
 
 def in_batches(df: DataFrame, run, schema) -> DataFrame:
