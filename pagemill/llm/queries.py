@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, clusters, decontaminate, html_extract, licenses, quality, sharding, simhash, substring_dedup
+from . import alignment, ann, bpe, chat, clusters, decontaminate, html_extract, licenses, quality, sharding, simhash, substring_dedup
 from .session import table
 
 SHARD_BYTES = 1 << 20
@@ -39,11 +39,11 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-def tokenizer_path() -> str:
-    """Of the vocabulary that the cluster's workers have installed."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Of a vocabulary that the cluster's workers have installed."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +67,13 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256).alias("centroid_sha256"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return out.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))).drop("groups")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_sharding, op3_quality, op4_decontamination, op5_preferences, op6_neighbours, op7_main_text, op8_bpe, op9_licenses, op10_substrings, op11_clusters)}
+    return {f.__name__: f for f in (op1_simhash, op2_sharding, op3_quality, op4_decontamination, op5_preferences, op6_neighbours, op7_main_text, op8_bpe, op9_licenses, op10_substrings, op11_clusters, op13_alignment)}
 
 
 OP2_SQL = f"""
