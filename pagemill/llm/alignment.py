@@ -62,6 +62,7 @@ class Tokens:
         self.a.no_padding()
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.space = self.b.piece_to_id(MARK)
         names = {i: n for n, i in self.a.get_vocab(with_added_tokens=False).items()}
         self.a_bytes = {i: bytes(_byte_of()[c] for c in n) for i, n in names.items() if all(c in _byte_of() for c in n)}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
@@ -80,9 +81,9 @@ class Tokens:
     def encode(self, segments: list[str]) -> list[tuple[list[int], list[int]]]:
         """(ids of A, ids of B) of each segment."""
         a = [e.ids for e in self.a.encode_batch(segments, add_special_tokens=False)]
-        # B sets a space before what it reads: it stands for a segment's own leading one, or is the first token.
+        # B sets a space before what it reads (if there is anything to read): it stands for a segment's own leading one, or is the first token.
         b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
-        return [(x, y if s[0] == " " else y[1:]) for s, x, y in zip(segments, a, b, strict=True)]
+        return [(x, [self.space] if s == " " else y if s[0] == " " else y[1:]) for s, x, y in zip(segments, a, b, strict=True)]
 
     def align(self, segment: str, a: list[int], b: list[int]):
         """(groups as a string, their number, pairs a << 32 | b, times of each), or None if the bytes of A or B are not the segment's."""
