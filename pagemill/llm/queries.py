@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, bpe, chat, clusters, decontaminate, html_extract, licenses, quality, sharding, simhash, substring_dedup
+from . import alignment, ann, bpe, chat, clusters, decontaminate, html_extract, language, licenses, quality, sharding, simhash, substring_dedup
 from .session import table
 
 SHARD_BYTES = 1 << 20
@@ -67,13 +67,19 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256).alias("centroid_sha256"))
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", held_out.alias("held_out"), "lang", "text")
+    return language.identify(docs, ~F.col("held_out")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
     return out.withColumn("groups_sha256", F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))).drop("groups")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_simhash, op2_sharding, op3_quality, op4_decontamination, op5_preferences, op6_neighbours, op7_main_text, op8_bpe, op9_licenses, op10_substrings, op11_clusters, op13_alignment)}
+    return {f.__name__: f for f in (op1_simhash, op2_sharding, op3_quality, op4_decontamination, op5_preferences, op6_neighbours, op7_main_text, op8_bpe, op9_licenses, op10_substrings, op11_clusters, op12_language, op13_alignment)}
 
 
 OP2_SQL = f"""
