@@ -4,14 +4,14 @@ A encodes a space and the text, B the text, before which it sets a space itself.
 an A and a B token whose bytes overlap.
 
 *Segments.* A text with its leading space is split before runs of white space. A splits there itself: its pre-tokens never hold white space behind
-another character. B's merges do not cross a place before a white-space character that no piece of B holds behind another character: ``Tokens.before``
-reads off B's vocabulary which ones these are. So segments are tokenised each on its own, and groups and links stay within a segment.
+another character. B's merges do not cross a place before a white-space character that no piece of B holds behind another character: ``Tokens`` reads off B's vocabulary
+which ones these are. So segments are tokenised each on its own, and groups and links stay within a segment.
 
-*Steps.* 1. A pass over the texts cuts each into numbers of segments, with a dictionary of segments for every block of about ``BLOCK_BYTES`` of text;
-it is written to the shared folder. 2. Distinct segments of the whole corpus are tokenised and aligned, once each. 3. They are joined back to the blocks that hold them;
-each block counts in how many of its documents a pair of ids is linked, and the sums over all blocks give the pairs' counts.
-4. Every distinct segment adds up its links' counts; a second join takes the sums back to the blocks, which put their documents together.
-A segment reaches the join once for each block, however often it stands there, and a document is never spread out into rows.
+*Steps.* 1. A pass over the texts gives every block of about ``BLOCK_BYTES`` of text a dictionary of its segments, and every document their numbers; it is written
+to the shared folder. 2. A segment's hash deals it to a bucket; a bucket holds the dictionaries' shares of all blocks, tokenises its distinct segments, once each, and
+gives every block the tokens of its own. 3. Every block counts in how many of its documents each pair of ids is linked; the sums over all
+blocks are the pairs' counts. 4. The counts of a block's pairs are joined back to it, and it puts its documents together. A segment reaches a
+bucket once for each block, however often it stands there, so the commonest one is no hot key; no document is spread out into rows.
 
 Defined results: null and empty texts, and texts whose tokens of A or B do not give back the bytes of a space and the text, have no tokens: zeros and an empty string;
 every row is a document, repeated ones too; null ids pass through.
@@ -25,21 +25,28 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .session import cut, in_batches
+from .session import cut, discard, in_batches
 
-#: Text of a block, about; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
-#: Segments tokenised at a time.
-PART = 2048
+#: Characters of text in a block, about; a longer text is a block of its own.
+BLOCK_CHARS = 4 << 20
+#: Characters of text for which there is a bucket.
+BUCKET_CHARS = 16 << 20
+#: Segments tokenised at a time, documents put together at a time.
+PART, PART_DOCS = 4096, 64
 MARK = "▁"
 
-SPLIT = "block long, row int, doc_id long, segment string, numbers binary"
-ALIGNED = "segment string, a_ids array<int>, b_ids array<int>, groups string, n_groups int, pairs array<bigint>, times array<int>"
+#: A row for a block's share of a bucket (numbers: of its segments), and, with bucket null, one for its documents (numbers: of all their segments, sizes: how many each has).
+BLOCKS = "block long, bucket int, numbers binary, segments array<string>, doc_ids array<bigint>, sizes binary"
+#: The tokens of a block's share of a bucket: sizes and ids of A and B, segment by segment; a segment that cannot be aligned has none.
+TOKENS = "block long, numbers binary, a_sizes binary, a_ids binary, b_sizes binary, b_ids binary"
+FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+DOCUMENTS = ", ".join(["doc_id long", *[f"{f} long" for f in FIGURES], "groups string"])
 
 
 @lru_cache(maxsize=4)
@@ -62,21 +69,26 @@ class Tokens:
         self.a.no_padding()
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        self.space = self.b.piece_to_id(MARK)
         names = {i: n for n, i in self.a.get_vocab(with_added_tokens=False).items()}
-        self.a_bytes = {i: bytes(_byte_of()[c] for c in n) for i, n in names.items() if all(c in _byte_of() for c in n)}
+        byte_of = _byte_of()
+        self.a_bytes = [bytes(byte_of[c] for c in names.get(i, "") if c in byte_of) for i in range(max(names) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.space = self.b.piece_to_id(MARK)
         texts = [p.replace(MARK, " ") for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
-        #: White-space characters that no piece holds behind a character other than white space. Those other than a space must not follow one either: B sets a space before
-        #: such a segment, which then has to stay a token of its own.
+        # White space that pieces hold behind another character is no edge. Other white space than a space must not follow a space either: B sets one before
+        # a segment that begins so, and it has to stay a token of its own.
         glued = {c for p in texts for x, c in zip(p, p[1:]) if c.isspace() and (not x.isspace() or c != " ")}
+        #: The characters before which segments begin.
         self.before = "".join(c for c in " \t\n\v\f\r" if c not in glued)
         # U+180E counts as white space in some engines.
         self.edge = re.compile(rf"(?<=[^\s᠎])(?=[{re.escape(self.before)}])") if self.before else re.compile(r"(?!)")
+        #: White space that is no edge; a text without it splits into runs of white space and words.
+        self.other = re.compile("[" + re.escape("".join(c for c in map(chr, range(0x3001)) if (c.isspace() or c == "᠎") and c not in self.before)) + "]")
 
     def segments(self, text: str) -> list[str]:
-        return self.edge.split(" " + text)
+        full = " " + text
+        return self.edge.split(full) if self.other.search(full) or not self.before else WORD.findall(full)
 
     def encode(self, segments: list[str]) -> list[tuple[list[int], list[int]]]:
         """(ids of A, ids of B) of each segment."""
@@ -85,29 +97,37 @@ class Tokens:
         b = self.b.encode([s[1:] if s[0] == " " else s for s in segments], num_threads=1)
         return [(x, [self.space] if s == " " else y if s[0] == " " else y[1:]) for s, x, y in zip(segments, a, b, strict=True)]
 
-    def align(self, segment: str, a: list[int], b: list[int]):
-        """(groups as a string, their number, pairs a << 32 | b, times of each), or None if the bytes of A or B are not the segment's."""
-        raw = segment.encode()
-        a_bytes, b_bytes = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-            return None
-        pairs: dict[int, int] = {}
-        groups, i, j, first_i, first_j = [], 0, 0, 0, 0
-        a_end, b_end = len(a_bytes[0]), len(b_bytes[0])
-        while True:
-            key = a[i] << 32 | b[j]
-            pairs[key] = pairs.get(key, 0) + 1
-            step_a, step_b = a_end <= b_end, b_end <= a_end
-            i, j = i + step_a, j + step_b
-            if step_a and step_b:
-                groups.append(",".join(map(str, a[first_i:i])) + "|" + ",".join(map(str, b[first_j:j])))
-                first_i, first_j = i, j
-                if i == len(a):
-                    return ";".join(groups), len(groups), list(pairs), list(pairs.values())
-            if step_a:
-                a_end += len(a_bytes[i])
-            if step_b:
-                b_end += len(b_bytes[j])
+    def tokenise(self, segments: list[str]) -> list[np.ndarray]:
+        """[sizes of A, ids of A, sizes of B, ids of B] of the segments one after another; sizes are zero where the tokens' bytes are not the segment's.
+
+        Segments that begin with a space and end with a word are read as one text, which is cut at their ends: that is what their edges promise.
+        """
+        plain = [k for k, s in enumerate(segments) if s[0] == " " and not s[-1].isspace() and MARK not in s]
+        found: list[tuple] = [((), ())] * len(segments)
+        rest = sorted(set(range(len(segments))) - set(plain))
+        if plain:
+            text = "".join(segments[k] for k in plain)
+            ends = np.cumsum([len(segments[k].encode()) for k in plain])
+            sides = [self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])]
+            cuts = []
+            for ids, of in zip(sides, (self.a_bytes, self.b_bytes), strict=True):
+                at = np.cumsum([len(of[i]) for i in ids])
+                cuts.append(np.searchsorted(at, ends) + 1)
+                if b"".join([of[i] for i in ids]) != text.encode() or (at[cuts[-1] - 1] != ends).any():
+                    rest, cuts = list(range(len(segments))), []
+                    break
+            if cuts:
+                starts = [np.concatenate([[0], c[:-1]]).tolist() for c in cuts]
+                for n, k in enumerate(plain):
+                    found[k] = (sides[0][starts[0][n] : cuts[0][n]], sides[1][starts[1][n] : cuts[1][n]])
+        for k, (a, b) in zip(rest, self.encode([segments[k] for k in rest]) if rest else [], strict=True):
+            raw = segments[k].encode()
+            if b"".join([self.a_bytes[i] for i in a]) == raw == b"".join([self.b_bytes[i] for i in b]):
+                found[k] = (a, b)
+        return [x for side in (0, 1) for x in (np.array([len(f[side]) for f in found], np.int32), np.array([i for f in found for i in f[side]], np.int32))]
+
+
+WORD = re.compile(r"\s*\S+|\s+")
 
 
 @lru_cache(maxsize=4)
@@ -115,133 +135,209 @@ def tokens(a_path: str, b_path: str) -> Tokens:
     return Tokens(a_path, b_path)
 
 
-def _split(a_path: str, b_path: str, block_bytes: int):
-    """Blocks: a row for every segment (its number in the block), and a row for every document with its segments' numbers."""
+@lru_cache(maxsize=4)
+def _tables(a_path: str, b_path: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For A and B: (bytes of each id, its decimal digits, how many)."""
+    out = []
+    for raw in (tokens(a_path, b_path).a_bytes, tokens(a_path, b_path).b_bytes):
+        names = [str(i) for i in range(len(raw))]
+        widest = len(names[-1])
+        digits = np.frombuffer("".join(n.ljust(widest) for n in names).encode(), np.uint8).reshape(-1, widest)
+        out.append((np.array([len(b) for b in raw], np.int64), digits, np.array([len(n) for n in names], np.int64)))
+    return out
+
+
+def _row(**values) -> pa.RecordBatch:
+    """One row of BLOCKS."""
+    kinds = {"block": pa.int64(), "bucket": pa.int32(), "numbers": pa.binary(), "segments": pa.list_(pa.string()), "doc_ids": pa.list_(pa.int64()), "sizes": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([values.get(n)], k) for n, k in kinds.items()], list(kinds))
+
+
+def _split(a_path: str, b_path: str, block_chars: int, buckets: int):
+    def rows(block: int, known: dict[str, int], ids: list, numbers: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        yield _row(block=block, doc_ids=ids, numbers=np.concatenate(numbers).tobytes(), sizes=np.array([len(n) for n in numbers], np.int32).tobytes())
+        segments = np.array(list(known), object)
+        bucket = np.array([xxhash.xxh64_intdigest(s) % buckets for s in known], np.int64)
+        for b in np.unique(bucket).tolist():
+            mine = np.flatnonzero(bucket == b)
+            yield _row(block=block, bucket=b, numbers=mine.astype(np.int32).tobytes(), segments=segments[mine].tolist())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = tokens(a_path, b_path)
-        names = [x.split()[0] for x in SPLIT.split(", ")]
         block, known, ids, numbers, size = TaskContext.get().partitionId() << 32, {}, [], [], 0
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            n = len(known)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array(np.arange(n, dtype=np.int32)), pa.nulls(n, pa.int64()), pa.array(list(known), pa.string()), pa.nulls(n, pa.binary())], names)
-            m = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, block)), pa.array(np.arange(m, dtype=np.int32)), pa.array(ids, pa.int64()), pa.nulls(m, pa.string()), pa.array(numbers, pa.binary())], names)
-
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = text or ""
-                if ids and size + len(t) > block_bytes:
-                    yield from rows()
+                if ids and size + len(t) > block_chars:
+                    yield from rows(block, known, ids, numbers)
                     block, known, ids, numbers, size = block + 1, {}, [], [], 0
                 ids.append(key)
-                numbers.append(np.array([known.setdefault(s, len(known)) for s in cutter.segments(t)] if t else [], np.int32).tobytes())
+                numbers.append(np.array([known.setdefault(s, len(known)) for s in cutter.segments(t)] if t else [], np.int32))
                 size += len(t)
         if ids:
-            yield from rows()
+            yield from rows(block, known, ids, numbers)
 
     return run
 
 
-def _align(a_path: str, b_path: str):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = tokens(a_path, b_path)
-        names = [x.split()[0] for x in ALIGNED.split(", ")]
-        kinds = [pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32())]
-        for batch in batches:
-            for at in range(0, batch.num_rows, PART):
-                segments = batch.column(0).slice(at, PART).to_pylist()
-                out = []
-                for s, (a, b) in zip(segments, both.encode(segments), strict=True):
-                    found = both.align(s, a, b)
-                    # No groups at all mark a segment that cannot be aligned.
-                    out.append((s, a, b, *found) if found else (s, [], [], None, 0, [], []))
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names)
+def _ints(binary: pa.Scalar | bytes) -> np.ndarray:
+    return np.frombuffer(binary.as_py() if isinstance(binary, pa.Scalar) else binary, np.int32)
 
-    return run
 
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of every span, one after another."""
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(sizes) else np.zeros(0, np.int64)
 
-def _documents(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of each document, document of each segment place, segment number of each place)."""
-    places = [np.frombuffer(b, np.int32) for b in table["numbers"].to_pylist()]
-    of = np.repeat(np.arange(len(places)), [len(p) for p in places])
-    return np.arange(len(places)), of, np.concatenate(places) if places else np.zeros(0, np.int32)
 
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
-def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """(values, lengths) of a column of lists."""
-    whole = column.combine_chunks()
-    return whole.flatten().to_numpy(zero_copy_only=False), np.diff(whole.offsets.to_numpy())
 
+def _bucket(a_path: str, b_path: str):
+    """The distinct segments of a bucket, tokenised; each of its rows gets the tokens of its own."""
 
-def _whole(fine: np.ndarray, of: np.ndarray, places: np.ndarray, n_docs: int) -> np.ndarray:
-    """Which documents have tokens: they have segments, and all of these could be aligned."""
-    return (np.bincount(of, minlength=n_docs) > 0) & (np.bincount(of, weights=~fine[places], minlength=n_docs) == 0)
+    def run(table: pa.Table) -> pa.Table:
+        both = tokens(a_path, b_path)
+        lists = table["segments"].combine_chunks()
+        coded = lists.flatten().dictionary_encode()
+        parts = [both.tokenise(coded.dictionary.slice(k, PART).to_pylist()) for k in range(0, len(coded.dictionary), PART)]
+        sizes = [np.concatenate([p[k] for p in parts]) for k in (0, 2)]
+        ids = [np.concatenate([p[k] for p in parts]) for k in (1, 3)]
+        starts, at = [_starts(s) for s in sizes], coded.indices.to_numpy()
+        out: list[list[bytes]] = [[], [], [], []]
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            mine = at[a:b]
+            for side in (0, 1):
+                n = sizes[side][mine]
+                out[2 * side].append(n.tobytes())
+                out[2 * side + 1].append(ids[side][_spans(starts[side][mine], n)].tobytes())
+        return pa.table([table["block"], table["numbers"], *[pa.array(x, pa.binary()) for x in out]], [x.split()[0] for x in TOKENS.split(", ")])
 
+    return run
 
-def _pair_counts(docs: pa.Table, segments: pa.Table) -> pa.Table:
-    """(pair, n) of a block: how many of its documents hold the pair."""
-    rows, of, places = _documents(docs)
-    order = segments["row"].to_numpy().argsort()
-    segments = segments.take(pa.array(order))
-    pairs, sizes = _lists(segments["pairs"])
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    good = _whole(sizes > 0, of, places, len(rows))
-    known, pair_of = np.unique(pairs, return_inverse=True)
-    # Distinct (document, segment), then distinct (document, pair), some documents at a time.
-    counts = np.zeros(len(known), np.int64)
-    edges = np.searchsorted(of, np.arange(0, len(rows) + 64, 64))
-    for a, b in zip(edges[:-1], edges[1:], strict=True):
-        doc, seg = np.divmod(np.unique(of[a:b].astype(np.int64) * (len(sizes) + 1) + places[a:b]), len(sizes) + 1)
-        doc, seg = doc[good[doc]], seg[good[doc]]
-        n = sizes[seg]
-        at = np.repeat(starts[seg] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(seg) else np.zeros(0, np.int64)
-        each = np.unique(np.repeat(doc, n).astype(np.int64) * (len(known) + 1) + pair_of[at])
-        counts += np.bincount(each % (len(known) + 1), minlength=len(known))
-    some = np.flatnonzero(counts)
-    return pa.table({"pair": pa.array(known[some], pa.int64()), "n": pa.array(counts[some], pa.int64())})
 
+class Block:
+    """A block's documents and the tokens of its segments, in the order of their numbers."""
+
+    def __init__(self, table: pa.Table, tables: list):
+        is_docs = table["doc_ids"].is_valid()
+        docs, shares = table.filter(is_docs), table.filter(pc.invert(is_docs))
+        self.doc_ids = docs["doc_ids"].combine_chunks().flatten()
+        self.sizes = np.concatenate([_ints(x) for x in docs["sizes"]])
+        self.places = np.concatenate([_ints(x) for x in docs["numbers"]])
+        self.starts = _starts(self.sizes)
+        self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        numbers = np.concatenate([np.zeros(0, np.int32), *[_ints(x) for x in shares["numbers"]]])
+        order = numbers.argsort()
+        self.n, self.ids, self.tables = [], [], tables
+        for side in "ab":
+            n = np.concatenate([np.zeros(0, np.int32), *[_ints(x) for x in shares[f"{side}_sizes"]]])
+            ids = np.concatenate([np.zeros(0, np.int32), *[_ints(x) for x in shares[f"{side}_ids"]]])
+            self.n.append(n[order].astype(np.int64))
+            self.ids.append(ids[_spans(_starts(n)[:-1][order], n[order])])
+        fine = self.n[0] > 0
+        #: Documents that have tokens: they have segments, and all of these could be aligned.
+        self.good = (self.sizes > 0) & (np.bincount(self.of, weights=~fine[self.places], minlength=len(self.sizes)) == 0)
+        # Ends of all tokens, as bytes from the block's first segment on. A link is a stretch between two neighbouring ends of either side; a group ends where both do.
+        ends = [np.cumsum(t[0][i]) for t, i in zip(tables, self.ids, strict=True)]
+        all_ends = np.union1d(*ends)
+        first, second = (np.searchsorted(e, all_ends) for e in ends)
+        self.pairs = self.ids[0][first].astype(np.int64) << 32 | self.ids[1][second]
+        segment_ends = np.concatenate([[0], ends[0]])[_starts(self.n[0])[1:]]
+        self.link_starts = np.searchsorted(all_ends, np.concatenate([[0], segment_ends]), "right")
+        # As many common ends as there are groups.
+        self.common = np.intersect1d(*ends)
+        self.ends = ends
+        self.group_starts = np.searchsorted(self.common, np.concatenate([[0], segment_ends]), "right")
+
+    def by_document(self, values: np.ndarray) -> np.ndarray:
+        """Sums over each document's segments; zero where it has no tokens."""
+        sums = _starts(values[self.places])
+        return np.where(self.good, sums[self.starts[1:]] - sums[self.starts[:-1]], 0)
+
+    def by_segment(self, values: np.ndarray) -> np.ndarray:
+        """Sums over each segment's links."""
+        sums = _starts(values)
+        return sums[self.link_starts[1:]] - sums[self.link_starts[:-1]]
+
+    def pair_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(pair, in how many documents it is linked)."""
+        known, code = np.unique(self.pairs, return_inverse=True)
+        counts, n_links = np.zeros(len(known), np.int64), np.diff(self.link_starts)
+        for a in range(0, len(self.sizes), PART_DOCS):
+            # Distinct segments of each document first, then their distinct pairs.
+            span = slice(self.starts[a], self.starts[min(a + PART_DOCS, len(self.sizes))])
+            doc, segment = np.divmod(np.unique(self.of[span] * (len(n_links) + 1) + self.places[span]), len(n_links) + 1)
+            doc, segment = doc[self.good[doc]], segment[self.good[doc]]
+            links = code[_spans(self.link_starts[segment], n_links[segment])]
+            each = np.unique(np.repeat(doc, n_links[segment]) * len(known) + links) if len(links) else np.zeros(0, np.int64)
+            counts += np.bincount(each % max(1, len(known)), minlength=len(known))
+        some = np.flatnonzero(counts)
+        return known[some], counts[some]
+
+    def groups(self) -> list[bytes]:
+        """Each segment's groups: A's ids, a bar, B's ids, a semicolon; and so on."""
+        side = np.repeat([0, 1], [len(i) for i in self.ids])
+        ids = np.concatenate(self.ids)
+        group = np.concatenate([np.searchsorted(self.common, e) for e in self.ends])
+        last = np.concatenate([np.isin(e, self.common) for e in self.ends])
+        order = np.lexsort((side, group))
+        side, ids, group, last = side[order], ids[order], group[order], last[order]
+        widths = np.where(side == 0, self.tables[0][2][np.where(side == 0, ids, 0)], self.tables[1][2][np.where(side == 1, ids, 0)])
+        at = _starts(widths + 1)
+        out = np.empty(at[-1], np.uint8)
+        for s in (0, 1):
+            mine = np.flatnonzero(side == s)
+            digits = self.tables[s][1]
+            for k in range(digits.shape[1]):
+                wide = mine[widths[mine] > k]
+                out[at[wide] + k] = digits[ids[wide], k]
+        out[at[1:] - 1] = np.where(last, np.where(side == 0, ord("|"), ord(";")), ord(","))
+        whole = out.tobytes()
+        bounds = at[np.searchsorted(group, self.group_starts)].tolist()
+        return [whole[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _count(a_path: str, b_path: str):
+    def run(table: pa.Table) -> pa.Table:
+        pairs, n = Block(table, _tables(a_path, b_path)).pair_counts()
+        return pa.table({"block": pa.array(np.full(len(pairs), table["block"][0].as_py()), pa.int64()), "pair": pairs, "n": n})
 
-FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+    return run
+
+
+def _compose(a_path: str, b_path: str):
+    def run(table: pa.Table, counts: pa.Table) -> pa.Table:
+        block = Block(table, _tables(a_path, b_path))
+        pairs = counts["pair"].to_numpy()
+        order = pairs.argsort()
+        pairs, n, best = pairs[order], counts["count"].to_numpy()[order], counts["best"].to_numpy()[order]
+        # Pairs of segments that stand only in texts without tokens have no count, and no document asks for it.
+        at = np.minimum(np.searchsorted(pairs, block.pairs), len(pairs) - 1) if len(pairs) else np.zeros(0, np.int64)
+        known = pairs[at] == block.pairs if len(pairs) else np.zeros(len(block.pairs), bool)
+        count, is_best = (np.where(known, x[at] if len(pairs) else 0, 0).astype(np.int64) for x in (n, best))
+        by_segment = (*block.n, np.diff(block.group_starts), np.diff(block.link_starts), block.by_segment(is_best), block.by_segment(count))
+        texts, places = block.groups(), block.places.tolist()
+        groups = [b"".join([texts[p] for p in places[a:b]])[:-1] if good else b"" for a, b, good in zip(block.starts[:-1], block.starts[1:], block.good, strict=True)]
+        figures = {f: pa.array(block.by_document(x), pa.int64()) for f, x in zip(FIGURES, by_segment, strict=True)}
+        return pa.table({"doc_id": block.doc_ids, **figures, "groups": pa.array(groups, pa.binary()).cast(pa.string())})
+
+    return run
 
 
-def _compose(docs: pa.Table, segments: pa.Table) -> pa.Table:
-    """The block's documents from its segments."""
-    rows, of, places = _documents(docs)
-    order = segments["row"].to_numpy().argsort()
-    groups = segments["groups"].take(pa.array(order)).to_pylist()
-    good = _whole(np.array([g is not None for g in groups], bool), of, places, len(rows))
-    out = {}
-    for f in FIGURES:
-        each = segments[f].to_numpy()[order]
-        ends = np.concatenate([[0], np.cumsum(each[places])])
-        bounds = np.searchsorted(of, np.arange(len(rows) + 1))
-        out[f] = np.where(good, ends[bounds[1:]] - ends[bounds[:-1]], 0).astype(np.int64)
-    bounds = np.searchsorted(of, np.arange(len(rows) + 1))
-    texts = [";".join([groups[p] for p in places[a:b].tolist()]) if g else "" for a, b, g in zip(bounds[:-1], bounds[1:], good, strict=True)]
-    return pa.table({"doc_id": docs["doc_id"], **{f: pa.array(out[f]) for f in FIGURES}, "groups": pa.array(texts, pa.string())})
-
-
-def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every document; groups as ``a1,a2|b1;a3|b2,b3``."""
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks = cut(in_batches(named, _split(a_path, b_path, block_bytes), SPLIT))
-    rows = blocks.where("numbers is not null").select(F.col("block").alias("of_block"), "doc_id", "numbers")
-    places = blocks.where("segment is not null").select("block", "row", "segment")
-    aligned = cut(in_batches(places.select("segment").distinct(), _align(a_path, b_path), ALIGNED))
-
-    by_block = lambda right, run, schema: rows.groupBy("of_block").cogroup(right.groupBy("block")).applyInArrow(run, schema)
-    counts = by_block(places.join(aligned.select("segment", "pairs"), "segment").select("block", "row", "pairs"), _pair_counts, "pair long, n long")
-    counts = cut(counts.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("a", F.shiftright("pair", 32)))
+    buckets = 1 + (named.agg(F.sum(F.length("text"))).first()[0] or 0) // bucket_chars
+    blocks = cut(in_batches(named, _split(a_path, b_path, block_chars, buckets), BLOCKS))
+    shares = blocks.where("bucket is not null").select("block", "bucket", "numbers", "segments")
+    found = cut(shares.groupBy("bucket").applyInArrow(_bucket(a_path, b_path), TOKENS))
+    documents = blocks.where("bucket is null").select("block", "numbers", "doc_ids", "sizes")
+    whole = found.unionByName(documents, allowMissingColumns=True)
+    pairs = cut(whole.groupBy("block").applyInArrow(_count(a_path, b_path), "block long, pair long, n long"))
+    counts = pairs.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("a", F.shiftright("pair", 32))
     best = counts.groupBy("a").agg(F.max("count").alias("most"))
     ranked = counts.join(best, "a").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
-    links = aligned.where("groups is not null").select("segment", F.explode(F.arrays_zip("pairs", "times")).alias("x")).select("segment", F.col("x.pairs").alias("pair"), F.col("x.times").alias("times"))
-    # A pair that stands only in segments of texts without tokens has no count.
-    sums = links.join(ranked, "pair").groupBy("segment").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
-    figures = aligned.join(sums, "segment", "left").select(
-        "segment", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"), F.col("n_groups").cast("long").alias("n_groups"),
-        F.aggregate("times", F.lit(0), lambda acc, x: acc + x).cast("long").alias("n_links"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_best", "count_sum")], "groups",
-    )
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), *[T.StructField(f, T.LongType()) for f in FIGURES], T.StructField("groups", T.StringType())])
-    return by_block(places.join(figures, "segment").drop("segment"), _compose, schema)
+    known = pairs.join(ranked, "pair").select(F.col("block").alias("of_block"), "pair", "count", "best")
+    return whole.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(_compose(a_path, b_path), DOCUMENTS)
