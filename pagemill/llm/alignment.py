@@ -7,11 +7,12 @@ an A and a B token whose bytes overlap.
 another character. B's merges do not cross a place before a white-space character that no piece of B holds behind another character: ``Tokens`` reads off B's vocabulary
 which ones these are. So segments are tokenised each on its own, and groups and links stay within a segment.
 
-*Steps.* 1. A pass over the texts gives every block of about ``BLOCK_BYTES`` of text a dictionary of its segments, and every document their numbers; it is written
-to the shared folder. 2. A segment's hash deals it to a bucket; a bucket holds the dictionaries' shares of all blocks, tokenises its distinct segments, once each, and
-gives every block the tokens of its own. 3. Every block counts in how many of its documents each pair of ids is linked; the sums over all
-blocks are the pairs' counts. 4. The counts of a block's pairs are joined back to it, and it puts its documents together. A segment reaches a
-bucket once for each block, however often it stands there, so the commonest one is no hot key; no document is spread out into rows.
+*Steps.* 1. A pass over the texts gives every block of about ``BLOCK_CHARS`` of text a dictionary of its segments, and every document their numbers (the commonest
+first); it is written to the shared folder. 2. A segment's hash deals it to a bucket; a bucket holds the dictionaries' shares of all blocks, tokenises its distinct segments,
+once each, and gives every block the tokens of its own, which are written beside its documents, a row a block. 3. Every block counts in how many of its documents each pair of ids is linked; the sums over
+all blocks are the pairs' counts. 4. Every block puts its documents together. Counts of up to ``MOST_PAIRS`` pairs are broadcast for that (64 MB), more of them are
+joined back to the blocks. A segment reaches a bucket once for each block, however often it stands there, so the commonest one is no hot key; no document is
+spread out into rows, and what is shuffled is compressed by columns.
 
 Defined results: null and empty texts, and texts whose tokens of A or B do not give back the bytes of a space and the text, have no tokens: zeros and an empty string;
 every row is a document, repeated ones too; null ids pass through.
@@ -25,8 +26,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,10 +42,15 @@ BUCKET_CHARS = 16 << 20
 PART, PART_DOCS = 4096, 64
 MARK = "▁"
 
-#: A row for a block's share of a bucket (numbers: of its segments), and, with bucket null, one for its documents (numbers: of all their segments, sizes: how many each has).
-BLOCKS = "block long, bucket int, numbers binary, segments array<string>, doc_ids array<bigint>, sizes binary"
+#: Pairs whose counts are broadcast at most.
+MOST_PAIRS = 4 << 20
+
+#: A row for a block's share of a bucket (segments one after another, sizes in bytes, their numbers), and, with bucket null, one for its documents (sizes: how many segments each has, numbers: of all of these).
+BLOCKS = "block long, bucket int, sizes binary, numbers binary, segments binary, doc_ids array<bigint>"
 #: The tokens of a block's share of a bucket: sizes and ids of A and B, segment by segment; a segment that cannot be aligned has none.
 TOKENS = "block long, numbers binary, a_sizes binary, a_ids binary, b_sizes binary, b_ids binary"
+#: A whole block: its documents, and the tokens of all its segments in the order of their numbers.
+WHOLE = "block long, doc_ids array<bigint>, sizes binary, numbers binary, a_sizes binary, a_ids binary, b_sizes binary, b_ids binary"
 FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 DOCUMENTS = ", ".join(["doc_id long", *[f"{f} long" for f in FIGURES], "groups string"])
 
@@ -147,20 +153,36 @@ def _tables(a_path: str, b_path: str) -> list[tuple[np.ndarray, np.ndarray, np.n
     return out
 
 
-def _row(**values) -> pa.RecordBatch:
-    """One row of BLOCKS."""
-    kinds = {"block": pa.int64(), "bucket": pa.int32(), "numbers": pa.binary(), "segments": pa.list_(pa.string()), "doc_ids": pa.list_(pa.int64()), "sizes": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array([values.get(n)], k) for n, k in kinds.items()], list(kinds))
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed planes: all lowest bytes, then all second bytes, and so on."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table({name: pa.array([r[k] for r in rows], kinds[kind]) for k, (name, kind) in enumerate(fields)})
 
 
 def _split(a_path: str, b_path: str, block_chars: int, buckets: int):
     def rows(block: int, known: dict[str, int], ids: list, numbers: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        yield _row(block=block, doc_ids=ids, numbers=np.concatenate(numbers).tobytes(), sizes=np.array([len(n) for n in numbers], np.int32).tobytes())
-        segments = np.array(list(known), object)
-        bucket = np.array([xxhash.xxh64_intdigest(s) % buckets for s in known], np.int64)
+        places = np.concatenate(numbers)
+        by_use = np.argsort(-np.bincount(places, minlength=len(known)), kind="stable")
+        rank = np.empty(len(known), np.int64)
+        rank[by_use] = np.arange(len(known))
+        yield from _table(BLOCKS, [(block, None, packed(np.array([len(n) for n in numbers])), packed(rank[places]), None, ids)]).to_batches()
+        segments = [s.encode() for s in known]
+        bucket = np.array([xxhash.xxh64_intdigest(s) % buckets for s in segments], np.int64)[by_use]
         for b in np.unique(bucket).tolist():
             mine = np.flatnonzero(bucket == b)
-            yield _row(block=block, bucket=b, numbers=mine.astype(np.int32).tobytes(), segments=segments[mine].tolist())
+            raw = [segments[k] for k in by_use[mine].tolist()]
+            sizes = packed(np.array([len(s) for s in raw]))
+            yield from _table(BLOCKS, [(block, b, sizes, packed(np.diff(mine, prepend=0)), zstandard.compress(b"".join(raw), 3), None)]).to_batches()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter = tokens(a_path, b_path)
@@ -180,10 +202,6 @@ def _split(a_path: str, b_path: str, block_chars: int, buckets: int):
     return run
 
 
-def _ints(binary: pa.Scalar | bytes) -> np.ndarray:
-    return np.frombuffer(binary.as_py() if isinstance(binary, pa.Scalar) else binary, np.int32)
-
-
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of every span, one after another."""
     return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(sizes) else np.zeros(0, np.int64)
@@ -193,49 +211,63 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
 
+def _strings(row: dict) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(unpacked(row["sizes"]))]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(zstandard.decompress(row["segments"])))
+
+
 def _bucket(a_path: str, b_path: str):
     """The distinct segments of a bucket, tokenised; each of its rows gets the tokens of its own."""
 
     def run(table: pa.Table) -> pa.Table:
         both = tokens(a_path, b_path)
-        lists = table["segments"].combine_chunks()
-        coded = lists.flatten().dictionary_encode()
+        shares = table.select(["block", "sizes", "numbers", "segments"]).to_pylist()
+        lists = [_strings(r) for r in shares]
+        coded = pa.concat_arrays(lists).dictionary_encode()
         parts = [both.tokenise(coded.dictionary.slice(k, PART).to_pylist()) for k in range(0, len(coded.dictionary), PART)]
         sizes = [np.concatenate([p[k] for p in parts]) for k in (0, 2)]
         ids = [np.concatenate([p[k] for p in parts]) for k in (1, 3)]
         starts, at = [_starts(s) for s in sizes], coded.indices.to_numpy()
-        out: list[list[bytes]] = [[], [], [], []]
-        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
-        for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-            mine = at[a:b]
+        out, first = [], 0
+        for share, strings in zip(shares, lists, strict=True):
+            mine = at[first : first + len(strings)]
+            first += len(strings)
+            row = [share["block"], share["numbers"]]
             for side in (0, 1):
                 n = sizes[side][mine]
-                out[2 * side].append(n.tobytes())
-                out[2 * side + 1].append(ids[side][_spans(starts[side][mine], n)].tobytes())
-        return pa.table([table["block"], table["numbers"], *[pa.array(x, pa.binary()) for x in out]], [x.split()[0] for x in TOKENS.split(", ")])
+                row += [packed(n), packed(ids[side][_spans(starts[side][mine], n)])]
+            out.append(tuple(row))
+        return _table(TOKENS, out)
 
     return run
 
 
+def _gather(table: pa.Table) -> pa.Table:
+    """A block's row from those of its shares and of its documents."""
+    rows = table.to_pylist()
+    docs = next(r for r in rows if r["doc_ids"] is not None)
+    shares = [r for r in rows if r["doc_ids"] is None]
+    order = np.concatenate([np.zeros(0, np.int64), *[np.cumsum(unpacked(r["numbers"])) for r in shares]]).argsort()
+    out = []
+    for side in "ab":
+        n = np.concatenate([np.zeros(0, np.int64), *[unpacked(r[f"{side}_sizes"]) for r in shares]])
+        ids = np.concatenate([np.zeros(0, np.int64), *[unpacked(r[f"{side}_ids"]) for r in shares]])
+        out += [packed(n[order]), packed(ids[_spans(_starts(n)[:-1][order], n[order])])]
+    return _table(WHOLE, [(docs["block"], docs["doc_ids"], docs["sizes"], docs["numbers"], *out)])
+
+
 class Block:
     """A block's documents and the tokens of its segments, in the order of their numbers."""
 
-    def __init__(self, table: pa.Table, tables: list):
-        is_docs = table["doc_ids"].is_valid()
-        docs, shares = table.filter(is_docs), table.filter(pc.invert(is_docs))
-        self.doc_ids = docs["doc_ids"].combine_chunks().flatten()
-        self.sizes = np.concatenate([_ints(x) for x in docs["sizes"]])
-        self.places = np.concatenate([_ints(x) for x in docs["numbers"]])
+    def __init__(self, row: dict, tables: list):
+        self.doc_ids = row["doc_ids"]
+        self.sizes = unpacked(row["sizes"])
+        self.places = unpacked(row["numbers"])
         self.starts = _starts(self.sizes)
         self.of = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        numbers = np.concatenate([np.zeros(0, np.int32), *[_ints(x) for x in shares["numbers"]]])
-        order = numbers.argsort()
-        self.n, self.ids, self.tables = [], [], tables
-        for side in "ab":
-            n = np.concatenate([np.zeros(0, np.int32), *[_ints(x) for x in shares[f"{side}_sizes"]]])
-            ids = np.concatenate([np.zeros(0, np.int32), *[_ints(x) for x in shares[f"{side}_ids"]]])
-            self.n.append(n[order].astype(np.int64))
-            self.ids.append(ids[_spans(_starts(n)[:-1][order], n[order])])
+        self.tables = tables
+        self.n = [unpacked(row[f"{side}_sizes"]) for side in "ab"]
+        self.ids = [unpacked(row[f"{side}_ids"]) for side in "ab"]
         fine = self.n[0] > 0
         #: Documents that have tokens: they have segments, and all of these could be aligned.
         self.good = (self.sizes > 0) & (np.bincount(self.of, weights=~fine[self.places], minlength=len(self.sizes)) == 0)
@@ -243,7 +275,7 @@ class Block:
         ends = [np.cumsum(t[0][i]) for t, i in zip(tables, self.ids, strict=True)]
         all_ends = np.union1d(*ends)
         first, second = (np.searchsorted(e, all_ends) for e in ends)
-        self.pairs = self.ids[0][first].astype(np.int64) << 32 | self.ids[1][second]
+        self.pairs = self.ids[0][first] << 32 | self.ids[1][second]
         segment_ends = np.concatenate([[0], ends[0]])[_starts(self.n[0])[1:]]
         self.link_starts = np.searchsorted(all_ends, np.concatenate([[0], segment_ends]), "right")
         # As many common ends as there are groups.
@@ -300,44 +332,69 @@ class Block:
 
 
 def _count(a_path: str, b_path: str):
-    def run(table: pa.Table) -> pa.Table:
-        pairs, n = Block(table, _tables(a_path, b_path)).pair_counts()
-        return pa.table({"block": pa.array(np.full(len(pairs), table["block"][0].as_py()), pa.int64()), "pair": pairs, "n": n})
+    """(block, pair, n) of each block."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                pairs, n = Block(row, _tables(a_path, b_path)).pair_counts()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), row["block"])), pa.array(pairs), pa.array(n)], ["block", "pair", "n"])
 
     return run
 
 
-def _compose(a_path: str, b_path: str):
-    def run(table: pa.Table, counts: pa.Table) -> pa.Table:
-        block = Block(table, _tables(a_path, b_path))
+def _documents(block: Block, pairs: np.ndarray, counts: np.ndarray, best: np.ndarray) -> pa.Table:
+    """The block's documents; pairs are in order, with their counts and whether these are the highest of their id of A."""
+    # Pairs of segments that stand only in texts without tokens have no count, and no document asks for it.
+    at = np.minimum(np.searchsorted(pairs, block.pairs), max(0, len(pairs) - 1))
+    known = pairs[at] == block.pairs if len(pairs) else np.zeros(len(block.pairs), bool)
+    count, is_best = (np.where(known, x[at] if len(pairs) else 0, 0).astype(np.int64) for x in (counts, best))
+    by_segment = (*block.n, np.diff(block.group_starts), np.diff(block.link_starts), block.by_segment(is_best), block.by_segment(count))
+    texts, places = block.groups(), block.places
+    groups = [b"".join([texts[p] for p in places[a:b].tolist()])[:-1] if good else b"" for a, b, good in zip(block.starts[:-1], block.starts[1:], block.good, strict=True)]
+    figures = {f: pa.array(block.by_document(x), pa.int64()) for f, x in zip(FIGURES, by_segment, strict=True)}
+    return pa.table({"doc_id": pa.array(block.doc_ids, pa.int64()), **figures, "groups": pa.array(groups, pa.binary()).cast(pa.string())})
+
+
+def _compose(a_path: str, b_path: str, counts):
+    """Documents of each block, with all pairs' counts at hand."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from _documents(Block(row, _tables(a_path, b_path)), *counts.value).to_batches(max_chunksize=1024)
+
+    return run
+
+
+def _compose_joined(a_path: str, b_path: str):
+    """Documents of a block, with the counts of its own pairs joined to it."""
+
+    def run(block: pa.Table, counts: pa.Table) -> pa.Table:
         pairs = counts["pair"].to_numpy()
         order = pairs.argsort()
-        pairs, n, best = pairs[order], counts["count"].to_numpy()[order], counts["best"].to_numpy()[order]
-        # Pairs of segments that stand only in texts without tokens have no count, and no document asks for it.
-        at = np.minimum(np.searchsorted(pairs, block.pairs), len(pairs) - 1) if len(pairs) else np.zeros(0, np.int64)
-        known = pairs[at] == block.pairs if len(pairs) else np.zeros(len(block.pairs), bool)
-        count, is_best = (np.where(known, x[at] if len(pairs) else 0, 0).astype(np.int64) for x in (n, best))
-        by_segment = (*block.n, np.diff(block.group_starts), np.diff(block.link_starts), block.by_segment(is_best), block.by_segment(count))
-        texts, places = block.groups(), block.places.tolist()
-        groups = [b"".join([texts[p] for p in places[a:b]])[:-1] if good else b"" for a, b, good in zip(block.starts[:-1], block.starts[1:], block.good, strict=True)]
-        figures = {f: pa.array(block.by_document(x), pa.int64()) for f, x in zip(FIGURES, by_segment, strict=True)}
-        return pa.table({"doc_id": block.doc_ids, **figures, "groups": pa.array(groups, pa.binary()).cast(pa.string())})
+        return _documents(Block(block.to_pylist()[0], _tables(a_path, b_path)), pairs[order], *[counts[c].to_numpy()[order] for c in ("count", "best")])
 
     return run
 
 
-def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
+def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text: str = "text", block_chars: int = BLOCK_CHARS, bucket_chars: int = BUCKET_CHARS, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups) of every document; groups as ``a1,a2|b1;a3|b2,b3``."""
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     buckets = 1 + (named.agg(F.sum(F.length("text"))).first()[0] or 0) // bucket_chars
     blocks = cut(in_batches(named, _split(a_path, b_path, block_chars, buckets), BLOCKS))
-    shares = blocks.where("bucket is not null").select("block", "bucket", "numbers", "segments")
-    found = cut(shares.groupBy("bucket").applyInArrow(_bucket(a_path, b_path), TOKENS))
+    shares = blocks.where("bucket is not null").select("block", "bucket", "sizes", "numbers", "segments")
+    found = shares.groupBy("bucket").applyInArrow(_bucket(a_path, b_path), TOKENS)
     documents = blocks.where("bucket is null").select("block", "numbers", "doc_ids", "sizes")
-    whole = found.unionByName(documents, allowMissingColumns=True)
-    pairs = cut(whole.groupBy("block").applyInArrow(_count(a_path, b_path), "block long, pair long, n long"))
+    whole = cut(found.unionByName(documents, allowMissingColumns=True).groupBy("block").applyInArrow(_gather, WHOLE))
+    discard(blocks)
+    pairs = cut(in_batches(whole, _count(a_path, b_path), "block long, pair long, n long"))
     counts = pairs.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("a", F.shiftright("pair", 32))
     best = counts.groupBy("a").agg(F.max("count").alias("most"))
-    ranked = counts.join(best, "a").select("pair", "count", (F.col("count") == F.col("most")).alias("best"))
+    ranked = cut(counts.join(best, "a").select("pair", "count", (F.col("count") == F.col("most")).alias("best")))
+    if ranked.count() <= most_pairs:
+        all_pairs = ranked.orderBy("pair").toArrow()
+        counted = docs.sparkSession.sparkContext.broadcast(tuple(all_pairs[c].to_numpy() for c in ("pair", "count", "best")))
+        return in_batches(whole, _compose(a_path, b_path, counted), DOCUMENTS)
     known = pairs.join(ranked, "pair").select(F.col("block").alias("of_block"), "pair", "count", "best")
-    return whole.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(_compose(a_path, b_path), DOCUMENTS)
+    return whole.groupBy("block").cogroup(known.groupBy("of_block")).applyInArrow(_compose_joined(a_path, b_path), DOCUMENTS)

@@ -52,14 +52,14 @@ def frame(spark, rows, parts=3):
     return spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit("mine")).withColumn("segment", F.lit(1)).repartition(parts)
 
 
-@pytest.mark.parametrize("block_chars", [200, 1 << 20])
-def test_equals_whole_texts(spark, block_chars):
+@pytest.mark.parametrize("block_chars, most_pairs", [(200, 0), (200, 10**6), (1 << 20, 0), (1 << 20, 10**6)])
+def test_equals_whole_texts(spark, block_chars, most_pairs):
     rng = random.Random(block_chars)
     texts = [None, "", " ", "    ", "\n", "x", "▁", "a ▁b", "same text, twice", "same text, twice", "x" * 3000, "no spaces" * 50]
     texts += ["".join(rng.choice(MARKS) for _ in range(rng.randrange(1, 40))) for _ in range(150)]
     rows = [*enumerate(texts), (None, "null id"), (5, "again"), (5, "again")]
     expected = sorted((str(k), *p) for (k, _), p in zip(rows, plain([t for _, t in rows]), strict=True))
-    assert ours(frame(spark, rows), block_chars=block_chars, bucket_chars=500) == expected
+    assert ours(frame(spark, rows), block_chars=block_chars, bucket_chars=500, most_pairs=most_pairs) == expected
 
 
 def test_equals_whole_documents(spark):
