@@ -2,9 +2,138 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, in_batches
+
+#: Bits of the filter of words: 8 MB whatever the table. Beyond some millions of distinct words it lets more n-grams through, which the join then takes out.
+FILTER_BITS = 1 << 26
+#: Bytes of text handled at a time; a longer text is handled alone.
+CHUNK = 1 << 18
+# A fixed odd multiplier and its inverse modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class Chunk:
+    """Texts as bytes with their words; any range of words has a hash of its glued form, by prefix sums over the text without its blanks."""
+
+    def __init__(self, texts: list[str]):
+        self.raw = "\n".join(texts).encode()
+        bytes_ = np.frombuffer(self.raw, np.uint8)
+        ends_line = bytes_ == 0x0A
+        gap = (bytes_ == 0x20) | ends_line
+        self.start = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]])) if len(gap) else np.zeros(0, np.int64)
+        self.end = np.flatnonzero(~gap & np.concatenate([gap[1:], [True]])) + 1 if len(gap) else np.zeros(0, np.int64)
+        self.line = np.concatenate([[0], np.cumsum(ends_line)])[self.start]
+        glued = bytes_[~gap].astype(np.uint64) + np.uint64(1)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(glued * _powers(BASE, len(glued)), dtype=np.uint64)])
+        self.back = _powers(INVERSE, len(glued) + 1)
+        place = np.concatenate([[0], np.cumsum(~gap)])
+        self.glued_start, self.glued_end = place[self.start], place[self.end]
+
+    def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Of the words first to last of every range."""
+        a, b = self.glued_start[first], self.glued_end[last]
+        x = (self.sums[b] - self.sums[a]) * self.back[a]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(BASE)
+        return x ^ (x >> np.uint64(29))
+
+    def grams(self, m: int) -> np.ndarray:
+        """First words of the n-grams of m words, none of which goes over a line's end."""
+        n = len(self.start) - m + 1
+        return np.flatnonzero(self.line[:n] == self.line[m - 1 :]) if n > 0 else np.zeros(0, np.int64)
+
+    def form(self, first: int, last: int) -> str:
+        return " ".join(w for w in self.raw[self.start[first] : self.end[last]].decode().split(" ") if w)
+
+
+def _chunks(column: pa.Array) -> Iterator[Chunk]:
+    texts, size = [], 0
+    for t in column.to_pylist():
+        if t:
+            texts.append(t)
+            size += len(t)
+            if size >= CHUNK:
+                yield Chunk(texts)
+                texts, size = [], 0
+    if texts:
+        yield Chunk(texts)
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    """Two bit numbers of each hash, [2, hashes]."""
+    return np.stack([hashes % np.uint64(FILTER_BITS), (hashes >> np.uint64(32)) % np.uint64(FILTER_BITS)]).astype(np.int64)
+
+
+def _set_bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, bits) of the words of a task: cells of 32 bits."""
+    cells = np.zeros(FILTER_BITS >> 5, np.int64)
+    for batch in batches:
+        for chunk in _chunks(batch.column(0)):
+            every = np.arange(len(chunk.start))
+            slots = _slots(chunk.hashes(every, every)).reshape(-1)
+            np.bitwise_or.at(cells, slots >> 5, 1 << (slots & 31))
+    some = np.flatnonzero(cells)
+    for a in range(0, len(some), 1 << 16):
+        part = some[a : a + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(cells[part])], ["cell", "bits"])
+
+
+def _filter(words: DataFrame) -> np.ndarray:
+    """The filter of the words: FILTER_BITS bits reach the driver at most, two of them set for each word."""
+    cells = np.zeros(FILTER_BITS >> 5, np.uint32)
+    for batch in in_batches(words, _set_bits, "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits")).toArrow().to_batches():
+        cells[batch.column(0).to_numpy()] = batch.column(1).to_numpy().astype(np.uint32)
+    return cells
+
+
+def _spaced(cells, most: int):
+    """(variant) of every n-gram of 2 to ``most`` words whose glued form may be a word."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = cells.value
+        for batch in batches:
+            for chunk in _chunks(batch.column(0)):
+                out = []
+                for m in range(2, most + 1):
+                    first = chunk.grams(m)
+                    one, other = _slots(chunk.hashes(first, first + m - 1))
+                    hit = first[(bits[one >> 5] >> (one & 31).astype(np.uint32) & bits[other >> 5] >> (other & 31).astype(np.uint32) & np.uint32(1)).astype(bool)]
+                    out += [chunk.form(f, f + m - 1) for f in hit.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["variant"])
+
+    return run
+
+
+def conflict_index(texts: DataFrame, most: int = 6) -> DataFrame:
+    """(key, variant, n) of the keys that stand both glued and spaced: the part of ``ngram_index`` that conflicts and series need.
+
+    texts has one column, of texts of any number of lines; null texts have none. A glued form is a single word, so the distinct words are counted first. An n-gram of several words is worth a
+    row only if its glued form is one of them: a filter of the words (broadcast, of fixed size) drops nearly all others where they are read, an
+    exact join the rest.
+    """
+    text = texts.columns[0]
+    each = texts.select(F.explode(F.split(text, "[ \n]")).alias("key")).where("key != ''")
+    words = cut(each.groupBy("key").agg(F.count("*").alias("n")))
+    cells = texts.sparkSession.sparkContext.broadcast(_filter(words.select("key")))
+    spaced = in_batches(texts.select(text), _spaced(cells, most), "variant string").groupBy("variant").agg(F.count("*").alias("n"))
+    spaced = cut(spaced.select(F.translate("variant", " ", "").alias("key"), "variant", "n").join(words, "key", "left_semi"))
+    glued = words.join(spaced.select("key").distinct(), "key", "left_semi").select("key", F.col("key").alias("variant"), "n")
+    return glued.unionByName(spaced)
+
+
 def ngram_index(lines: DataFrame, most: int = 6, shortest: int = 1) -> DataFrame:
     """(key, variant, n): word n-grams of up to ``most`` words of every line, keyed by themselves without spaces.
 

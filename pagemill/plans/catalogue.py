@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import events_plans, project_plans, record_plans, report_plans, rulebook_plans, text_plans, wording_plans
+from . import events_plans, project_plans, record_plans, report_plans, rulebook_plans, series_plans, text_plans, wording_plans
 
-PLANS = (text_plans, wording_plans, record_plans, events_plans, report_plans, rulebook_plans, project_plans)
+PLANS = (text_plans, wording_plans, record_plans, events_plans, report_plans, rulebook_plans, project_plans, series_plans)
 
 
 def queries() -> dict:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clusters, records, spacing
-from ..sources.tables import lines, table
+from ..sources.tables import table
 from .record_plans import HALVES, _halves
-from .text_plans import _index, _index_sql
+from .text_plans import _conflicts, _index, _index_sql
 
 QUERIES: dict = {}
 LATIN = "a-zA-Z"
@@ -21,16 +21,15 @@ def query(sql: str | None):
     return add
 
 
-BOTH = _index_sql(2).replace("AS line FROM documents", "AS line FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)", 1)
+BOTH = _index_sql(6).replace("AS line FROM documents", "AS line FROM (SELECT text FROM documents UNION ALL SELECT text FROM conversations)", 1)
 DUAL = "d AS (SELECT key FROM x GROUP BY key HAVING bool_or(key = variant) AND bool_or(key <> variant))"
 
 
 @query(f"WITH {BOTH}, {DUAL} SELECT key, variant, n FROM x JOIN d USING (key)")
 def merged_clusters(spark, sf_dir):
     """Glued and spaced forms with their counts, over documents and conversations as one."""
-    talk = lines(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "text")).select("line")
-    x = clusters.merged(_index(spark, sf_dir, 2), spacing.ngram_index(talk, 2))
-    return x.join(spacing.conflicts(x).select("key"), "key", "left_semi").select("key", "variant", "n")
+    both = [table(spark, sf_dir, t).select("text") for t in ("documents", "conversations")]
+    return spacing.conflict_index(both[0].unionByName(both[1])).select("key", "variant", "n")
 
 
 N = lambda w: f"len(regexp_extract_all({w}, '[a-zA-Z]'))"
@@ -44,11 +43,11 @@ def strong_clusters(spark, sf_dir):
     return c.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("variants")).where("variants > 1")
 
 
-@query(f"""WITH {_index_sql(2)}, r AS (SELECT x.*, k.recommended FROM x LEFT JOIN k USING (key) WHERE NOT starts_with(key, 'th')), c AS (SELECT n, CASE WHEN recommended IS NOT NULL AND starts_with(key, 'e') THEN recommended ELSE variant END AS v FROM r)
+@query(f"""WITH {_index_sql(6)}, r AS (SELECT x.*, k.recommended FROM x LEFT JOIN k USING (key) WHERE NOT starts_with(key, 'th')), c AS (SELECT n, CASE WHEN recommended IS NOT NULL AND starts_with(key, 'e') THEN recommended ELSE variant END AS v FROM r)
 SELECT sum(n) FILTER (NOT contains(v, ' '))::BIGINT AS glued, sum(n) FILTER (contains(v, ' '))::BIGINT AS spaced FROM c""")
 def choice_totals(spark, sf_dir):
     """Glued and spaced findings once the choices made count, hidden clusters aside."""
-    x = _index(spark, sf_dir, 2)
+    x = _index(spark, sf_dir)
     chosen = spacing.conflicts(x).where("startswith(key, 'e')").select("key", F.col("recommended").alias("chosen"))
     return clusters.totals(x, chosen, x.where("startswith(key, 'th')").select("key"))
 
@@ -64,11 +63,11 @@ def opposite_forms(spark, sf_dir):
     return p.select("p_partkey", clusters.opposite(k, v, F.col("a")).alias("after"), clusters.opposite(k, v, F.col("b"), end=True).alias("before"), clusters.is_satellite(v, n, F.col("a")).alias("starts"), clusters.is_satellite(v, n, F.right("b", F.lit(2)), end=True).alias("ends"))
 
 
-@query(f"""WITH {_index_sql(2)}, h AS (SELECT affix, CASE WHEN glued_share >= 0.7 THEN 'glued' WHEN glued_share <= 0.3 THEN 'spaced' END AS trend FROM t)
+@query(f"""WITH {_index_sql(6)}, h AS (SELECT affix, CASE WHEN glued_share >= 0.7 THEN 'glued' WHEN glued_share <= 0.3 THEN 'spaced' END AS trend FROM t)
 SELECT DISTINCT affix, key, trend FROM a JOIN h USING (affix) JOIN k USING (key) WHERE trend IS NOT NULL AND (trend = 'spaced') <> contains(recommended, ' ')""")
 def series_hints(spark, sf_dir):
     """Clusters whose recommended form goes against their series."""
-    x = _index(spark, sf_dir, 2)
+    x = _conflicts(spark, sf_dir)
     variants = spacing.with_affix(x)
     return clusters.hints(variants, spacing.series_trend(variants), spacing.conflicts(x))
 
@@ -81,11 +80,11 @@ def suffix_before_prefix(spark, sf_dir):
     return clusters.suffix_first(p.groupBy(F.col("p_name").alias("key"), kind.alias("affix_type"), F.concat("p_type", F.col("p_size").cast("string")).alias("found")).agg(F.count("*").alias("n")))
 
 
-@query(f"""WITH {_index_sql(3)}, sp AS (SELECT key, string_split(min(variant), ' ') AS w FROM x WHERE contains(variant, ' ') GROUP BY key)
+@query(f"""WITH {_index_sql(6)}, sp AS (SELECT key, string_split(arg_min(variant, (-n, length(variant) - length(key), variant)), ' ') AS w FROM x WHERE contains(variant, ' ') GROUP BY key)
 SELECT u.key AS under, count(*) AS keys, min(l.key) AS first_key FROM sp u JOIN sp l ON u.w[1] = l.w[1] AND u.w[2] = l.w[2] AND len(l.w) > len(u.w) AND length(l.key) > length(u.key) AND starts_with(l.key, u.key) GROUP BY u.key""")
 def nested_clusters(spark, sf_dir):
-    """Clusters of three words by the clusters of two that they go on from."""
-    return clusters.nested(_index(spark, sf_dir, 3)).groupBy("under").agg(F.count("*").alias("keys"), F.min("key").alias("first_key"))
+    """Clusters by those of fewer words that they go on from."""
+    return clusters.nested(_index(spark, sf_dir)).groupBy("under").agg(F.count("*").alias("keys"), F.min("key").alias("first_key"))
 
 
 @query(f"""WITH {HALVES}, c AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS o_totalprice, o_orderdate FROM a)

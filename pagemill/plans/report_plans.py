@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import matching, reports, spacing
 from ..sources.tables import Rule, table
-from .text_plans import CHOSEN, FILTERED, RULES, TOKENS, _filtered, _index, _index_sql, _matches, _positions, _tokens
+from .text_plans import CHOSEN, FILTERED, RULES, TOKENS, _filtered, _conflicts, _index, _index_sql, _matches, _positions, _tokens
 
 QUERIES: dict = {}
 EXCLUDING = [Rule(1, "tion", exclude_phrases=("tional", "tions")), Rule(2, "([sc])?tion", regex=True, exclude_prefixes=("s",))]
@@ -53,16 +53,16 @@ def findings_by_category(spark, sf_dir):
     return groups.groupBy("category").agg(F.sum("n").alias("findings"), F.count("*").alias("groups_with_findings"), F.count_if(F.col("n") >= 1000).alias("large_groups"))
 
 
-@query(f"WITH {_index_sql(2)} SELECT affix, glued, spaced, glued + spaced AS total, CASE WHEN glued / (glued + spaced) >= 0.8 THEN 'glued' WHEN spaced / (glued + spaced) >= 0.8 THEN 'spaced' END AS dominant FROM (SELECT affix, coalesce(sum(n) FILTER (NOT contains(variant, ' ')), 0)::BIGINT AS glued, coalesce(sum(n) FILTER (contains(variant, ' ')), 0)::BIGINT AS spaced FROM a GROUP BY affix)")
+@query(f"WITH {_index_sql(6)} SELECT affix, glued, spaced, glued + spaced AS total, CASE WHEN glued / (glued + spaced) >= 0.8 THEN 'glued' WHEN spaced / (glued + spaced) >= 0.8 THEN 'spaced' END AS dominant FROM (SELECT affix, coalesce(sum(n) FILTER (NOT contains(variant, ' ')), 0)::BIGINT AS glued, coalesce(sum(n) FILTER (contains(variant, ' ')), 0)::BIGINT AS spaced FROM a GROUP BY affix)")
 def spacing_totals(spark, sf_dir):
-    return reports.spacing_totals(spacing.with_affix(_index(spark, sf_dir, 2)), "affix")
+    return reports.spacing_totals(spacing.with_affix(_conflicts(spark, sf_dir)), "affix")
 
 
-@query(f"WITH {_index_sql(2)} SELECT key, total, dual FROM (SELECT key, sum(n)::BIGINT AS total, bool_or(key = variant) AND bool_or(key <> variant) AS dual FROM x GROUP BY key) WHERE total >= 10")
+@query(f"WITH {_index_sql(6)} SELECT key, total, dual FROM (SELECT key, sum(n)::BIGINT AS total, bool_or(key = variant) AND bool_or(key <> variant) AS dual FROM x GROUP BY key) WHERE total >= 10")
 def cluster_order(spark, sf_dir):
     """Frequent clusters: those of both forms first, then the commonest, then by key."""
     glued = F.col("key") == F.col("variant")
-    c = _index(spark, sf_dir, 2).groupBy("key").agg(F.sum("n").alias("total"), (F.bool_or(glued) & F.bool_or(~glued)).alias("dual")).where("total >= 10")
+    c = _index(spark, sf_dir).groupBy("key").agg(F.sum("n").alias("total"), (F.bool_or(glued) & F.bool_or(~glued)).alias("dual")).where("total >= 10")
     return c.orderBy(F.desc("dual"), F.desc("total"), "key")
 
 

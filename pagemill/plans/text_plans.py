@@ -179,15 +179,20 @@ def _index(spark, sf_dir, most: int = 6):
     return spacing.ngram_index(lines(table(spark, sf_dir, "documents")).select("line"), most)
 
 
+def _conflicts(spark, sf_dir, most: int = 6):
+    """The part of the index that has both forms of a key."""
+    return spacing.conflict_index(table(spark, sf_dir, "documents").select("text"), most)
+
+
 @query(f"WITH {_index_sql(6)} SELECT key, n_variants, total, recommended FROM k")
 def spacing_conflicts(spark, sf_dir):
-    return spacing.conflicts(_index(spark, sf_dir))
+    return spacing.conflicts(_conflicts(spark, sf_dir))
 
 
 @query(f"WITH {_index_sql(6)} SELECT key, n_variants, total, recommended FROM k ORDER BY total DESC, key LIMIT 50")
 def spacing_conflicts_topk(spark, sf_dir):
     """The report's fifty most frequent conflicts."""
-    return spacing.conflicts(_index(spark, sf_dir)).orderBy(F.desc("total"), "key").limit(50)
+    return spacing.conflicts(_conflicts(spark, sf_dir)).orderBy(F.desc("total"), "key").limit(50)
 
 
 @query(f"WITH {_index_sql(6)} SELECT length(variant) - length(key) + 1 AS words, count(*) AS variants, sum(n)::BIGINT AS n, max(n) AS most FROM x GROUP BY ALL")
@@ -198,12 +203,12 @@ def ngram_index(spark, sf_dir):
 
 @query(f"WITH {_index_sql(6)} SELECT affix, n_keys, total, glued_share FROM t")
 def series_trend(spark, sf_dir):
-    return spacing.series_trend(spacing.with_affix(_index(spark, sf_dir)))
+    return spacing.series_trend(spacing.with_affix(_conflicts(spark, sf_dir)))
 
 
 @query(f"WITH {_index_sql(6)} SELECT affix, key, arg_min(variant, (-n, variant)) AS preselected FROM a JOIN (SELECT affix, glued_share >= 0.8 AS g FROM t WHERE glued_share >= 0.8 OR glued_share <= 0.2) USING (affix) WHERE (variant = key) = g GROUP BY ALL")
 def series_majority(spark, sf_dir):
-    return spacing.series_majority(spacing.with_affix(_index(spark, sf_dir)), 0.8)
+    return spacing.series_majority(spacing.with_affix(_conflicts(spark, sf_dir)), 0.8)
 
 
 @query(f"""WITH {_index_sql(6)}, f AS (SELECT DISTINCT affix FROM a WHERE length(affix) >= 4), u AS (SELECT key FROM x GROUP BY key HAVING count(*) = 1),
