@@ -9,7 +9,8 @@ in a small per-query top-k.
 Queries come in blocks as well, so a task holds one block of vectors and one of queries, whatever the table's size.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; vectors of another length than the
-query's are not compared with it; null ids take no part; repeated rows are candidates each; ties go to the smaller id; vectors of
+query's are not compared with it; null ids take no part; repeated rows are candidates each, but rows of the query's own id are none; rows of one query id with different vectors are
+a search each (ranks begin anew), equal ones are one search; ties go to the smaller id; vectors of
 very small or large components are scaled by powers of two, which leaves their cosines as they are.
 """
 
@@ -100,6 +101,7 @@ def cosine(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
 def _search(k: int):
     def run(table: pa.Table) -> pa.Table:
         is_query = table["is_query"].to_numpy()
+        marks = table["mark"].to_numpy()
         ids = table["vec_id"].to_numpy()
         dims = np.diff(table["vec"].combine_chunks().offsets.to_numpy())
         flat = table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
@@ -113,11 +115,11 @@ def _search(k: int):
             take = lambda rows: scaled(flat[(starts[rows][:, None] + np.arange(d)).reshape(-1)].reshape(len(rows), d))  # noqa: B023, E731
             mine = mine[np.argsort(ids[mine], kind="stable")]
             block = Block(take(mine))
-            for q, v in zip(ids[asked].tolist(), take(asked), strict=True):
+            for q, mark, v in zip(ids[asked].tolist(), marks[asked].tolist(), take(asked), strict=True):
                 found, score = block.nearest(v, ids[mine], q, k)
-                out.append((np.full(len(found), q), found, score))
-        cols = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(3)]
-        return pa.Table.from_arrays([pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2].astype(np.float64))], ["query_id", "vec_id", "score"])
+                out.append((np.full(len(found), q), np.full(len(found), mark), found, score))
+        cols = [np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in range(4)]
+        return pa.Table.from_arrays([*[pa.array(c.astype(np.int64)) for c in cols[:3]], pa.array(cols[3].astype(np.float64))], ["query_id", "mark", "vec_id", "score"])
 
     return run
 
@@ -138,9 +140,10 @@ def search(vectors: DataFrame, queries, k: int = 5, key: str = "vec_id", column:
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     query_block = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks)).cast("int")
-    theirs = base.select(block.alias("block"), every(query_blocks).alias("query_block"), F.lit(False).alias("is_query"), "vec_id", "vec")
-    ours = base.where(queries).select(every(blocks).alias("block"), query_block.alias("query_block"), F.lit(True).alias("is_query"), "vec_id", "vec")
+    theirs = base.select(block.alias("block"), every(query_blocks).alias("query_block"), F.lit(False).alias("is_query"), F.lit(0).cast("long").alias("mark"), "vec_id", "vec")
+    # The mark tells different vectors of one query id apart.
+    ours = base.where(queries).withColumn("mark", F.xxhash64("vec")).dropDuplicates(["vec_id", "mark"]).select(every(blocks).alias("block"), query_block.alias("query_block"), F.lit(True).alias("is_query"), "mark", "vec_id", "vec")
     pairs = theirs.unionByName(ours)
-    found = pairs.groupBy("block", "query_block").applyInArrow(_search(k), "query_id long, vec_id long, score double")
-    nearest_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = pairs.groupBy("block", "query_block").applyInArrow(_search(k), "query_id long, mark long, vec_id long, score double")
+    nearest_first = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(nearest_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

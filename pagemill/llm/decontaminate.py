@@ -43,6 +43,7 @@ FILTER_BITS = 1 << 26
 # Unit words.
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "ms", "min", "h", "inch", "inches", "foot", "feet", "yard", "yards", "mile", "miles", "ounce", "ounces", "pound", "pounds", "gallon", "gallons", "liter", "liters", "litre", "litres", "meter", "meters", "metre", "metres", "kilometer", "kilometers", "kilometre", "kilometres", "gram", "grams", "kilogram", "kilograms", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "dollar", "dollars", "cent", "cents", "euro", "euros", "percent", "degree", "degrees", "mph", "kmh", "usd", "eur"]
 
+APOSTROPHES = "\u2018\u2019\u201b\u02bc\u2032"
 LETTER = np.zeros(256, bool)
 LETTER[[*range(ord("a"), ord("z") + 1), *range(ord("A"), ord("Z") + 1), *range(128, 256)]] = True
 DIGIT = np.zeros(256, bool)
@@ -70,20 +71,23 @@ UNIT_HASHES = _unit_hashes()
 def canonical(raw: np.ndarray, offsets: np.ndarray) -> tuple[ta.Words, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Words, their lower-case hashes, and two readings, with words that open sentences plain and as names: canonical hashes and which are slots."""
     n = len(raw)
-    digit, point = DIGIT[raw], POINT[raw]
+    digit, point, letter = DIGIT[raw], POINT[raw], LETTER[raw]
     inner = np.zeros(n, bool)
     if n > 2:
-        inner[1:-1] = point[1:-1] & digit[:-2] & digit[2:]
-    words = ta.split(ta.LOWER[raw], offsets, LETTER[raw] | digit | inner)
+        inner[1:-1] = (point[1:-1] & digit[:-2] & digit[2:]) | ((raw[1:-1] == ord("'")) & letter[:-2] & letter[2:])
+    words = ta.split(ta.LOWER[raw], offsets, letter | digit | inner)
     plain = words.hashes()
     stops = np.concatenate([[0], np.cumsum(STOP[raw] & ~inner)])
     before = np.concatenate([[0], words.end[:-1]])[: len(words.start)]
     opens = (stops[words.start] > stops[before]) | np.isin(np.arange(len(words.start)), words.first[:-1])
     number = digit[words.start] if len(words.start) else np.zeros(0, bool)
     capital = UPPER[raw[words.start]] if len(words.start) else number
+    # Units of one letter are units behind a number only.
+    behind = np.concatenate([[False], number[:-1]]) & ~np.isin(np.arange(len(words.start)), words.first[:-1])
+    may_be_unit = (words.end - words.start > 1) | behind[: len(words.start)]
     readings = []
     for name in (capital & ~opens, capital):
-        unit = np.isin(plain, UNIT_HASHES) & ~number & ~name
+        unit = np.isin(plain, UNIT_HASHES) & may_be_unit & ~number & ~name
         readings.append((np.where(number, NUMBER, np.where(name, NAME, np.where(unit, UNIT, plain))), number | name | unit))
     return words, plain, readings
 
@@ -140,7 +144,9 @@ WINDOWS = "id long, text_id long, hash long, at int, slots array<long>, solid bo
 
 
 def _texts(df: DataFrame, key: str) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("id"), F.xxhash64(whole_text()).alias("text_id"), whole_text().alias("text"))
+    """Typographic apostrophes become plain ones; other characters outside ASCII that are no letters, marks or digits part words."""
+    plain = F.regexp_replace(F.translate(whole_text(), APOSTROPHES, "'" * len(APOSTROPHES)), r"[^\p{L}\p{M}\p{N}\x00-\x7F]", " ")
+    return df.select(F.col(key).cast("long").alias("id"), F.xxhash64(whole_text()).alias("text_id"), plain.alias("text"))
 
 
 def _filter_bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

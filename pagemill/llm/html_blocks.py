@@ -13,14 +13,20 @@ from . import textarrays as ta
 
 # Elements that do not end a block, elements whose content is not text, elements without content.
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-DROPPED = "script|style|template|noscript|title|textarea|iframe|svg|math|object|select"
+# Formulas stand inside sentences: their elements end no block.
+INLINE |= set("math mrow mi mo mn ms mtext mspace mfrac msqrt mroot mstyle mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd semantics".split())
+# Raw text up to their end tag, or to the end of the page, as browsers read it; and elements that show no text of the page, up to their end tag if they have one.
+RAW = "script|style|title|textarea|iframe|noscript|noembed|noframes|xmp"
+HIDDEN = set("svg select template annotation annotation-xml".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 # Elements that end an open element of the same kind.
 SELF_CLOSING = set("p li dt dd tr td th option".split())
 
 #: Attributes up to the end of the tag; a quote opens a value only after an equals sign.
 ATTRS = r"""(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|[="'])*+"""
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{DROPPED})\b{ATTRS}>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>{ATTRS})(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+#: A tag's name ends at white space, a slash or the tag's end: svg-icon is no svg.
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>]){ATTRS}>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>{ATTRS})(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in HIDDEN}
 #: Of a block's open elements the outermost and the innermost so many make its path, each with so many words of its names.
 OUTER, INNER, NAME_WORDS = 6, 10, 8
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -38,7 +44,11 @@ class Block:
 
 
 def blocks(html: str) -> list[Block]:
-    """Non-empty blocks in page order: text between block-level tags, character references decoded, white space as one space."""
+    """Non-empty blocks in page order: text between block-level tags, character references decoded, white space as one space.
+
+    Elements that are not closed hide nothing but where browsers read raw text. Of a block's path, OUTER + INNER open elements and NAME_WORDS words of each one's names
+    are kept; that bounds features, not texts.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
@@ -55,7 +65,10 @@ def blocks(html: str) -> list[Block]:
         linked = 0
 
     last = 0
+    without_end: set[str] = set()
     for m in TOKEN.finditer(html):
+        if m.start() < last:  # inside of a hidden element
+            continue
         if m.start() > last:
             piece = html[last : m.start()]
             parts.append(piece)
@@ -64,6 +77,13 @@ def blocks(html: str) -> list[Block]:
         if not (tag := m["tag"]):
             continue
         tag = tag.lower()
+        if tag in HIDDEN:
+            if not m["end"] and not m["attrs"].endswith("/") and tag not in without_end:
+                if closed := ENDS[tag].search(html, last):
+                    last = closed.end()
+                else:
+                    without_end.add(tag)
+            continue
         if tag in INLINE:
             if tag == "br":
                 parts.append(" ")

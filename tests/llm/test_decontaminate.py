@@ -34,3 +34,21 @@ def test_names_that_open_sentences(spark):
     short = "Which river runs past the old town?"
     docs = [story.format("Natalia"), story.format("Maria").replace("48", "52"), 'They were asked, "Which river runs past the old town?" and left', "Nothing here"]
     assert judged(spark, [story.format("Natalia"), short], docs) == {0: "0", 1: "0", 2: "1", 3: ""}
+
+
+def test_typographic_marks_hide_no_copy(spark):
+    item = "Natalia sold 48 clips to her friend's shop - and said, \"it's enough\" - before she didn't sell any more of them in May."
+    marks = item.replace("'", "’").replace(' "', " “").replace('"', "”").replace(" - ", "—")
+    docs = spark.createDataFrame([(1, f"Before. {marks} After."), (2, f"Before. {item} After."), (3, "Natalia’s shop sold nothing.")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (8, marks)], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.coverage for r in decontaminate.contamination(docs, bench).collect()}
+    assert {(1, 7), (1, 8), (2, 7), (2, 8)} == set(found)
+
+
+def test_apostrophes_and_single_letters_are_no_units():
+    import numpy as np
+
+    raw = np.frombuffer("don't it's I'm 5 m s 3 l".encode(), np.uint8)
+    words, _, readings = decontaminate.canonical(raw, np.array([0, len(raw)]))
+    assert [bytes(raw[a:b]).decode() for a, b in zip(words.start, words.end)] == ["don't", "it's", "I'm", "5", "m", "s", "3", "l"]
+    assert (readings[0][0] == decontaminate.UNIT).tolist() == [False, False, False, False, True, False, False, True]

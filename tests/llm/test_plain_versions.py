@@ -176,3 +176,10 @@ def test_hashes_of_a_text_are_independent(spark):
     for r in rows:
         again = spark.range(1).select(F.xxhash64(F.lit("x")).alias("x")).first()
         assert r.t2 != r.chained and r.t2 != r.h and again.x
+
+
+def test_rows_of_one_query_id_are_searches_of_their_own(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [1.0, 0.0]), *[(k, [1.0, 0.1 * k]) for k in range(1, 8)]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id) for r in ann.search(df, F.col("vec_id") % 50 == 0, k=3).collect())
+    assert got == sorted([(1, 1), (2, 2), (3, 3), (1, 7), (2, 6), (3, 5)])
