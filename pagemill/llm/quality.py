@@ -4,7 +4,7 @@
 2. *Weak-label model.* Texts with equal votes count as one pattern, so all documents fit in a table of
    at most 3**labellers patterns, summed in Spark. Expectation-maximisation over the pattern counts estimates each labeller's
    accuracy and the share of good texts, and gives every pattern its posterior.
-3. *Scorer.* On a bounded sample (about ``SAMPLE`` distinct texts, at most twice as many, of the least text hashes), posterior labels train a logistic
+3. *Scorer.* On a bounded sample (about ``SAMPLE`` distinct texts of up to ``SAMPLE_CHARS`` characters, at most twice as many, of the least text hashes), posterior labels train a logistic
    regression on hashed shapes of words and of their neighbourhoods. It scores every document over its whole text.
 
 A document is kept if the scorer gives at least ``KEEP``.
@@ -59,7 +59,7 @@ LABELLERS = (
     ("exclamation marks per word", 0.05, 0.40),
     ("share of words of marks alone", 0.03, 0.25),
     ("share of words with letters and symbols mixed", 0.04, 0.30),
-    ("words per distinct word, less 1, of up to 200 words' hash buckets", 1.0, 3.0),
+    ("words to the power of 0.7 per distinct word", 0.41, 0.82),
 )
 
 
@@ -92,8 +92,10 @@ def _measures(words: ta.Words, raw: np.ndarray, offsets: np.ndarray) -> tuple[np
     out[:, 4] = np.diff(bang[offsets]) / n_words
     out[:, 5] = count(marks) / n_words
     out[:, 6] = count(mixed) / n_words
-    buckets = np.unique(words.row * 256 + (hashes % np.uint64(256)).astype(np.int64)) // 256
-    out[:, 7] = np.where(n_words >= 40, np.minimum(n_words, 200) / np.maximum(1, np.bincount(buckets, minlength=rows)) - 1, 0)
+    # Distinct words grow with a power of the words, so that the quotient tells about texts of any length; of a few words it tells nothing.
+    _, once = np.unique(ta.mix(hashes ^ ta.mix(words.row.astype(np.uint64))), return_index=True)
+    distinct = np.bincount(words.row[once], minlength=rows)
+    out[:, 7] = np.where(n_words >= 40, n_words**0.7 / np.maximum(1, distinct), 0)
     # Shape of a word: its kinds, capped counts, and whether it repeats the one before; with its neighbour's.
     cap = lambda x, m: np.minimum(x, m)
     shape = cap(per_kind[1][0], 2) + 3 * (cap(per_kind[2][0], 2) + 3 * (cap(per_kind[3][0], 1) + 2 * (cap(per_kind[4][0], 1) + 2 * (cap(per_kind[5][0], 2) + 3 * (cap(per_kind[6][0], 1) + 2 * (same + 2 * bar))))))

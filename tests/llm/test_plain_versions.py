@@ -183,3 +183,13 @@ def test_rows_of_one_query_id_are_searches_of_their_own(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted((r["rank"], r.vec_id) for r in ann.search(df, F.col("vec_id") % 50 == 0, k=3).collect())
     assert got == sorted([(1, 1), (2, 2), (3, 3), (1, 7), (2, 6), (3, 5)])
+
+
+def test_long_texts_of_few_words_are_told_like_short_ones():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    few, many = [f"w{k}" for k in range(60)], [f"v{k}" for k in range(3000)]
+    texts = [" ".join(rng.choice(few) for _ in range(5000)), " ".join(rng.choice(many) for _ in range(5000)), " ".join(rng.choice(few[:8]) for _ in range(60)), " ".join(rng.choice(many) for _ in range(60))]
+    told = np.concatenate([quality.votes(quality._measures(*x)[0], np.zeros(len(x[2]) - 1, bool))[:, 7] for x in quality._chunks(pa.array(texts))])
+    assert told.tolist() == [quality.BAD, quality.GOOD, quality.BAD, quality.GOOD]
