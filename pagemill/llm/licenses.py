@@ -39,11 +39,28 @@ NOTICE_PHRASES = {
     "cc0": "cc0",
     "creative commons": "cc",
     "all rights reserved": "reserved",
+    "bsd 2 clause": "bsd",
+    "bsd 3 clause": "bsd",
+    "2 clause bsd": "bsd",
+    "3 clause bsd": "bsd",
+    "gnu gpl": "gpl",
+    "gplv2": "gpl",
+    "gplv3": "gpl",
+    "gnu lgpl": "lgpl",
+    "lgplv3": "lgpl",
+    "gnu agpl": "agpl",
+    "agplv3": "agpl",
+    "zlib license": "zlib",
+    "boost software license": "bsl",
+    "artistic license": "artistic",
+    "open font license": "ofl",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
 }
 # Fixed value: words of an identifier tag; an expression follows it.
 TAG = "spdx license identifier"
 # How freely text under a label may be reused.
-FREEDOM = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "cc0": 1.0, "cc-by": 0.9, "cc": 0.5, "mpl": 0.7, "epl": 0.7, "lgpl": 0.6, "cc-by-sa": 0.5, "gpl": 0.4, "agpl": 0.2, "cc-by-nc": 0.1, "reserved": 0.0}
+FREEDOM = {"mit": 1.0, "apache": 1.0, "bsd": 1.0, "isc": 1.0, "cc0": 1.0, "cc-by": 0.9, "cc": 0.5, "mpl": 0.7, "epl": 0.7, "lgpl": 0.6, "cc-by-sa": 0.5, "gpl": 0.4, "agpl": 0.2, "cc-by-nc": 0.1, "reserved": 0.0, "zlib": 1.0, "bsl": 1.0, "permissive": 1.0, "artistic": 0.8, "ofl": 0.7, "cddl": 0.7, "cpl": 0.7, "eupl": 0.5, "osl": 0.4, "cecill": 0.4, "gfdl": 0.4, "source-available": 0.1, "unknown": 0.0}
 # How the published short identifiers of each label are built; a whole token has to match.
 IDENTIFIERS = {
     "mit": r"mit(-0|-advertising|-cmu|-enna|-feh|-festival|-khronos-old|-modern-variant|-open-group|-testregex|-wu)?|x11|expat",
@@ -59,6 +76,18 @@ IDENTIFIERS = {
     "gpl": r"gpl-[1-3]\.0(\+|-only|-or-later)?",
     "mpl": r"mpl-(1\.0|1\.1|2\.0)(-no-copyleft-exception)?",
     "epl": r"epl-[12]\.0",
+    "zlib": r"zlib(-acknowledgement)?|libpng(-2\.0)?",
+    "bsl": r"bsl-1\.0",
+    "artistic": r"artistic-(1\.0(-cl8|-perl)?|2\.0)|clartistic",
+    "ofl": r"ofl-1\.[01](-rfn|-no-rfn)?",
+    "cddl": r"cddl-1\.[01]",
+    "cpl": r"cpl-1\.0|ipl-1\.0|ms-rl|apsl-(1\.[0-2]|2\.0)|nposl-3\.0|spl-1\.0",
+    "eupl": r"eupl-1\.[0-2]",
+    "osl": r"osl-(1\.0|1\.1|2\.0|2\.1|3\.0)",
+    "cecill": r"cecill-(1\.0|1\.1|2\.0|2\.1|b|c)",
+    "gfdl": r"gfdl-1\.[1-3](-invariants|-no-invariants)?(-only|-or-later)?",
+    "source-available": r"busl-1\.1|sspl-1\.0|elastic-2\.0|polyform-[a-z-]+-1\.0\.0",
+    "permissive": r"afl-(1\.[12]|2\.[01]|3\.0)|beerware|blueoak-1\.0\.0|curl|ecl-[12]\.0|fsfap|fsful(lr)?|hpnd(-[a-z0-9-]+)?|icu|ijg|intel|json|miros|ms-pl|mulanpsl-[12]\.0|naist-2003|ncsa|ntp(-0)?|openssl|php-3\.0(1)?|postgresql|psf-2\.0|python-2\.0(\.1)?|ruby|tcl|unicode-(3\.0|dfs-201[56]|tou)|upl-1\.0|vim|w3c(-19980720|-20150513)?|wtfpl|xnet|zpl-(1\.1|2\.[01])",
 }
 IDENTIFIER_RE = re.compile("|".join(f"(?P<{label.replace('-', '_')}>{pattern})" for label, pattern in IDENTIFIERS.items()), re.I)
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
@@ -118,7 +147,7 @@ def parse(expression: str) -> list[str] | None:
 
 
 def evaluate(postfix: list[str]) -> tuple[float, set[str]]:
-    """Score and labels of a parsed expression; an unknown identifier scores 0 and has no label."""
+    """Score and labels of a parsed expression; an identifier of no known label is ``unknown`` and scores 0, as nothing is known to be allowed."""
     values: list[tuple[float, set[str]]] = []
     for token in postfix:
         if token in PRECEDENCE:
@@ -126,8 +155,8 @@ def evaluate(postfix: list[str]) -> tuple[float, set[str]]:
             # What stands after WITH is an exception, no licence: it gives no label.
             values.append(((1 + left) / 2, ours) if token == "with" else (max(left, right) if token == "or" else min(left, right), ours | theirs))
         else:
-            label = label_of(token)
-            values.append((FREEDOM.get(label, 0.0), {label} if label else set()))
+            label = label_of(token) or "unknown"
+            values.append((FREEDOM[label], {label}))
     return values[-1]
 
 

@@ -193,3 +193,11 @@ def test_long_texts_of_few_words_are_told_like_short_ones():
     texts = [" ".join(rng.choice(few) for _ in range(5000)), " ".join(rng.choice(many) for _ in range(5000)), " ".join(rng.choice(few[:8]) for _ in range(60)), " ".join(rng.choice(many) for _ in range(60))]
     told = np.concatenate([quality.votes(quality._measures(*x)[0], np.zeros(len(x[2]) - 1, bool))[:, 7] for x in quality._chunks(pa.array(texts))])
     assert told.tolist() == [quality.BAD, quality.GOOD, quality.BAD, quality.GOOD]
+
+
+def test_further_identifiers_and_unknown_ones():
+    scan = lambda t: licenses.scan(t.encode())[5:]
+    assert [licenses.label_of(x) for x in ("Zlib", "BSL-1.0", "EUPL-1.2", "Artistic-2.0", "OFL-1.1", "CDDL-1.0", "PostgreSQL", "Zlibx")] == ["zlib", "bsl", "eupl", "artistic", "ofl", "cddl", "permissive", None]
+    assert scan("SPDX-License-Identifier: MIT AND BSL-1.0") == ("bsl,mit", 1.0)
+    assert scan("SPDX-License-Identifier: MIT OR Other-9") == ("mit,unknown", 1.0)
+    assert scan("under the BSD 3-Clause License")[0] == "bsd" and scan("GNU AGPL v3")[0] == "agpl"
