@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import documents as doc
-from ..operators import matching, spacing
+from ..operators import matching, spacing, titles
 from ..operators.merging import byte_budget
 from ..sources.tables import Rule, lines, table
 
@@ -253,16 +253,24 @@ def paren_anchors(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.explode(both).alias("x")).groupBy("x.head", "x.inner_text").agg(F.count("*").alias("n"))
 
 
-#: No SQL: the engine's edit distance counts bytes; tests/test_whole.py compares with brute force.
+def _first_sentences(spark, sf_dir, name: str, key: str):
+    return table(spark, sf_dir, name).select(F.col(key).alias("id"), F.substring_index("text", ".", 1).alias("title"))
+
+
+#: No SQL for the next two: the engine's edit distance counts bytes; tests/test_whole.py and tests/test_titles.py compare with all pairs.
 @query(None)
 def title_similarity(spark, sf_dir):
-    """First sentences of benchmark items and the most similar first sentence of a document that begins with the same word."""
-    first = F.substring_index("text", ".", 1)
-    t = table(spark, sf_dir, "benchmark").select("item_id", first.alias("title"))
-    d = table(spark, sf_dir, "documents").select(first.alias("other")).distinct()
-    word = lambda c: F.substring_index(c, " ", 1)
-    found = doc.best_title(t, d, "item_id", "title", "other", word("title") == word("other"), 0.2)
-    return found.select("item_id", "title", "other", "score")
+    """First sentences of benchmark items and the most similar first sentence of a document, from a similarity of 0.72 on."""
+    t, d = _first_sentences(spark, sf_dir, "benchmark", "item_id"), _first_sentences(spark, sf_dir, "documents", "doc_id").select("title").distinct()
+    near = titles.near_titles(t, d.select(F.col("title").alias("id"), "title"), titles.HINT)
+    best = near.groupBy("left_id").agg(F.min(F.struct((-F.round("score", 6)).alias("s"), F.col("right_id").alias("other"))).alias("x"))
+    return best.join(t, F.col("left_id") == F.col("id")).select(F.col("id").alias("item_id"), "title", "x.other", (-F.col("x.s")).alias("score"))
+
+
+@query(None)
+def title_pairs(spark, sf_dir):
+    """First sentences of benchmark items as entries, of documents as headings: pairs, hints, and documents that no item opens."""
+    return titles.outline(_first_sentences(spark, sf_dir, "benchmark", "item_id"), _first_sentences(spark, sf_dir, "documents", "doc_id"))
 
 
 HEADINGS = "hd AS (SELECT DISTINCT page_id, trim(regexp_replace(h, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS title FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) AS h FROM pages) WHERE trim(h) <> '')"
