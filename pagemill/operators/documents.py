@@ -30,10 +30,18 @@ def html_lines(pages: DataFrame) -> DataFrame:
     return each.groupBy("page_id", "line").agg(F.min("line_num").cast("long").alias("line_num"))
 
 
-def headings(pages: DataFrame, tag: str = "h1") -> DataFrame:
-    """(page_id, title): headings of a level, as the page's table of contents."""
-    found = F.regexp_extract_all("html", F.lit(f"<{tag}>([^<]*)</{tag}>"), F.lit(1))
-    return pages.select("page_id", F.explode(found).alias("title")).withColumn("title", squeezed(F.col("title"))).where("title != ''").distinct()
+def headings(pages: DataFrame, tag: str = "h[12]") -> DataFrame:
+    """(page_id, title): headings of the levels that the pattern names, whatever their attributes and inner tags, as the page's table of contents."""
+    found = F.regexp_extract_all("html", F.lit(rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"), F.lit(1))
+    plain = squeezed(F.regexp_replace("title", "<[^>]*>", ""))
+    return pages.select("page_id", F.explode(found).alias("title")).withColumn("title", plain).where("title != ''").distinct()
+
+
+def without_headings(html: Column, tag: str = "h[12]") -> Column:
+    """A page's body: without what ``headings`` reads and without its title."""
+    for t in (tag, "title"):
+        html = F.regexp_replace(html, rf"(?is)<{t}(?:\s[^>]*)?>.*?</{t}\s*>", "")
+    return html
 
 
 def toc_classes(titles: DataFrame, bodies: DataFrame) -> DataFrame:

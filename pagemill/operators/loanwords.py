@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.wording import letter_count
+from ..sources.shared import in_batches
 from .matching import longest_wins
 
 #: Largest dictionary that is broadcast; a larger one is shuffled by form.
@@ -60,7 +61,7 @@ def matches(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", word: s
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(starts, pa.int64()), pa.array(heads, pa.string())], [key, "start", "head"])
 
     base = docs.select(key, "text")
-    placed = base.mapInArrow(run, T.StructType([base.schema[key], T.StructField("start", T.LongType()), T.StructField("head", T.StringType())]))
+    placed = in_batches(base, run, T.StructType([base.schema[key], T.StructField("start", T.LongType()), T.StructField("head", T.StringType())]))
     tried = placed.select(key, "start", "head", F.explode(F.array(*[F.lit(n) for n in lengths]) if lengths else F.expr("cast(array() as array<int>)")).alias("n"))
     found = tried.where(F.length("head") >= F.col("n")).select(key, "start", F.expr("substring(head, 1, n)").alias("typo"))
     hit = found.join(F.broadcast(forms) if size["n"] <= BROADCAST_ROWS else forms, "typo")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import in_batches
 from ..sources.tables import Rule
 
 
@@ -52,31 +53,59 @@ def rejected(rule: Rule, match: regex.Match, text: str) -> bool:
     return False
 
 
+#: Matches that a task holds before it hands them on.
+PART_MATCHES = 1 << 14
+KINDS = (pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.string())
+
+
 def positions(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """One row per match of each enabled rule: docs' other columns, the rule's, before (the character before it), start and matched.
 
-    Offsets are code points from 0. A task reads each text once, in Arrow batches, with every rule compiled once; the text
+    Offsets are code points from 0. A task reads each text once, in Arrow batches of bounded bytes, with every rule compiled once, and hands matches on in parts; the text
     goes no further, there is no shuffle, and any number of rules will do. A null text has no matches.
     """
     keep = [c for c in docs.columns if c != text]
-    patterns = compiled(rules)[0]
+    names = [*keep, *[x.split()[0] for x in FOUND.split(", ")]]
+    patterns = [(r, p, bool(r.exclude_prefixes or r.exclude_phrases)) for r, p in compiled(rules)[0]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, out = [], []
+            places, rows, starts, before, found = [], [], [], [], []
+
+            def part() -> pa.RecordBatch:
+                kept = batch.take(pa.array(rows, pa.int64()))  # noqa: B023
+                of = [patterns[k][0] for k in places]  # noqa: B023
+                columns = [[r.ord for r in of], [r.replace for r in of], [r.leading_boundary for r in of], [r.category for r in of], before, starts, found]  # noqa: B023
+                out = pa.RecordBatch.from_arrays([*[kept.column(c) for c in range(len(keep))], *[pa.array(c, kind) for c, kind in zip(columns, KINDS, strict=True)]], names)
+                for c in (places, rows, starts, before, found):  # noqa: B023
+                    c.clear()
+                return out
+
             for k, t in enumerate(batch.column(len(keep)).to_pylist()):
-                for r, p in patterns if t else ():
+                for place, (r, p, checked) in enumerate(patterns) if t else ():
                     for m in p.finditer(t):
-                        if m.end() > m.start() and not rejected(r, m, t):
+                        a, b = m.span()
+                        if b > a and not (checked and rejected(r, m, t)):
+                            places.append(place)
                             rows.append(k)
-                            out.append((r.ord, r.replace, r.leading_boundary, r.category, t[m.start() - 1 : m.start()] if m.start() else "", m.start(), m[0]))
-            kept = batch.take(pa.array(rows, pa.int64()))
-            kinds = [pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.string()]
-            columns = list(zip(*out, strict=True)) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([*[kept.column(c) for c in range(len(keep))], *[pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]], [*keep, *[x.split()[0] for x in FOUND.split(", ")]])
+                            starts.append(a)
+                            before.append(t[a - 1] if a else "")
+                            found.append(t[a:b])
+                            if len(rows) >= PART_MATCHES:
+                                yield part()
+            yield part()
 
     base = docs.select(*keep, text)
-    return base.mapInArrow(run, T.StructType([*[base.schema[c] for c in keep], *T._parse_datatype_string(FOUND).fields]))
+    return in_batches(base, run, T.StructType([*[base.schema[c] for c in keep], *T._parse_datatype_string(FOUND).fields]))
+
+
+def bad_rules(docs: DataFrame, rules: list[Rule], by: str = "doc_id") -> DataFrame:
+    """(rule, docs, error) of all enabled rules: in how many texts each matches, or the error of one that cannot be read, which stops no other."""
+    spark = docs.sparkSession
+    good, bad = compiled(rules)
+    known = spark.createDataFrame([(r.ord, None) for r, _ in good] + bad, "rule int, error string")
+    counts = positions(docs, rules).groupBy("rule").agg(F.countDistinct(by).alias("n"))
+    return known.join(counts, "rule", "left").select("rule", F.coalesce("n", F.lit(0)).cast("long").alias("docs"), "error")
 
 
 def leading_boundary(matches: DataFrame) -> DataFrame:

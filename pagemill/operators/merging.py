@@ -47,7 +47,17 @@ def merge_histories(a: DataFrame, b: DataFrame, key: list[str], values: list[str
     return x.join(y, condition, "full_outer").select(*[F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in [*key, *values]])
 
 
-def byte_budget(rows: DataFrame, by: str, order: str, size: Column, limit: int) -> DataFrame:
-    """Leading rows of each group whose sizes sum to at most the limit; adds used, the sum so far."""
-    used = F.sum(size).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("used", used.cast("long")).where(F.col("used") <= limit)
+def byte_budget(rows: DataFrame, by: str, order: str, size: Column, limit: int, parts: int = 4096) -> DataFrame:
+    """Leading rows of each group whose sizes sum to at most the limit; adds used, the sum so far. Rows without an order come first.
+
+    A group's range of the (numeric) order is cut into parts of equal width. Sums of parts say what stands before each; only parts that begin within the limit are
+    summed row by row, each on its own, so that a large group is no single task.
+    """
+    ends = rows.groupBy(by).agg(F.min(order).cast("double").alias("__a"), F.max(order).cast("double").alias("__b"))
+    at = F.when(F.col("__a") < F.col("__b"), F.expr(f"width_bucket(cast({order} as double), __a, __b, {parts})"))
+    placed = rows.join(ends, rows[by].eqNullSafe(ends[by])).drop(ends[by]).withColumn("__part", F.when(F.col(order).isNull(), -1).otherwise(F.coalesce(at, F.lit(0)))).drop("__a", "__b").withColumn("__size", size)
+    sums = placed.groupBy(by, "__part").agg(F.sum("__size").alias("__sum")).withColumn("__all", F.sum("__sum").over(Window.partitionBy(by).orderBy("__part")))
+    open_ = sums.select(F.col(by).alias("__by"), F.col("__part").alias("__p"), (F.col("__all") - F.col("__sum")).alias("__before")).where(F.col("__before") <= limit)
+    kept = placed.join(open_, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__part") == F.col("__p")))
+    used = F.col("__before") + F.sum("__size").over(Window.partitionBy(by, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return kept.withColumn("used", used.cast("long")).where(F.col("used") <= limit).drop("__by", "__p", "__part", "__before", "__size")

@@ -52,8 +52,10 @@ def merge_counts(a: DataFrame, b: DataFrame, key: str, counts: list[str], grante
 
 def bundle_order(rows: DataFrame, bundle: str, order: str, first: Column) -> DataFrame:
     """Rows with their place: those of ``first`` in order, then the others by bundles, in order of each bundle's first row."""
-    opens = F.min(order).over(Window.partitionBy(first, bundle))
-    return rows.withColumn("front", first).withColumn("opens", F.when(first, F.col(order)).otherwise(opens)).orderBy(F.desc("front"), "opens", order)
+    # A grouping and a join instead of a window, so that a large bundle is no single task.
+    opens = rows.where(~first).groupBy(F.col(bundle).alias("__bundle")).agg(F.min(order).alias("__opens"))
+    placed = rows.join(opens, F.col(bundle).eqNullSafe(F.col("__bundle")), "left").withColumn("front", first)
+    return placed.withColumn("opens", F.when(first, F.col(order)).otherwise(F.col("__opens"))).drop("__bundle", "__opens").orderBy(F.desc("front"), "opens", order)
 
 
 def report_rows(results: DataFrame, by: list[str], page: str, hidden: Column) -> DataFrame:

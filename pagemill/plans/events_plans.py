@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -12,6 +11,7 @@ from ..functions.text import kst_day, upload_bucket
 from ..operators import events as ev
 from ..operators.merging import merge_histories
 from ..operators.spacing import first_of
+from ..sources.shared import shared_folder
 from ..sources.tables import table
 from ..streaming import quota
 
@@ -117,8 +117,7 @@ def upload_ordinal_bucket(spark, sf_dir):
 def consumed_stream(spark, sf_dir):
     """Daily counts by Structured Streaming over the events folder, taken once."""
     stream = quota.daily_counts(spark, sf_dir, "events.parquet", table(spark, sf_dir, "events").schema, lateness=None)
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-stream-")
-    return quota.run_once(stream, f"{shared}/consumed_{uuid.uuid4().hex}")
+    return quota.run_once(stream, f"{shared_folder(spark)}/consumed_{uuid.uuid4().hex}")
 
 
 @query("SELECT event_id, user_id, event_type, strftime(ts + INTERVAL 9 HOUR, '%Y-%m-%d') AS day FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type, day ORDER BY ts, event_id) = 1")

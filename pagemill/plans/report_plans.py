@@ -29,11 +29,12 @@ def match_exclusions(spark, sf_dir):
     return found.groupBy("doc_id", "rule").agg(F.count("*").alias("n"))
 
 
-@query("SELECT 2 AS rule, 'missing )' AS error")
+@query("""SELECT 1 AS rule, count(*) FILTER (contains(text, 'ation')) AS docs, NULL::VARCHAR AS error FROM documents
+UNION ALL SELECT 2, 0, 'missing )' UNION ALL SELECT 3, count(*) FILTER (regexp_matches(text, '[aeiou]{4}')), NULL FROM documents""")
 def bad_pattern_rows(spark, sf_dir):
-    """A rule whose pattern cannot be read gives an error row and stops nothing."""
-    _, bad = matching.compiled([Rule(1, "fine"), Rule(2, "(a", regex=True)])
-    return spark.createDataFrame(bad, "rule int, error string").withColumn("error", F.substring("error", 1, 9))
+    """A rule whose pattern cannot be read gives an error row beside the findings of the others."""
+    rules = [Rule(1, "ation"), Rule(2, "(a", regex=True), Rule(3, "[aeiou]{4}", regex=True)]
+    return matching.bad_rules(table(spark, sf_dir, "documents").select("doc_id", "text"), rules).withColumn("error", F.substring("error", 1, 9))
 
 
 TIER = "CASE r.category WHEN 'consistency' THEN 0 WHEN 'spelling' THEN 1 ELSE 2 END"

@@ -273,13 +273,17 @@ def title_pairs(spark, sf_dir):
     return titles.outline(_first_sentences(spark, sf_dir, "benchmark", "item_id"), _first_sentences(spark, sf_dir, "documents", "doc_id"))
 
 
-HEADINGS = "hd AS (SELECT DISTINCT page_id, trim(regexp_replace(h, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS title FROM (SELECT page_id, unnest(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)) AS h FROM pages) WHERE trim(h) <> '')"
-BODIES = "bd AS (SELECT page_id, regexp_replace(regexp_replace(html, '<h1>[^<]*</h1>', '', 'g'), '<title>[^<]*</title>', '', 'g') AS body FROM pages)"
+def _titles(tag: str) -> str:
+    pattern = rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"
+    return f"SELECT DISTINCT page_id, trim(regexp_replace(regexp_replace(h, '<[^>]*>', '', 'g'), '[ \\t\\n\\r\\f]+', ' ', 'g')) AS title FROM (SELECT page_id, unnest(regexp_extract_all(html, '{pattern}', 1)) AS h FROM pages)"
+
+
+HEADINGS = f"hd AS (SELECT * FROM ({_titles('h[12]')}) WHERE title <> '')"
+BODIES = r"bd AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<h[12](?:\s[^>]*)?>.*?</h[12]\s*>', '', 'g'), '(?is)<title(?:\s[^>]*)?>.*?</title\s*>', '', 'g') AS body FROM pages)"
 
 
 def _bodies(spark, sf_dir):
-    body = F.regexp_replace(F.regexp_replace("html", "<h1>[^<]*</h1>", ""), "<title>[^<]*</title>", "")
-    return table(spark, sf_dir, "pages").select("page_id", body.alias("body"))
+    return table(spark, sf_dir, "pages").select("page_id", doc.without_headings(F.col("html")).alias("body"))
 
 
 @query(f"WITH {HEADINGS}, {BODIES} SELECT page_id, title, CASE WHEN contains(body, title) THEN 'match' WHEN contains(lower(regexp_replace(body, ' +', '', 'g')), lower(regexp_replace(title, ' +', '', 'g'))) THEN 'mismatch' ELSE 'missing' END AS status FROM hd JOIN bd USING (page_id)")
@@ -288,7 +292,7 @@ def toc_classify(spark, sf_dir):
     return doc.toc_classes(doc.headings(table(spark, sf_dir, "pages")), _bodies(spark, sf_dir))
 
 
-@query(f"WITH {HEADINGS}, q AS (SELECT page_id, trim(t) AS t FROM (SELECT page_id, unnest(regexp_extract_all(html, '<title>([^<]*)</title>', 1)) AS t FROM pages)) SELECT page_id, title FROM hd WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.page_id = hd.page_id AND q.t = hd.title)")
+@query(f"WITH {HEADINGS}, q AS ({_titles('title')}) SELECT page_id, title FROM hd WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.page_id = hd.page_id AND q.title = hd.title)")
 def toc_outline_leftovers(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     titles = doc.headings(pages, "title").withColumnRenamed("title", "t")
