@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import collapse, series
+from ..operators import collapse, series, wraps
 from ..sources.shared import cut
+from ..sources.tables import lines, table
 from .text_plans import _conflicts, _index, _index_sql
 
 QUERIES: dict = {}
@@ -100,3 +101,16 @@ def units_absorbed(spark, sf_dir):
 @query(None)
 def normalised_clusters(spark, sf_dir):
     return collapse.normalised(_conflicts(spark, sf_dir), 3, LETTERS)
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(range(len(s))) AS k, unnest(s) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+t AS (SELECT doc_id, k, regexp_replace(raw, '^[ \t]+|[ \t]+$', '', 'g') AS line FROM l), n AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY k) AS following FROM t WHERE line <> ''),
+b AS (SELECT *, coalesce(regexp_matches(right(line, 1), '\p{L}') AND regexp_matches(left(following, 1), '\p{L}') AND len(regexp_extract_all(regexp_extract(line, '(\S*)$', 1), '\p{L}')) = 1, false) AS breaks FROM n),
+r AS (SELECT *, sum(CASE WHEN breaks AND NOT regexp_matches(line, '\s') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY k) AS run FROM b),
+j AS (SELECT *, (row_number() OVER w % 2 = 1) = first_value(breaks) OVER w AS joins FROM r WINDOW w AS (PARTITION BY doc_id, run ORDER BY k))
+SELECT doc_id, count(*) AS lines, count(*) FILTER (joins) AS joined FROM j GROUP BY doc_id""")
+def joined_lines(spark, sf_dir):
+    """Lines of each document, and how many of them break a word of any letters."""
+    split = lines(table(spark, sf_dir, "documents"))
+    whole = wraps.joined_lines(split, letters=LETTERS, particles=(), standalone=(), closing=())
+    return whole.groupBy("doc_id").agg(F.sum(F.size("pieces")).alias("lines"), F.sum(F.size("pieces") - 1).alias("joined"))
