@@ -37,8 +37,10 @@ def rejected(rule: Rule, match: regex.Match, text: str) -> bool:
     """Whether a match falls under its rule's exclusions.
 
     By prefix: its first group is one of them. By phrase: it equals one, or one begins where it begins, or where the longest of
-    the rule's stems that it ends with begins. Runs of blanks count as one.
+    the rule's stems that it ends with begins. Runs of blanks count as one. An auxiliary verb's match is not one of it (``Auxiliary.is_other``).
     """
+    if rule.auxiliary and rule.auxiliary.is_other(match[1], not any(c.isspace() for c in match[0])):
+        return True
     if rule.exclude_prefixes and _plain(match[1] if match.re.groups else "") in map(_plain, rule.exclude_prefixes):
         return True
     matched = _plain(match[0])
@@ -66,7 +68,7 @@ def positions(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFra
     """
     keep = [c for c in docs.columns if c != text]
     names = [*keep, *[x.split()[0] for x in FOUND.split(", ")]]
-    patterns = [(r, p, bool(r.exclude_prefixes or r.exclude_phrases)) for r, p in compiled(rules)[0]]
+    patterns = [(r, p, bool(r.exclude_prefixes or r.exclude_phrases or r.auxiliary)) for r, p in compiled(rules)[0]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

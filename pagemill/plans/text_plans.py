@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.auxiliary import Auxiliary
 from ..operators import documents as doc
 from ..operators import matching, spacing, titles
 from ..operators.merging import byte_budget
@@ -143,6 +144,18 @@ def caution_modes(spark, sf_dir):
     return _matches(spark, sf_dir, MODES).groupBy(F.col("category").alias("mode")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
+AUXILIARY = Rule(1, "", auxiliary=Auxiliary("ed", "to", ("th", "re"), "a-zA-Z", 6, "ed", ("anded",), ("ered", "thed"), "to"))
+
+
+@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(\S*ed)[^\S\n]+(to[a-zA-Z]*)', 1)) AS head, unnest(regexp_extract_all(text, '(\S*ed)[^\S\n]+(to[a-zA-Z]*)', 2)) AS tail FROM documents)
+SELECT head, tail, count(*) AS n, min(doc_id) AS first_doc FROM m WHERE head NOT IN ('anded', 'ered', 'thed', 'ed') AND (len(regexp_extract_all(head, '[a-zA-Z]')) <= 6 OR starts_with(head, 'th') OR starts_with(head, 're')) GROUP BY ALL""")
+def auxiliary_matches(spark, sf_dir):
+    """Heads and tails of an auxiliary construction, long heads that are not allowed and adnominal ones aside; by an analogue in Latin letters."""
+    m = _matches(spark, sf_dir, [AUXILIARY])
+    parts = m.select("doc_id", F.regexp_extract("matched", r"^(\S+)", 1).alias("head"), F.regexp_extract("matched", r"(\S+)$", 1).alias("tail"))
+    return parts.groupBy("head", "tail").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
 @query("""SELECT fill, count(*) AS n, min(doc_id) AS first_doc FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'the ([^ \\n]+) of', 1)) AS fill FROM documents) GROUP BY fill""")
 def phrase_slot_fills(spark, sf_dir):
     """What fills the slot of "the @ of"."""

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.auxiliary import Auxiliary
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,9 +29,12 @@ class Rule:
     exclude_prefixes: tuple[str, ...] = ()
     exclude_phrases: tuple[str, ...] = ()
     stems: tuple[str, ...] = ()
+    auxiliary: Auxiliary | None = None
 
     def pattern(self) -> str:
-        """The regular expression: itself, the literal, or the alternation of its variants, longest first."""
+        """The regular expression: itself, the literal, the alternation of its variants, longest first, or that of an auxiliary verb."""
+        if self.auxiliary:
+            return self.auxiliary.pattern()
         if self.finds:
             return "|".join(literal(x) for x in sorted(self.finds, key=lambda x: (-len(x), x)))
         return self.find if self.regex else literal(self.find)
