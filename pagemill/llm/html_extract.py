@@ -39,9 +39,10 @@ COMMENT_NAMES = ['div id="disqus_thread"', 'section class="comment-section"', 'd
 MAIN_TAGS = {"article", "main"}
 OTHER_TAGS = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 OTHER_WORDS = {f".{w}" for w in "disqus respond reactions responses discussion promobox ad ads advert banner sponsored promo menu nav navbar breadcrumb sidebar widget related share social footer masthead cookie notice newsletter subscribe login legal comments comment commentlist replies".split()}
-PHRASES = ["Subscribe to our newsletter", "Sign up for free", "Log in", "All rights reserved", "Privacy policy", "Terms of use", "We use cookies to improve this site", "Accept cookies", "Share this article", "Follow us", "Advertisement", "Sponsored", "Buy now", "Special offer: save 20 percent today", "Related articles", "Read more", "Most popular", "Back to top", "Contact us", "About us", "Leave a reply", "Reply", "Report this comment", "Your email address will not be published", "Search this site", "Skip to content", "Download our app", "Copyright 2021 by the publisher", "Tags", "Next page", "Home", "Order now and get one for free"]
+PHRASES = ["Subscribe to our newsletter", "Sign up for free", "Log in", "All rights reserved", "Privacy policy", "Terms of use", "We use cookies to improve this site", "Accept cookies", "Share this article", "Follow us", "Advertisement", "Sponsored", "Buy now", "Special offer: save 20 percent today", "Related articles", "Read more", "Most popular", "Back to top", "Contact us", "About us", "Leave a reply", "Reply", "Report this comment", "Your email address will not be published", "Search this site", "Skip to content", "Download our app", "Copyright 2021 by the publisher", "Tags", "Next page", "Home", "Order now and get one for free", "Imprint", "Imprint: published by the society, 12 High Street", "Publisher and editor: The Society Ltd", "Also interesting", "You may also like", "Read more: more stories of this kind", "See also: all stories of the week", "Terms and conditions apply", "This site uses cookies", "Contact: office, 3 Market Square"]
 #: How a reader's comment begins or ends.
-COMMENT_FRAMES = ["{x}", "{n} says: {x}", "{n} wrote on Monday: {x}", "Posted by {n}: {x}", "{x} Reply", "I agree. {x}", "Great article! {x}", "Thanks for this. {x}", "{n}, 3 days ago: {x}"]
+COMMENT_FRAMES = ["{x}", "{n} says: {x}", "{n} wrote: {x}", "{n} wrote on {d}: {x}", "Posted by {n}: {x}", "By {n} on {d}: {x}", "{x} Reply", "{x} Reply Report", "I agree. {x}", "So do I, {n}. {x}", "Great article! {x}", "Great article, thanks for this. {x}", "Thanks for this. {x}", "Well said. {x}", "{n}, 3 days ago: {x}", "{n}, 2 hours ago: {x}", "@{n} {x}", "{n} commented: {x}", "{n} ({d}): {x}"]
+DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday", "1 May", "March 3", "12 June 2020"]
 SPARE_TEXTS = ["The first paragraph of a story tells what happened, and when.", "A second one adds who was there; it is longer, as it must name them all.", "It ends with what comes next."]
 
 
@@ -80,8 +81,11 @@ def _layout(rng: np.random.Generator, main: list[str], others: list[str], menu:
     def comments() -> str:
         n = int(rng.integers(1, 5))
         labels.extend([0] * n)
-        each = [pick(COMMENT_FRAMES).format(x=pick(others), n=pick(menu).title()) for _ in range(n)]
-        return box(pick(COMMENT_NAMES), "".join(box(pick(["p", 'div class="comment"', "li", 'div class="reply"']), _escape(x)) for x in each))
+        # Where the container's name tells nothing, the words do, at least those of the first comment.
+        told = rng.random() < 0.5
+        frames = [pick(COMMENT_FRAMES[1:]) if told and (k == 0 or rng.random() < 0.8) else pick(COMMENT_FRAMES) for k in range(n)]
+        each = [f.format(x=pick(others), n=pick(menu).title(), d=pick(DAYS)) for f in frames]
+        return box(_unknown(rng) if told else pick(COMMENT_NAMES), "".join(box(pick(["p", 'div class="comment"', "li", 'div class="reply"']), _escape(x)) for x in each))
 
     def boilerplate() -> str:
         kind = rng.integers(5)
@@ -91,13 +95,13 @@ def _layout(rng: np.random.Generator, main: list[str], others: list[str], menu:
         if kind == 0:
             items = [_escape(pick(menu)) for _ in range(rng.integers(2, 8))]
             labels.extend([0] * len(items))
-            return box(named(OTHER_NAMES, 0.3), "<ul>" + "".join(f'<li><a href="/{k}">{x}</a></li>' for k, x in enumerate(items)) + "</ul>")
+            return box(named(OTHER_NAMES, 0.5), "<ul>" + "".join(f'<li><a href="/{k}">{x}</a></li>' for k, x in enumerate(items)) + "</ul>")
         if kind == 1:
             labels.append(0)
             return box(pick(OTHER_NAMES), _escape(pick(others)))
         if kind == 2:
             labels.append(0)
-            return box(named(["footer", 'div class="footer"', 'div id="footer"', 'div class="bottom"', 'div class="legal"'], 0.4), f"{pick(['&copy;', 'Copyright', '&copy; 2020'])} {_escape(pick(menu))} &middot; {_escape(pick(others))}")
+            return box(named(["footer", 'div class="footer"', 'div id="footer"', 'div class="bottom"', 'div class="legal"'], 0.5), f"{pick(['&copy;', 'Copyright', '&copy; 2020'])} {_escape(pick(menu))} &middot; {_escape(pick(others))}")
         n = rng.integers(1, 4)
         labels.extend([0] * n)
         return box(pick(OTHER_NAMES), "".join(f"<p>{_escape(pick(others))}</p>" for _ in range(n)))
@@ -120,7 +124,7 @@ def _layout(rng: np.random.Generator, main: list[str], others: list[str], menu:
     if kind < 0.2:  # laid out by tables
         page += "<table><tr>" + (box("td", boilerplate()) if rng.random() < 0.6 else "") + box(pick(["td", 'td width="70%"', 'td valign="top"']), text()) + "</tr></table>"
     else:
-        page += ('<div class="page wrapper">' if wrap else "") + (text() if kind < 0.26 else box(named(MAIN_NAMES, 0.25), text())) + ("</div>" if wrap else "")
+        page += ('<div class="page wrapper">' if wrap else "") + (text() if kind < 0.26 else box(named(MAIN_NAMES, 0.5), text())) + ("</div>" if wrap else "")
     if rng.random() < 0.4:
         page += comments()
     page += "".join(boilerplate() for _ in range(rng.integers(0, 3)))

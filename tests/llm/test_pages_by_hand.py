@@ -1,5 +1,6 @@
 """Pages written by hand, with the text that a reader would call the article. Most of their container names stand in the labeller's lists."""
 
+import random
 from html import escape
 
 import pytest
@@ -79,3 +80,44 @@ def test_unclosed_and_like_named_elements_hide_nothing():
 
 def test_many_unclosed_elements_take_linear_time():
     assert texts("<p>a</p>" + "<svg><select>" * 50_000 + "<p>b</p>") == ["a", "b"]
+
+
+#: Container names that no list of the labeller holds.
+UNSEEN = ["kommentare", "talkback", "meinungen", "leserpost", "zeta", "qux-panel", "impressum", "kolumne", "rubrik", "xq12", "blok", "wrapper-z", "feuilleton", "lede", "corpus-x", "stanza", "dossier", "werbung", "anzeige", "partnerlinks", "kopfzeile", "fuss", "leiste", "krumen", "suche"]
+MENUS = [["Home", "News", "Sport"], ["Start", "Politik", "Kultur", "Wetter"], ["Accueil", "Monde", "Culture"], ["Shop", "Blog", "About us", "Contact"]]
+READERS = [["Maria wrote: I liked the second part best.", "Tom says: So did I. Reply"], ["Posted by Jan: great article, thanks for this.", "Eva, 2 days ago: I agree."], ["Paul wrote on Monday: my uncle told me the same."]]
+LEGAL = ["© 2021 The Paper. All rights reserved.", "Copyright 2020 by the publisher · Privacy policy · Terms of use", "Imprint: The Paper Ltd, 1 Mill Lane. Contact us."]
+TEASERS = ["Also interesting: ten mills of the north", "Read more: how to save money", "Subscribe to our newsletter", "Advertisement", "Special offer: half the price today"]
+
+
+def unseen_page(rng, k, title, parts):
+    """Layout k of 40: teasers and link lists inside of the article, comments in it or behind it, menus, cookie notices, imprints."""
+    box = lambda inner: f'<{(t := rng.choice(["div", "div", "section"]))} {rng.choice(["class", "id"])}="{rng.choice(UNSEEN)}">{inner}</{t}>'
+    each = lambda xs: "".join(f"<p>{escape(x)}</p>" for x in xs)
+    links = lambda xs: "<ul>" + "".join(f'<li><a href="/{i}">{escape(x)}</a></li>' for i, x in enumerate(xs)) + "</ul>"
+    body = [f"<p>{escape(x)}</p>" if k % 5 else f"<div>{escape(x)}</div>" for x in parts]
+    if k % 4 == 1:
+        body.insert(1, box(each([rng.choice(TEASERS)])))
+    if k % 4 == 2:
+        body.insert(2, box(links(["Another story", "One more"])))
+    inner = f"<h{1 + k % 2}>{escape(title)}</h{1 + k % 2}>" + "".join(body) + (box(each(rng.choice(READERS))) if k % 3 == 0 else "")
+    page = box(links(rng.choice(MENUS))) if k % 2 else ""
+    page += box("<p>We use cookies to improve this site.</p><p>Accept cookies</p>") if k % 7 == 0 else ""
+    page += box(inner) if k % 6 else inner
+    page += box(each(rng.choice(READERS))) if k % 3 == 1 else ""
+    return f"<html><body>{page}{box(each([rng.choice(LEGAL)])) if k % 2 == 0 else ''}</body></html>"
+
+
+def test_names_that_no_list_holds(weights):
+    lists = " ".join([*html_extract.MAIN_NAMES, *html_extract.OTHER_NAMES, *html_extract.COMMENT_NAMES, *html_extract.OTHER_WORDS])
+    assert not any(n in lists for n in UNSEEN)
+    rng, right, told, there = random.Random(3), 0, 0, 0
+    for k in range(40):
+        for title, parts in STORIES:
+            found = html_blocks.blocks(unseen_page(rng, k, title, parts))
+            scores = lstm.predict(weights, html_blocks.features([found]))[0]
+            chosen = [b.text for b, s in zip(found, scores, strict=True) if s >= 0.5]
+            right, told, there = right + len(set(chosen) & {title, *parts}), told + len(chosen), there + 1 + len(parts)
+    print("block F1", 2 * right / (told + there))
+    # The words alone tell less than known names do; 0.90 is reached.
+    assert 2 * right / (told + there) >= 0.87
