@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import collapse, series, wraps
+from ..operators import collapse, patterns, series, spacing, wraps
 from ..sources.shared import cut
 from ..sources.tables import lines, table
 from .text_plans import _conflicts, _index, _index_sql
@@ -114,3 +114,30 @@ def joined_lines(spark, sf_dir):
     split = lines(table(spark, sf_dir, "documents"))
     whole = wraps.joined_lines(split, letters=LETTERS, particles=(), standalone=(), closing=())
     return whole.groupBy("doc_id").agg(F.sum(F.size("pieces")).alias("lines"), F.sum(F.size("pieces") - 1).alias("joined"))
+
+
+RULES_SQL = f"""{_index_sql(2)}, c2 AS (SELECT x.key, sum(n)::BIGINT AS n, arg_min(variant, (-n, length(variant) - length(x.key), variant)) FILTER (contains(variant, ' ')) AS spaced, any_value(recommended) AS chosen FROM x JOIN k USING (key) GROUP BY x.key),
+sd AS (SELECT key, n, NOT contains(chosen, ' ') AS glued, unnest([{{'t': 'prefix', 'a': split_part(spaced, ' ', 1)}}, {{'t': 'suffix', 'a': split_part(spaced, ' ', 2)}}]) AS f FROM c2),
+rl AS (SELECT f.t AS affix_type, f.a AS affix, count(*) AS keys, sum(n)::BIGINT AS findings, count(*) FILTER (glued) / count(*) AS share FROM sd WHERE NOT {_weak('f.a')} GROUP BY ALL HAVING count(*) >= 2),
+rr AS (SELECT affix_type, affix, CASE WHEN share >= 0.8 THEN 'glued' ELSE 'spaced' END AS direction, keys, findings, findings + 10 * keys AS score FROM rl WHERE share >= 0.8 OR 1 - share >= 0.8)"""
+
+
+def _pattern_rules(spark, sf_dir):
+    x = _conflicts(spark, sf_dir, 2)
+    return patterns.candidates(x, spacing.conflicts(x).select("key", F.col("recommended").alias("chosen")), 2, 0.8, 3, LETTERS)
+
+
+@query(f"WITH {RULES_SQL} SELECT * FROM rr")
+def pattern_candidates(spark, sf_dir):
+    """Rules that the recommended forms of conflicts suggest."""
+    return _pattern_rules(spark, sf_dir)
+
+
+@query(f"""WITH {RULES_SQL}, vf AS (SELECT variant AS form, key, n, CASE WHEN contains(variant, ' ') THEN split_part(variant, ' ', 1) END AS a, CASE WHEN contains(variant, ' ') THEN split_part(variant, ' ', 2) END AS b FROM x),
+pf AS (SELECT rr.affix_type, rr.affix, direction, key, form, n, a IS NOT NULL AS spaced, CASE WHEN rr.affix_type = 'prefix' THEN substr(key, length(affix) + 1) ELSE left(key, length(key) - length(affix)) END AS rest
+  FROM vf JOIN rr ON (affix_type = 'prefix' AND (a = affix OR (a IS NULL AND starts_with(form, affix)))) OR (affix_type = 'suffix' AND (b = affix OR (b IS NULL AND ends_with(form, affix)))))
+SELECT affix_type, affix, key, form, CASE WHEN spaced THEN key WHEN affix_type = 'prefix' THEN affix || ' ' || rest ELSE rest || ' ' || affix END AS other, n
+FROM pf WHERE len(regexp_extract_all(rest, '[\\p{{L}}]')) >= 3 AND spaced <> (direction = 'spaced')""")
+def pattern_mismatches(spark, sf_dir):
+    """Forms of one or two words that go against these rules, each with the form that follows."""
+    return patterns.mismatches(_index(spark, sf_dir, 2).select("variant", "n"), cut(_pattern_rules(spark, sf_dir)), None, 3, LETTERS)
