@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -12,9 +13,9 @@ from pyspark.sql import types as T
 
 from ..functions.wording import letter_count
 from ..sources.shared import in_batches
-from .matching import longest_wins
+from .matching import longest_wins, without_excluded
 
-#: Largest dictionary that is broadcast; a larger one is shuffled by form.
+#: Largest dictionary that goes to every task; a larger one is joined.
 BROADCAST_ROWS = 200_000
 #: What a form is worth: the head, a misspelling, an alternate, a part of the head.
 EXACT, MISSPELT, ALTERNATE, PART = 100, 90, 80, 50
@@ -38,17 +39,32 @@ def _filled(corrects: Column) -> Column:
     return F.filter(corrects, lambda x: x.isNotNull() & (x != ""))
 
 
-def matches(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", word: str = "0-9A-Za-z_가-힣") -> DataFrame:
-    """(key, start, typo): places of the dictionary's forms (typo) that no word character precedes and no line end cuts; longest first, none overlaps.
+def _by_automaton(base: DataFrame, key: str, forms: list[str], begins: regex.Pattern) -> DataFrame:
+    """(key, start, typo) of all places of the forms, read in one pass of an automaton over each text."""
+    kind = base.schema[key]
 
-    An Arrow pass gives what follows each word beginning, as far as the longest form reaches; its beginnings of the dictionary's
-    lengths meet the forms by equality. Only those lengths and the number of forms come to the driver.
-    """
-    forms = dictionary.select("typo").where("typo != ''").distinct()
-    size = forms.agg(F.collect_set(F.length("typo")).alias("lengths"), F.count("*").alias("n")).first()
-    lengths = sorted(size["lengths"])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for f in forms:
+            automaton.add_word(f, f)
+        automaton.make_automaton()
+        for batch in batches:
+            ids, starts, typos = [], [], []
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for end, form in automaton.iter(t or "") if forms else ():
+                    start = end + 1 - len(form)
+                    if "\n" not in form and begins.match(t, start):
+                        ids.append(k)
+                        starts.append(start)
+                        typos.append(form)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(starts, pa.int64()), pa.array(typos, pa.string())], [key, "start", "typo"])
+
+    return in_batches(base, run, T.StructType([kind, T.StructField("start", T.LongType()), T.StructField("typo", T.StringType())]))
+
+
+def _by_join(base: DataFrame, key: str, forms: DataFrame, lengths: list[int], begins: regex.Pattern) -> DataFrame:
+    """The same for any number of forms: what follows each word beginning, as far as the longest form reaches, is cut at the forms' lengths and joined with them."""
     longest = max(lengths, default=0)
-    begins = regex.compile(rf"(?<![{word}])(?=[^\n])")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,13 +76,23 @@ def matches(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", word: s
                     heads.append(t[m.start() : m.start() + longest].split("\n", 1)[0])
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(starts, pa.int64()), pa.array(heads, pa.string())], [key, "start", "head"])
 
-    base = docs.select(key, "text")
     placed = in_batches(base, run, T.StructType([base.schema[key], T.StructField("start", T.LongType()), T.StructField("head", T.StringType())]))
     tried = placed.select(key, "start", "head", F.explode(F.array(*[F.lit(n) for n in lengths]) if lengths else F.expr("cast(array() as array<int>)")).alias("n"))
-    found = tried.where(F.length("head") >= F.col("n")).select(key, "start", F.expr("substring(head, 1, n)").alias("typo"))
-    hit = found.join(F.broadcast(forms) if size["n"] <= BROADCAST_ROWS else forms, "typo")
+    return tried.where(F.length("head") >= F.col("n")).select(key, "start", F.expr("substring(head, 1, n)").alias("typo")).join(forms, "typo")
+
+
+def matches(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", word: str = "0-9A-Za-z_가-힣", excluded: list[str] | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """(key, start, typo): places of the dictionary's forms (typo) that no word character precedes and no line end cuts; longest first, none overlaps.
+
+    Up to ``most`` forms come to the driver and go to the tasks as an automaton; more are joined. Forms that are excluded phrases, blanks aside, are found nowhere.
+    """
+    forms = dictionary.select("typo").where("typo != ''").distinct()
+    size = forms.agg(F.collect_set(F.length("typo")).alias("lengths"), F.count("*").alias("n")).first()
+    begins = regex.compile(rf"(?<![{word}])(?=[^\n])")
+    base = docs.select(key, "text")
+    hit = _by_automaton(base, key, [r.typo for r in forms.collect()], begins) if size["n"] <= most else _by_join(base, key, forms, sorted(size["lengths"]), begins)
     as_match = hit.select(key, F.lit(0).alias("rule"), "start", F.col("typo").alias("matched"))
-    return longest_wins(as_match, [key]).select(key, "start", F.col("matched").alias("typo"))
+    return longest_wins(without_excluded(as_match, excluded) if excluded else as_match, [key]).select(key, "start", F.col("matched").alias("typo"))
 
 
 def glued(c: Column) -> Column:

@@ -50,6 +50,9 @@ def test_loanwords(spark):
     docs = spark.createDataFrame([(1, "겨울엔 가디건을 입는다"), (2, "아지로 마을에 갔다"), (3, "제트더블유\n형 제트더블유 형"), (4, None), (5, "")], "doc_id long, text string")
     typos = spark.createDataFrame([("가디건",), ("지로",), ("제트더블유 형",), ("제트",), ("",)], "typo string")
     assert sorted((r.doc_id, r.start, r.typo) for r in loanwords.matches(docs, typos).collect()) == [(1, 4, "가디건"), (3, 0, "제트"), (3, 8, "제트더블유 형")]
+    as_rows = lambda df: sorted((r.doc_id, r.start, r.typo) for r in df.collect())
+    assert as_rows(loanwords.matches(docs, typos, most=0)) == as_rows(loanwords.matches(docs, typos))
+    assert as_rows(loanwords.matches(docs, typos, excluded=["가디건"])) == [(3, 0, "제트"), (3, 8, "제트더블유 형")]
     assert loanwords.matches(docs, typos.limit(0)).count() == 0
     assert one(spark, loanwords.suggestion(F.array(F.lit("솔루션"), F.lit(""), F.lit("설루션"))), loanwords.bundle(F.lit("지로")), loanwords.bundle(F.lit("가디건"))) == ("솔루션 또는 설루션", "short", "main")
     assert one(spark, loanwords.tip(F.array(F.lit("카디건")), F.lit(" cardigan "))) == ("cardigan — 국어원 용례집 등재 표기는 '카디건'",)
