@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import squeezed
+from ..sources.shared import cut, discard
 
 # Names under which a sheet may give each way of matching, and the way of all other names.
 MODES = {
@@ -61,18 +64,30 @@ def rule_rows(rows: DataFrame) -> DataFrame:
 def first_wins(rules: DataFrame, by: str, order: str, forms: str = "forms") -> DataFrame:
     """(by, order, kept, clash): a rule is kept unless an earlier kept rule of its sheet has one of its forms.
 
-    clash is the first such form. A rule that is not kept claims nothing, so the choice depends on the order and is folded
-    over a sheet, which is a file that people write; sheets are dealt over tasks.
+    clash is the first such form. A rule that is not kept claims nothing, so the choice depends on the order. It is made in rounds: a rule that is the first of all open
+    ones for each of its forms is kept, and every open rule with one of its forms is not; rounds are as many as rules wait for one another. Rules of equal order come in the order of
+    their forms, the first of equal ones first; null forms are none.
     """
-    empty = F.expr(f"named_struct('seen', cast(array() as array<string>), 'out', cast(array() as array<struct<{order}:bigint,kept:boolean,clash:string>>))")
-
-    def step(acc: Column, x: Column) -> Column:
-        clash = F.get(F.filter(x["forms"], lambda f: F.array_contains(acc["seen"], f)), F.lit(0))
-        row = F.struct(x["ord"].alias(order), clash.isNull().alias("kept"), clash.alias("clash"))
-        return F.struct(F.when(clash.isNull(), F.concat(acc["seen"], x["forms"])).otherwise(acc["seen"]).alias("seen"), F.array_append(acc["out"], row).alias("out"))
-
-    listed = rules.select(by, F.struct(F.col(order).cast("long").alias("ord"), F.col(forms).alias("forms")).alias("x")).groupBy(by).agg(F.array_sort(F.collect_list("x")).alias("all"))
-    return listed.select(by, F.inline(F.aggregate("all", empty, step)["out"]))
+    nth = F.row_number().over(Window.partitionBy(by, order, forms).orderBy(F.lit(1)))
+    own = F.array_distinct(F.array_compact(F.coalesce(F.col(forms), F.expr("cast(array() as array<string>)"))))
+    # A struct holds a sheet's null name like any other.
+    rows = cut(rules.select(F.struct(F.col(by)).alias("sheet"), F.struct(F.col(order).cast("long").alias("o"), F.col(forms).alias("f"), nth.alias("n")).alias("rule"), own.alias("own")))
+    open_, kept = rows.select("sheet", "rule", F.explode("own").alias("form")), []
+    while True:
+        lead = open_.groupBy("sheet", "form").agg(F.min("rule").alias("lead"))
+        wins = open_.join(lead, ["sheet", "form"]).groupBy("sheet", "rule").agg(F.bool_and(F.col("rule") == F.col("lead")).alias("wins"))
+        marked = cut(open_.join(wins, ["sheet", "rule"]))
+        if marked.isEmpty():
+            discard(marked)
+            break
+        new, rest = marked.where("wins").drop("wins"), marked.where("not wins").drop("wins")
+        kept.append(new.select("sheet", "form", F.col("rule").alias("keeper")))
+        lost = rest.join(new.select("sheet", "form"), ["sheet", "form"], "left_semi").select("sheet", "rule").distinct()
+        open_ = rest.join(lost, ["sheet", "rule"], "left_anti")
+    each = rows.select("sheet", "rule", F.posexplode("own").alias("pos", "form"))
+    claimed = reduce(DataFrame.unionByName, kept) if kept else each.select("sheet", "form", F.col("rule").alias("keeper")).limit(0)
+    clash = each.join(claimed, ["sheet", "form"]).where(F.col("keeper") < F.col("rule")).groupBy("sheet", "rule").agg(F.min_by("form", "pos").alias("clash"))
+    return rows.join(clash, ["sheet", "rule"], "left").select(F.col(f"sheet.{by}").alias(by), F.col("rule.o").alias(order), F.col("clash").isNull().alias("kept"), "clash")
 
 
 def match_mode(name: Column) -> Column:

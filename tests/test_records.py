@@ -1,5 +1,7 @@
 """Rule sheets, spellings, loanwords and records on small frames, most of them Hangul, which the harness tables lack."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from pagemill.functions import spelling
@@ -29,6 +31,20 @@ def test_a_skipped_rule_claims_nothing(spark):
     assert [(r.sheet, r.ord, r.kept, r.clash) for r in got] == [("s", 1, True, None), ("s", 2, False, "a"), ("s", 3, True, None), ("t", 1, True, None)]
 
 
+def test_first_rules_win_one_by_one(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["s", "t", None]), rng.randrange(12), [rng.choice("abcdefgh") for _ in range(rng.randrange(4))] if rng.random() < 0.9 else None) for _ in range(60)] + [("s", 99, [None, "a"])]
+    expected = []
+    for sheet in ("s", "t", None):
+        seen = set()
+        for o, f in sorted(((o, f) for s, o, f in rows if s == sheet), key=lambda x: (x[0], x[1] is not None, [(v is not None, v or "") for v in x[1] or []])):
+            clash = next((x for x in f or [] if x is not None and x in seen), None)
+            expected.append((str(sheet), o, clash is None, str(clash)))
+            seen |= set() if clash else {x for x in f or [] if x is not None}
+    got = rulebook.first_wins(spark.createDataFrame(rows, "sheet string, ord long, forms array<string>").repartition(3), "sheet", "ord").collect()
+    assert sorted((str(r.sheet), r.ord, r.kept, str(r.clash)) for r in got) == sorted(expected)
+
+
 def test_slots_and_pins(spark):
     assert one(spark, rulebook.slot_pattern(F.lit("@ 시대")), rulebook.slot_pattern(F.lit("@ 1")), rulebook.phrase_pattern(F.lit(" a.b  c "))) == ("[^\\s\\x{FFFD}]+[ \\x{A0}]+시대", None, "a\\.b[ \\x{A0}]+c")
     rules = spark.createDataFrame([("가˅나", True, False, None), ("가나", True, True, "x"), ("z", False, False, "k")], "tail string, unify boolean, pinned boolean, overlay string")
