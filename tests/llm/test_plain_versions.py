@@ -201,3 +201,18 @@ def test_further_identifiers_and_unknown_ones():
     assert scan("SPDX-License-Identifier: MIT AND BSL-1.0") == ("bsl,mit", 1.0)
     assert scan("SPDX-License-Identifier: MIT OR Other-9") == ("mit,unknown", 1.0)
     assert scan("under the BSD 3-Clause License")[0] == "bsd" and scan("GNU AGPL v3")[0] == "agpl"
+
+
+def test_written_shards_hold_every_row_within_the_limit(spark, tmp_path):
+    from pagemill.llm import sharding
+
+    rows = [(k, f"text {k} " * (k % 7)) for k in range(200)] + [(500, None), (501, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit("mine"))
+    at = f"{tmp_path}/shards"
+    sharding.write_shards(docs, at, limit=400)
+    back = spark.read.option("basePath", at).schema("doc_id long, text string, shard string").parquet(at).collect()
+    assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(rows, key=str)
+    sizes = {}
+    for r in back:
+        sizes[r.shard] = sizes.get(r.shard, 0) + len((r.text or "").encode())
+    assert len(sizes) > 10 and max(sizes.values()) <= 400
