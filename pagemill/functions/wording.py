@@ -16,25 +16,28 @@ QUOTES = "['`´‘’“”„«»「」『』]"
 
 # Particles at a word's end, in the order in which they are tried.
 PARTICLES = (
-    "에서부터 에게서 으로부터 으로서 으로써 에서는 에서도 에서 에도 에게 한테 으로 로서 로써 부터 까지 처럼 만큼 보다 대로 이라고 이라서 이라면 이라도 "
-    "입니다 입니까 이었다 이나 이란 이라 이기 이다 인지 은 는 이 가 을 를 의 에 와 과 도 만 나 란 로 요 께 들"
-).split()
+    "에서부터", "에게서", "으로부터", "으로서", "으로써", "에서는", "에서도", "에서", "에도", "에게", "한테", "으로", "로서", "로써", "부터", "까지",
+    "처럼", "만큼", "보다", "대로", "이라고", "이라서", "이라면", "이라도", "입니다", "입니까", "이었다", "이나", "이란", "이라", "이기", "이다",
+    "인지", "은", "는", "이", "가", "을", "를", "의", "에", "와", "과", "도", "만", "나", "란", "로",
+    "요", "께", "들",
+)
 AMBIGUOUS = ("가", "이")
 
 # Particles that mark a left word, by the least number of syllables before them, and those that stand alone.
-LEFT_PARTICLES = {1: "에 에서 에게 으로 이든 이라면 이라도 이나 라도 만이 이 가 을 를 도 만".split(), 2: "의 와 과 나 라면 로 든".split()}
-LEFT_ALL = "에서 에게 으로 이라면 이라도 이나 이든 든 만이 라면 라도 은 는 이 가 을 를 의 에 와 과 도 만 나 로".split()
-ALONE = "이든 라도 이라도 이나 이라면 라면 만이".split()
+LEFT_PARTICLES = {1: ("에", "에서", "에게", "으로", "이든", "이라면", "이라도", "이나", "라도", "만이", "이", "가", "을", "를", "도", "만"), 2: ("의", "와", "과", "나", "라면", "로", "든")}
+LEFT_ALL = ("에서", "에게", "으로", "이라면", "이라도", "이나", "이든", "든", "만이", "라면", "라도", "은", "는", "이", "가", "을", "를", "의", "에", "와", "과", "도", "만", "나", "로")
+ALONE = ("이든", "라도", "이라도", "이나", "이라면", "라면", "만이")
 TOPICS, PRONOUNS = ("은", "는"), ("나", "너", "저", "그", "이")
 # Adnominal and connective tails, by the least number of syllables before them.
-ADNOMINAL = {1: "적인 스런 던 는 은 된 쓴".split(), 2: "진 한 운 낸 난 인 린 른 온 픈 싼".split()}
-CONNECTIVE = {1: "았고 었고 였고 으면서 면서 으면 으며 았다 었다 였다 렸다 랐다 왔다 댔다 는다 든다 겠다 는데 을까 일까".split(), 2: "면 며 고 자".split()}
+ADNOMINAL = {1: ("적인", "스런", "던", "는", "은", "된", "쓴"), 2: ("진", "한", "운", "낸", "난", "인", "린", "른", "온", "픈", "싼")}
+CONNECTIVE = {1: ("았고", "었고", "였고", "으면서", "면서", "으면", "으며", "았다", "었다", "였다", "렸다", "랐다", "왔다", "댔다", "는다", "든다", "겠다", "는데", "을까", "일까"), 2: ("면", "며", "고", "자")}
 # Words that are noise as they stand, and words that only look like it.
 CONJUNCTIONS = (
-    "그리고 또 또한 아울러 더불어 게다가 그러나 하지만 그렇지만 그런데 반면 반면에 오히려 도리어 그래서 그래도 그러므로 따라서 그러니까 그러니 왜냐하면 "
-    "그러면 그렇다면 그럼 설령 설사 가령 아니면 한편 다음으로 아무튼 어쨌든 여하튼 하여튼 더구나 뿐만 특히 다만 단 결국 요컨대 즉 말하자면 이어서 그다음 이후 먼저 우선"
-).split()
-VERBALS = "없다 있다 아니다 된다 같다".split()
+    "그리고", "또", "또한", "아울러", "더불어", "게다가", "그러나", "하지만", "그렇지만", "그런데", "반면", "반면에", "오히려", "도리어", "그래서", "그래도",
+    "그러므로", "따라서", "그러니까", "그러니", "왜냐하면", "그러면", "그렇다면", "그럼", "설령", "설사", "가령", "아니면", "한편", "다음으로", "아무튼", "어쨌든",
+    "여하튼", "하여튼", "더구나", "뿐만", "특히", "다만", "단", "결국", "요컨대", "즉", "말하자면", "이어서", "그다음", "이후", "먼저", "우선",
+)
+VERBALS = ("없다", "있다", "아니다", "된다", "같다")
 NO_ADNOMINAL, NO_ADVERB = ("남북한",), ("가게", "집게")
 
 

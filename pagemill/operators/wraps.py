@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Letters that end a word as particles, words of one letter, and letters that close a sentence.
-PARTICLES = tuple("은는이가을를의만와과도")
+PARTICLES = ("은", "는", "이", "가", "을", "를", "의", "만", "와", "과", "도")
 STANDALONE = ("간", "및", "등", "중", "후", "전", "겸", "즉", "곧", "또")
 CLOSING = ("다", "요", "까", "네")
 
