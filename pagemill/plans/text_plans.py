@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.auxiliary import Auxiliary
 from ..operators import documents as doc
-from ..operators import matching, spacing, titles
+from ..operators import matching, orthography, spacing, titles
 from ..operators.merging import byte_budget
 from ..sources.tables import Rule, lines, table
 
@@ -259,6 +259,13 @@ def stem_peers(spark, sf_dir):
     return s.groupBy("stem").agg(F.count("*").alias("forms"), F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_list("token")), " ").alias("peers")).where("forms >= 2")
 
 
+@query(f"""WITH {TOKENS}, f AS (SELECT token FROM tk WHERE n >= 20), r AS (SELECT token, unnest(list_distinct(list_prepend(token, list_transform(range(1, length(token) + 1), lambda k: left(token, k::INTEGER - 1) || substr(token, k + 1))))) AS rest FROM f)
+SELECT DISTINCT x.token AS a, y.token AS b, levenshtein(x.token, y.token)::INTEGER AS distance FROM r x JOIN r y USING (rest) WHERE x.token < y.token AND levenshtein(x.token, y.token) <= 1""")
+def near_tokens(spark, sf_dir):
+    """Frequent tokens that differ by one edit."""
+    return orthography.near_forms(_tokens(spark, sf_dir).where("n >= 20"), 1, "token")
+
+
 @query("""SELECT head, inner_text, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '([^ \\n()]+) ?\\(([^()\\n]+)\\)', 1)) AS head, unnest(regexp_extract_all(text, '([^ \\n()]+) ?\\(([^()\\n]+)\\)', 2)) AS inner_text FROM documents) GROUP BY ALL""")
 def paren_anchors(spark, sf_dir):
     pattern = F.lit(r"([^ \n()]+) ?\(([^()\n]+)\)")
