@@ -17,7 +17,7 @@ def without_overlays(items: DataFrame, step: float = 2.0) -> DataFrame:
 
 
 def physical_lines(items: DataFrame) -> DataFrame:
-    """(page, y, text, max_size, min_x): items of a page gathered into lines from top to bottom.
+    """(page, y, text, max_size, min_x): items of a page gathered into lines from top to bottom. Items of equal index come by x, then by text.
 
     In item order an item joins the first line within its tolerance, else it opens one. That fold depends on the order, so it
     runs in pandas; a group is one page, which its paper bounds.
@@ -26,14 +26,14 @@ def physical_lines(items: DataFrame) -> DataFrame:
     def gather(page: pd.DataFrame) -> pd.DataFrame:
         tops: list[float] = []
         of = []
-        page = page.sort_values("item_idx")
+        page = page.sort_values(["item_idx", "x", "str"])
         for y, size in zip(page["y"], page["size"], strict=True):
             reach = max(size, LEAST_SIZE) * LINE_SHARE
             k = next((k for k, top in enumerate(tops) if abs(top - y) <= reach), len(tops))
             if k == len(tops):
                 tops.append(y)
             of.append(k)
-        page = page.assign(k=of).sort_values(["x", "item_idx"], kind="stable")
+        page = page.assign(k=of).sort_values(["x", "item_idx", "str"], kind="stable")
         each = page.groupby("k").agg(page=("page", "first"), text=("str", "sum"), max_size=("size", "max"), min_x=("x", "min")).reset_index()
         each["y"], each["text"] = each["k"].map(dict(enumerate(tops))), each["text"].str.strip()
         return each[each["text"] != ""][["page", "y", "text", "max_size", "min_x"]]

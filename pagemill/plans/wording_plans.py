@@ -127,7 +127,7 @@ def _items(spark, sf_dir):
     )
 
 
-ITEMS = "i AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS item_idx, l_returnflag AS s, l_quantity::DOUBLE AS x, (l_linenumber * 3)::DOUBLE AS y FROM lineitem)"
+ITEMS = "i AS (SELECT l_suppkey AS page, l_orderkey * 10 + l_linenumber AS item_idx, l_returnflag AS s, l_quantity::DOUBLE AS x, (l_linenumber * 3)::DOUBLE AS y, 10.0::DOUBLE AS size FROM lineitem)"
 
 
 @query(f"WITH {ITEMS} SELECT page, item_idx FROM (SELECT *, row_number() OVER (PARTITION BY page, s, floor(x / 2 + 0.5), floor(y / 2 + 0.5) ORDER BY item_idx) AS k FROM i) WHERE k = 1")
@@ -141,6 +141,11 @@ def spread_gutter(spark, sf_dir):
     return layout.widest_gap(_items(spark, sf_dir), 15, 35)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {ITEMS}, o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY page ORDER BY item_idx, x, s) AS n FROM i WHERE s <> ''),
+f AS (SELECT DISTINCT page, 0::BIGINT AS n, []::DOUBLE[] AS tops, NULL::BIGINT AS k FROM o
+  UNION ALL SELECT page, n, CASE WHEN hit IS NULL THEN list_append(tops, y) ELSE tops END, coalesce(hit, len(tops) + 1)
+  FROM (SELECT o.page, o.n, o.y, f.tops, nullif(list_position(list_transform(f.tops, lambda t: abs(t - o.y) <= greatest(o.size, 8) * 0.55), true), 0)::BIGINT AS hit FROM f JOIN o ON o.page = f.page AND o.n = f.n + 1))
+SELECT page, y, text, max_size, min_x FROM (
+  SELECT f.page, f.tops[f.k] AS y, trim(string_agg(o.s, '' ORDER BY o.x, o.item_idx, o.s)) AS text, max(o.size) AS max_size, min(o.x) AS min_x FROM f JOIN o USING (page, n) GROUP BY ALL) WHERE text <> ''""")
 def physical_lines(spark, sf_dir):
     return layout.physical_lines(_items(spark, sf_dir))
