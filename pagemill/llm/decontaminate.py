@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +93,12 @@ def canonical(raw: np.ndarray, offsets: np.ndarray) -> tuple[ta.Words, np.ndarra
     return words, plain, readings
 
 
+def without_marks(texts: pa.Array) -> pa.Array:
+    """Typographic apostrophes become plain ones; other characters outside ASCII that are no letters, marks or digits part words."""
+    plain = pc.replace_substring_regex(texts, f"[{APOSTROPHES}]", "'")
+    return pc.replace_substring_regex(plain, r"[^\p{L}\p{M}\p{N}\x00-\x7F]", " ")
+
+
 def _filter_places(hashes: np.ndarray) -> np.ndarray:
     return np.stack([hashes % np.uint64(FILTER_BITS), (hashes >> np.uint64(32)) % np.uint64(FILTER_BITS), ta.mix(hashes) % np.uint64(FILTER_BITS)]).astype(np.int64)
 
@@ -106,7 +113,7 @@ def _window_rows(window: int, named: bool, bits=None, known=None):
         passes = None if named else np.frombuffer(bits.value, np.uint8)
         sizes = range(1, window + 1) if named else known.value
         for batch in batches:
-            raw, offsets = ta.buffers(batch.column(2))
+            raw, offsets = ta.buffers(without_marks(batch.column(2)))
             for a, b in ta.chunks(offsets):
                 words, plain, readings = canonical(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 for size in sizes:
@@ -144,9 +151,7 @@ WINDOWS = "id long, text_id long, hash long, at int, slots array<long>, solid bo
 
 
 def _texts(df: DataFrame, key: str) -> DataFrame:
-    """Typographic apostrophes become plain ones; other characters outside ASCII that are no letters, marks or digits part words."""
-    plain = F.regexp_replace(F.translate(whole_text(), APOSTROPHES, "'" * len(APOSTROPHES)), r"[^\p{L}\p{M}\p{N}\x00-\x7F]", " ")
-    return df.select(F.col(key).cast("long").alias("id"), F.xxhash64(whole_text()).alias("text_id"), plain.alias("text"))
+    return df.select(F.col(key).cast("long").alias("id"), F.xxhash64(whole_text()).alias("text_id"), whole_text().alias("text"))
 
 
 def _filter_bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
