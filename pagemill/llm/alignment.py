@@ -142,15 +142,15 @@ def tokens(a_path: str, b_path: str) -> Tokens:
 
 
 @lru_cache(maxsize=4)
-def _tables(a_path: str, b_path: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For A and B: (bytes of each id, its decimal digits, how many)."""
-    out = []
-    for raw in (tokens(a_path, b_path).a_bytes, tokens(a_path, b_path).b_bytes):
-        names = [str(i) for i in range(len(raw))]
-        widest = len(names[-1])
-        digits = np.frombuffer("".join(n.ljust(widest) for n in names).encode(), np.uint8).reshape(-1, widest)
-        out.append((np.array([len(b) for b in raw], np.int64), digits, np.array([len(n) for n in names], np.int64)))
-    return out
+def _tables(a_path: str, b_path: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(for A and B: bytes of each id, how ids are written, bytes of that).
+
+    Written are the digits and what follows: all ids of A, then those of B, inside of a group (a comma); then all again for the last of their side in it (a bar, a
+    semicolon). Eight bytes each, zeros behind.
+    """
+    raws = (tokens(a_path, b_path).a_bytes, tokens(a_path, b_path).b_bytes)
+    names = [f"{i}{mark}".encode() for marks in (",,", "|;") for raw, mark in zip(raws, marks, strict=True) for i in range(len(raw))]
+    return [np.array([len(b) for b in raw], np.int64) for raw in raws], np.array(names, "S8").view(np.uint64), np.array([len(n) for n in names], np.int64)
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -178,8 +178,9 @@ def _split(a_path: str, b_path: str, block_chars: int, buckets: int):
         yield from _table(BLOCKS, [(block, None, packed(np.array([len(n) for n in numbers])), packed(rank[places]), None, ids)]).to_batches()
         segments = [s.encode() for s in known]
         bucket = np.array([xxhash.xxh64_intdigest(s) % buckets for s in segments], np.int64)[by_use]
-        for b in np.unique(bucket).tolist():
-            mine = np.flatnonzero(bucket == b)
+        order = bucket.argsort(kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
+            b = int(bucket[mine[0]])
             raw = [segments[k] for k in by_use[mine].tolist()]
             sizes = packed(np.array([len(s) for s in raw]))
             yield from _table(BLOCKS, [(block, b, sizes, packed(np.diff(mine, prepend=0)), zstandard.compress(b"".join(raw), 3), None)]).to_batches()
@@ -211,6 +212,12 @@ def _starts(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by sorting: np.unique may hash them, which takes several times as long."""
+    values = np.sort(values)
+    return values[np.diff(values, prepend=values[:1] - 1) != 0]
+
+
 def _strings(row: dict) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(unpacked(row["sizes"]))]).astype(np.int32)
     return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(zstandard.decompress(row["segments"])))
@@ -259,7 +266,7 @@ def _gather(table: pa.Table) -> pa.Table:
 class Block:
     """A block's documents and the tokens of its segments, in the order of their numbers."""
 
-    def __init__(self, row: dict, tables: list):
+    def __init__(self, row: dict, tables: tuple):
         self.doc_ids = row["doc_ids"]
         self.sizes = unpacked(row["sizes"])
         self.places = unpacked(row["numbers"])
@@ -271,17 +278,21 @@ class Block:
         fine = self.n[0] > 0
         #: Documents that have tokens: they have segments, and all of these could be aligned.
         self.good = (self.sizes > 0) & (np.bincount(self.of, weights=~fine[self.places], minlength=len(self.sizes)) == 0)
-        # Ends of all tokens, as bytes from the block's first segment on. A link is a stretch between two neighbouring ends of either side; a group ends where both do.
-        ends = [np.cumsum(t[0][i]) for t, i in zip(tables, self.ids, strict=True)]
-        all_ends = np.union1d(*ends)
-        first, second = (np.searchsorted(e, all_ends) for e in ends)
+        # Ends of all tokens, as bytes from the block's first segment on, are marked in a row of bytes, which needs no sorting. A link is a stretch between two
+        # neighbouring ends of either side; a group ends where both do.
+        ends = [np.cumsum(t[i]) for t, i in zip(tables[0], self.ids, strict=True)]
+        marks = [np.zeros(1 + max([0, *(int(x[-1]) for x in ends if len(x))]), bool) for _ in ends]
+        for mark, end in zip(marks, ends, strict=True):
+            mark[end] = True
+        all_ends = np.flatnonzero(marks[0] | marks[1])
+        #: Which of all ends are ends of A, and of B.
+        self.here = [mark[all_ends] for mark in marks]
+        first, second = (np.cumsum(h) - h for h in self.here)
         self.pairs = self.ids[0][first] << 32 | self.ids[1][second]
-        segment_ends = np.concatenate([[0], ends[0]])[_starts(self.n[0])[1:]]
-        self.link_starts = np.searchsorted(all_ends, np.concatenate([[0], segment_ends]), "right")
-        # As many common ends as there are groups.
-        self.common = np.intersect1d(*ends)
-        self.ends = ends
-        self.group_starts = np.searchsorted(self.common, np.concatenate([[0], segment_ends]), "right")
+        self.link_starts = np.concatenate([[0], np.flatnonzero(self.here[0]) + 1])[_starts(self.n[0])]
+        #: As many ends of both as there are groups.
+        self.common = self.here[0] & self.here[1]
+        self.group_starts = _starts(self.common)[self.link_starts]
 
     def by_document(self, values: np.ndarray) -> np.ndarray:
         """Sums over each document's segments; zero where it has no tokens."""
@@ -300,34 +311,25 @@ class Block:
         for a in range(0, len(self.sizes), PART_DOCS):
             # Distinct segments of each document first, then their distinct pairs.
             span = slice(self.starts[a], self.starts[min(a + PART_DOCS, len(self.sizes))])
-            doc, segment = np.divmod(np.unique(self.of[span] * (len(n_links) + 1) + self.places[span]), len(n_links) + 1)
+            doc, segment = np.divmod(_distinct(self.of[span] * (len(n_links) + 1) + self.places[span]), len(n_links) + 1)
             doc, segment = doc[self.good[doc]], segment[self.good[doc]]
             links = code[_spans(self.link_starts[segment], n_links[segment])]
-            each = np.unique(np.repeat(doc, n_links[segment]) * len(known) + links) if len(links) else np.zeros(0, np.int64)
+            each = _distinct(np.repeat(doc, n_links[segment]) * len(known) + links)
             counts += np.bincount(each % max(1, len(known)), minlength=len(known))
         some = np.flatnonzero(counts)
         return known[some], counts[some]
 
     def groups(self) -> list[bytes]:
         """Each segment's groups: A's ids, a bar, B's ids, a semicolon; and so on."""
-        side = np.repeat([0, 1], [len(i) for i in self.ids])
-        ids = np.concatenate(self.ids)
-        group = np.concatenate([np.searchsorted(self.common, e) for e in self.ends])
-        last = np.concatenate([np.isin(e, self.common) for e in self.ends])
-        order = np.lexsort((side, group))
-        side, ids, group, last = side[order], ids[order], group[order], last[order]
-        widths = np.where(side == 0, self.tables[0][2][np.where(side == 0, ids, 0)], self.tables[1][2][np.where(side == 1, ids, 0)])
-        at = _starts(widths + 1)
-        out = np.empty(at[-1], np.uint8)
-        for s in (0, 1):
-            mine = np.flatnonzero(side == s)
-            digits = self.tables[s][1]
-            for k in range(digits.shape[1]):
-                wide = mine[widths[mine] > k]
-                out[at[wide] + k] = digits[ids[wide], k]
-        out[at[1:] - 1] = np.where(last, np.where(side == 0, ord("|"), ord(";")), ord(","))
-        whole = out.tobytes()
-        bounds = at[np.searchsorted(group, self.group_starts)].tolist()
+        sizes, names, widths = self.tables
+        group = np.cumsum(self.common) - self.common
+        # Two runs in order, which a stable sort merges.
+        order = np.concatenate([2 * group[h] + side for side, h in enumerate(self.here)]).argsort(kind="stable")
+        last = np.concatenate([self.common[h] for h in self.here])
+        written = (np.concatenate([self.ids[0], self.ids[1] + len(sizes[0])]) + last * (len(names) // 2))[order]
+        raw = names[written].view(np.uint8)
+        whole = raw[raw != 0].tobytes()
+        bounds = _starts(widths[written])[_starts(self.n[0] + self.n[1])].tolist()
         return [whole[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
