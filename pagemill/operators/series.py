@@ -46,23 +46,24 @@ def candidates(clusters: DataFrame, end: bool = False, least: int = 2, letters:
 def greedy(offers: DataFrame, least: int = LEAST) -> DataFrame:
     """(key, affix) of offers (key, affix, rank): affixes are taken by rank, the smallest first; one that at least ``least`` keys still free offer takes them all.
 
-    Ranks order the affixes and do not tie within a key. In a round, every affix decides that is the best left for all its free keys: no other one's decision can change its
-    own. The best affix of all always decides, so every round makes progress; rounds are as many as affixes wait for one another, not as many
-    as there are affixes. Affixes with too few free keys drop out, as free keys only grow fewer.
+    Ranks order the affixes and do not tie within a key. A key that every better affix has failed is free at the turn of its best one left. So in a round an affix that is
+    the best left for ``least`` keys is sure to be taken, and has these; other keys come to it once their better ones have failed. Affixes that are not sure and have too few free keys
+    fail, as free keys only grow fewer. The best affix of all always decides, so every round makes progress; what stays open after the first ones are affixes that are the best for too few.
     """
-    open_, tables = offers.select("key", "affix", "rank").where("key is not null and affix is not null").distinct(), []
+    open_, tables = offers.select("key", "affix", "rank").where("key is not null and affix is not null").distinct().withColumn("sure", F.lit(False)), []
     while True:
-        live = open_.groupBy("affix").agg(F.count("*").alias("members")).where(F.col("members") >= least)
+        live = open_.groupBy("affix").agg(F.count("*").alias("members"), F.bool_or("sure").alias("safe")).where(F.col("safe") | (F.col("members") >= least))
         left = open_.join(live.select("affix"), "affix", "left_semi")
         best = left.groupBy("key").agg(F.min("rank").alias("best"))
-        ripe = left.join(best, "key").groupBy("affix").agg(F.bool_and(F.col("rank") == F.col("best")).alias("ripe"))
-        marked = cut(left.join(ripe, "affix"))
+        with_best = left.join(best, "key").withColumn("first", F.col("rank") == F.col("best")).drop("best")
+        firsts = with_best.groupBy("affix").agg(F.count_if("first").alias("firsts"))
+        marked = cut(with_best.join(firsts, "affix").select("key", "affix", "rank", "first", (F.col("sure") | (F.col("firsts") >= least)).alias("sure")))
         if marked.isEmpty():
             discard(marked)
             break
         tables.append(marked)
-        open_ = marked.where("not ripe").drop("ripe").join(marked.where("ripe").select("key"), "key", "left_anti")
-    taken = [t.where("ripe").select("key", "affix") for t in tables]
+        open_ = marked.join(marked.where("first and sure").select("key"), "key", "left_anti").drop("first")
+    taken = [t.where("first and sure").select("key", "affix") for t in tables]
     if not taken:
         return offers.select("key", "affix").limit(0)
     return reduce(DataFrame.unionByName, taken)

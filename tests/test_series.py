@@ -234,3 +234,31 @@ def test_index_of_conflicts(spark):
     both = full.join(spacing.conflicts(full).select("key"), "key", "left_semi")
     assert sorted(map(tuple, spacing.conflict_index(texts, 4).collect())) == sorted(map(tuple, both.collect()))
     assert spacing.conflict_index(texts.limit(0)).collect() == []
+
+
+def in_turns(offers, least):
+    free, out = {k for k, _, _ in offers}, set()
+    for _, affix in sorted({(r, a) for _, a, r in offers}):
+        keys = {k for k, a, _ in offers if a == affix and k in free}
+        if len(keys) >= least:
+            free -= keys
+            out |= {(k, affix) for k in keys}
+    return out
+
+
+def test_greedy_takes_turns(spark):
+    rng = random.Random(4)
+    for least in (1, 2, 3):
+        offers = {(f"k{rng.randrange(40)}", f"a{n}", n) for n in rng.choices(range(25), k=150)}
+        got = series.greedy(spark.createDataFrame(sorted(offers), "key string, affix string, rank int"), least)
+        assert {tuple(r) for r in got.collect()} == in_turns(offers, least)
+
+
+@pytest.mark.parametrize("least", [1, 2])
+def test_greedy_rounds_do_not_follow_chains(spark, monkeypatch, least):
+    # Every affix is the best one for two keys of its own and shares a key with the next.
+    offers = {(f"{side}{n}", f"a{n:02}", n) for n in range(15) for side in "xy"} | {(f"z{n}", f"a{m:02}", m) for n in range(14) for m in (n, n + 1)}
+    rounds = []
+    monkeypatch.setattr(series, "cut", lambda df, cut=series.cut: rounds.append(1) or cut(df))
+    got = series.greedy(spark.createDataFrame(sorted(offers), "key string, affix string, rank int"), least)
+    assert {tuple(r) for r in got.collect()} == in_turns(offers, least) and len(rounds) <= 2
