@@ -262,3 +262,19 @@ def test_greedy_rounds_do_not_follow_chains(spark, monkeypatch, least):
     monkeypatch.setattr(series, "cut", lambda df, cut=series.cut: rounds.append(1) or cut(df))
     got = series.greedy(spark.createDataFrame(sorted(offers), "key string, affix string, rank int"), least)
     assert {tuple(r) for r in got.collect()} == in_turns(offers, least) and len(rounds) <= 2
+
+
+def test_totals_from_counts(spark):
+    rows = ["the end", "e nd end e nd", "t he the en d", "t", "엔드 t h e", None, "", "th\ne", "  end  e  nd "]
+    texts = spark.createDataFrame([(t,) for t in rows], "text string").repartition(2)
+    x = spacing.ngram_index(lines(texts.withColumn("doc_id", F.lit(1))).select("line"), 4)
+    part = x.where("startswith(key, 'e')")
+    choices = part.select("key", F.lit("e nd").alias("chosen")).distinct()
+    got = clusters.totals_of(spacing.gram_counts(texts, 4, "th"), part, choices)
+    assert got.collect() == clusters.totals(x, choices, x.where("startswith(key, 'th')").select("key")).collect()
+    assert {r.words: r.n for r in spacing.gram_counts(texts, 2).collect()} == {1: x.where("key = variant").agg(F.sum("n")).first()[0], 2: x.where("length(variant) = length(key) + 1").agg(F.sum("n")).first()[0]}
+
+
+def test_choice_totals_build_no_index(spark, monkeypatch):
+    monkeypatch.setattr(spacing, "ngram_index", lambda *a, **b: pytest.fail("the whole index"))
+    assert catalogue.queries()["choice_totals"](spark, SF).count() == 1
