@@ -7,11 +7,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import similarity, space_free
+from ..functions.text import space_free
 from ..sources.shared import cut, discard
 
 #: Similarity from which two titles are the same, and from which one is a hint for the other.
 SAME, HINT = 0.88, 0.72
+#: Distinct titles of the smaller side up to which every task compares all of them.
+FEW = 2000
 
 
 def _form(title: Column) -> Column:
@@ -49,23 +51,52 @@ def _prefixes(titles: DataFrame, counts: DataFrame, least: float) -> DataFrame:
     return ranked.select("id", "form", "q", F.explode(F.slice("all", F.lit(1), need)).alias("x")).select("id", "form", "q", "x.gram", "x.nth")
 
 
-def near_titles(left: DataFrame, right: DataFrame, least: float = HINT) -> DataFrame:
+def _by_grams(ours: DataFrame, theirs: DataFrame, least: float) -> DataFrame:
+    """(a, b): candidates of forms of two tables, which share one of the q * e + 1 rarest grams of each."""
+    texts = [t.select(F.col("form").alias("id"), "form") for t in (ours, theirs)]
+    counts = cut(_grams(texts[1], least).select("q", F.explode("g").alias("gram")).groupBy("q", "gram").agg(F.count("*").alias("n")))
+    a, b = (_prefixes(t, counts, least) for t in texts)
+    found = a.select(F.col("form").alias("a"), "q", "gram", "nth").join(b.select(F.col("form").alias("b"), "q", "gram", "nth"), ["q", "gram", "nth"])
+    return found.where(_sizes_fit(least)).select("a", "b").distinct()
+
+
+def _sizes_fit(least: float) -> Column:
+    a, b = F.length("a"), F.length("b")
+    return (a >= F.lit(least) * b - F.lit(1e-9)) & (b >= F.lit(least) * a - F.lit(1e-9))
+
+
+def near_titles(left: DataFrame, right: DataFrame, least: float = HINT, few: int = FEW) -> DataFrame:
     """(left_id, right_id, score) of all titles (id, title) whose similarity is ``least`` or more, exactly; ``least`` above 0.5.
 
-    Two strings within e edits share one of the q * e + 1 rarest grams of each (grams of q characters, rarest in the right table): an equality join on these finds all candidates, and few others. Titles
-    that are null or blank are similar to none. Equal titles are compared once.
+    Up to ``few`` distinct titles of one side go to every task and are compared with all of the other side whose sizes fit, dealt out evenly. Beyond that, two strings within e edits share one of the q * e + 1 rarest
+    grams of each (grams of q characters, rarest in the right table): an equality join on these finds all candidates, and few others. Titles that are null or blank are similar to none. Equal titles are
+    compared once, a distance only as far as it can count, and titles too long or too short for any of the other side not at all.
     """
     if not 0.5 < least <= 1:
         raise ValueError("similarities above 0.5, up to 1")
+    spark = left.sparkSession
     forms = [cut(t.select(F.col("id"), _form(F.col("title")).alias("form")).where("form != ''")) for t in (left, right)]
-    texts = [f.select(F.col("form").alias("id"), "form").distinct() for f in forms]
-    counts = cut(_grams(texts[1], least).select("q", F.explode("g").alias("gram")).groupBy("q", "gram").agg(F.count("*").alias("n")))
-    a, b = (_prefixes(t, counts, least).drop("id") for t in texts)
-    bounds = F.col("size") >= F.lit(least) * F.col("other_size") - F.lit(1e-9)
-    ours = a.select(F.col("form").alias("a"), "q", "gram", "nth", F.length("form").alias("size"))
-    theirs = b.select(F.col("form").alias("b"), "q", "gram", "nth", F.length("form").alias("other_size"))
-    found = ours.join(theirs, ["q", "gram", "nth"]).where(bounds & (F.col("other_size") >= F.lit(least) * F.col("size") - F.lit(1e-9))).select("a", "b").distinct()
-    scored = found.withColumn("score", similarity(F.col("a"), F.col("b"))).where(F.col("score") >= F.lit(least))
+    size = F.length("form")
+    ends = [f.agg(F.min(size), F.max(size)).first() for f in forms]
+    if None in (ends[0][0], ends[1][0]):
+        return _named(spark.createDataFrame([], "a string, b string, score double"), forms)
+    texts = [f.where((size >= least * shortest - 1e-9) & (least * size <= longest + 1e-9)).select("form").distinct() for f, (shortest, longest) in zip(forms, ends[::-1], strict=True)]
+    numbers = [t.limit(few + 1).count() for t in texts]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    if min(numbers) <= few:
+        small = numbers.index(min(numbers))
+        sides = [F.broadcast(t) if k == small else t.repartition(tasks, "form") for k, t in enumerate(texts)]
+        found = sides[0].withColumnRenamed("form", "a").join(sides[1].withColumnRenamed("form", "b"), _sizes_fit(least))
+    else:
+        found = _by_grams(*texts, least).repartition(tasks, "a", "b")
+    longer = F.greatest(F.length("a"), F.length("b"))
+    # One edit more than can count, so that rounding decides nothing here.
+    near = found.withColumn("most", (F.lit(1 - least) * longer + 1).cast("int")).withColumn("edits", F.expr("levenshtein(a, b, most)")).where("edits >= 0")
+    return _named(near.select("a", "b", (1 - F.col("edits") / longer).alias("score")).where(F.col("score") >= F.lit(least)), forms)
+
+
+def _named(scored: DataFrame, forms: list[DataFrame]) -> DataFrame:
+    """(left_id, right_id, score) of forms (a, b, score)."""
     ids = [f.select(F.col("id").alias(n), F.col("form").alias(c)) for f, n, c in zip(forms, ("left_id", "right_id"), "ab", strict=True)]
     return scored.join(ids[0], "a").join(ids[1], "b").select("left_id", "right_id", "score")
 

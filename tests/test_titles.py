@@ -56,6 +56,18 @@ def test_near_titles_are_all_found(spark, seed, least):
     assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
 
 
+@pytest.mark.parametrize("few", [0, 70])
+def test_few_titles_and_many(spark, few):
+    rng = random.Random(8)
+    left = [(k, words(rng, "ab c", 14 if k % 2 else 40)) for k in range(60)] + [(90, None), (91, " "), (92, "É")]
+    right = [(k, words(rng, "ab c", 14)) for k in range(90)] + [(100 + i, "".join(c for c in (t or "") if rng.random() < 0.9)) for i, (_, t) in enumerate(left)] + [(200, "a" * 5000), (201, "é")]
+    for a, b in ((left, right), (right, left)):
+        got = {(r.left_id, r.right_id): r.score for r in titles.near_titles(frame(spark, a), frame(spark, b), 0.72, few).collect()}
+        expected = plain(a, b, 0.72)
+        assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-9 for k in got)
+    assert titles.near_titles(frame(spark, left), frame(spark, [(1, None), (2, " ")])).collect() == []
+
+
 def test_turns(spark):
     rng = random.Random(5)
     for _ in range(3):
