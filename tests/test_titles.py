@@ -68,6 +68,12 @@ def test_few_titles_and_many(spark, few):
     assert titles.near_titles(frame(spark, left), frame(spark, [(1, None), (2, " ")])).collect() == []
 
 
+def test_few_titles_are_compared_in_many_tasks(spark):
+    left, right = [(k, f"title {k}") for k in range(30)], [(k, f"a title {k}") for k in range(300)]
+    near = titles.near_titles(frame(spark, left), frame(spark, right))
+    assert near.count() and "Generate" not in near._jdf.queryExecution().executedPlan().toString() and near._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 1
+
+
 def test_turns(spark):
     rng = random.Random(5)
     for _ in range(3):
