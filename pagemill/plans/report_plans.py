@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import matching, reports, spacing
+from ..operators import grams, matching, reports, spacing
 from ..sources.tables import Rule, table
-from .text_plans import CHOSEN, FILTERED, RULES, TOKENS, _filtered, _conflicts, _index, _index_sql, _matches, _positions, _tokens
+from .text_plans import CHOSEN, FILTERED, RULES, TOKENS, _filtered, _conflicts, _index_sql, _matches, _positions, _tokens
 
 QUERIES: dict = {}
 EXCLUDING = [Rule(1, "tion", exclude_phrases=("tional", "tions")), Rule(2, "([sc])?tion", regex=True, exclude_prefixes=("s",))]
@@ -63,7 +63,7 @@ def spacing_totals(spark, sf_dir):
 def cluster_order(spark, sf_dir):
     """Frequent clusters: those of both forms first, then the commonest, then by key."""
     glued = F.col("key") == F.col("variant")
-    c = _index(spark, sf_dir).groupBy("key").agg(F.sum("n").alias("total"), (F.bool_or(glued) & F.bool_or(~glued)).alias("dual")).where("total >= 10")
+    c = grams.selected(table(spark, sf_dir, "documents").select("text"), total=10).groupBy("key").agg(F.sum("n").alias("total"), (F.bool_or(glued) & F.bool_or(~glued)).alias("dual")).where("total >= 10")
     return c.orderBy(F.desc("dual"), F.desc("total"), "key")
 
 
