@@ -51,10 +51,21 @@ def _heads(glued: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return out
 
 
+def _rest(sizes: np.ndarray) -> np.ndarray:
+    """The bits of a head that lie behind so many bytes."""
+    return np.where(sizes < HEAD, np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * np.minimum(sizes, HEAD - 1).astype(np.uint64)), np.uint64(0))
+
+
+def _beginnings(heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return heads & ~_rest(sizes)
+
+
 def _over_border(heads: np.ndarray, sizes: np.ndarray, borders: np.ndarray) -> np.ndarray:
     """Whether a key, the first bytes of a window, goes on in several buckets."""
-    rest = np.where(sizes < HEAD, np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * np.minimum(sizes, HEAD - 1).astype(np.uint64)), np.uint64(0))
-    return np.searchsorted(borders, heads & ~rest, side="right") != np.searchsorted(borders, heads | rest, side="right")
+    out, short = np.zeros(len(heads), bool), np.flatnonzero(sizes < HEAD)
+    low = _beginnings(heads[short], sizes[short])
+    out[short] = np.searchsorted(borders, low, side="right") != np.searchsorted(borders, low | _rest(sizes[short]), side="right")
+    return out
 
 
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -85,12 +96,14 @@ def _packed(chunk: Chunk, most: int, borders: np.ndarray) -> Iterator[tuple]:
     order = np.argsort(heads, kind="stable")
     size = np.append(chunk.glued_end - chunk.glued_start, np.zeros(most, np.int64))
     cuts = np.concatenate([[0], np.searchsorted(heads[order], borders), [len(order)]])
+    every = np.stack([np.where(order + m <= last[order], size[order + m], 0) for m in range(most)])
+    a, sizes = a[order], (b - a)[order]
     for bucket in np.flatnonzero(np.diff(cuts)):
-        mine = order[cuts[bucket] : cuts[bucket + 1]]
-        each = np.stack([np.where(mine + m <= last[mine], size[mine + m], 0) for m in range(most)])
+        mine = slice(cuts[bucket], cuts[bucket + 1])
+        each = every[:, mine]
         kind = np.uint8 if each.max() < 256 else np.uint32
-        windows = chunk.glued[_spans(a[mine], (b - a)[mine])]
-        yield int(bucket), bytes([each.dtype.type(kind().itemsize)]) + zstandard.compress(each.astype(kind).tobytes(), 3), zstandard.compress(windows.tobytes(), 6)
+        windows = chunk.glued[_spans(a[mine], sizes[mine])]
+        yield int(bucket), bytes([kind().itemsize]) + zstandard.compress(each.astype(kind).tobytes(), 3), zstandard.compress(windows.tobytes(), 3)
 
 
 class Bucket:
@@ -102,11 +115,11 @@ class Bucket:
         self.glued = np.frombuffer(b"".join(zstandard.decompress(r["windows"]) for r in rows), np.uint8)
         self.reach = np.cumsum(self.sizes, axis=0, dtype=np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.reach[-1])[:-1]])
-        heads = _heads(self.glued, self.starts, self.starts + self.reach[-1])
+        self.heads = _heads(self.glued, self.starts, self.starts + self.reach[-1])
         shape, at, hashes = np.zeros(len(self.starts), np.uint64), [], self._hashes(most)
         for m in range(most):
             shape = (shape + self.sizes[m].astype(np.uint64) + np.uint64(1)) * MIX
-            mine = np.flatnonzero((self.sizes[m] > 0) & ~_over_border(heads, self.reach[m], borders))
+            mine = np.flatnonzero((self.sizes[m] > 0) & ~_over_border(self.heads, self.reach[m], borders))
             at.append((mine, np.full(len(mine), m), hashes[m][mine], shape[mine]))
         self.at, self.m, key, shape = (np.concatenate(x) for x in zip(*at, strict=True))
         if not self._group(key, shape):
@@ -128,15 +141,26 @@ class Bucket:
 
     def _group(self, key: np.ndarray, shape: np.ndarray) -> bool:
         """Sort the n-grams by key and form; whether equal hashes are equal keys and forms."""
-        order = np.lexsort((shape, key))
-        self.at, self.m, key, shape = self.at[order], self.m[order], key[order], shape[order]
-        same = np.flatnonzero(key[1:] == key[:-1])
-        sizes = self.reach[self.m, self.at]
-        if (sizes[same] != sizes[same + 1]).any():
+        order = np.argsort(key)
+        key, shape = key[order], shape[order]
+        same = key[1:] == key[:-1]
+        # Few keys have several forms; just these are sorted by form.
+        run = np.cumsum(np.append(True, ~same)[: len(key)]) - 1
+        several = np.zeros(len(key), bool)
+        several[run[1:][same & (shape[1:] != shape[:-1])]] = True
+        mixed = np.flatnonzero(several[run])
+        by_form = mixed[np.lexsort((shape[mixed], key[mixed]))]
+        order[mixed], shape[mixed] = order[by_form], shape[by_form]
+        self.at, self.m = self.at[order], self.m[order]
+        same, sizes = np.flatnonzero(same), self.reach[self.m, self.at]
+        heads = _beginnings(self.heads[self.at], sizes)
+        if (sizes[same] != sizes[same + 1]).any() or (heads[same] != heads[same + 1]).any():
             return False
+        same = same[sizes[same] > HEAD]
         for k in range(0, len(same), SLICE):
-            one, n = same[k : k + SLICE], sizes[same[k : k + SLICE]]
-            if (self.glued[_spans(self.starts[self.at[one]], n)] != self.glued[_spans(self.starts[self.at[one + 1]], n)]).any():
+            one = same[k : k + SLICE]
+            n = sizes[one] - HEAD
+            if (self.glued[_spans(self.starts[self.at[one]] + HEAD, n)] != self.glued[_spans(self.starts[self.at[one + 1]] + HEAD, n)]).any():
                 return False
         new_key = np.append(True, key[1:] != key[:-1])[: len(key)]
         new = new_key | np.append(True, shape[1:] != shape[:-1])[: len(key)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +39,18 @@ class Chunk:
         self.end = np.flatnonzero(~gap & np.concatenate([gap[1:], [True]])) + 1 if len(gap) else np.zeros(0, np.int64)
         self.line = np.concatenate([[0], np.cumsum(ends_line)])[self.start]
         self.glued = bytes_[~gap]
-        glued = self.glued.astype(np.uint64) + np.uint64(1)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(glued * _powers(BASE, len(glued)), dtype=np.uint64)])
-        self.back = _powers(INVERSE, len(glued) + 1)
         place = np.concatenate([[0], np.cumsum(~gap)])
         self.glued_start, self.glued_end = place[self.start], place[self.end]
 
+    @cached_property
+    def sums(self) -> np.ndarray:
+        glued = self.glued.astype(np.uint64) + np.uint64(1)
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(glued * _powers(BASE, len(glued)), dtype=np.uint64)])
+
+    @cached_property
+    def back(self) -> np.ndarray:
+        return _powers(INVERSE, len(self.glued) + 1)
+
     def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Of the words first to last of every range."""
         a, b = self.glued_start[first], self.glued_end[last]
