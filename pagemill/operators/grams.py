@@ -261,3 +261,15 @@ def selected(texts: DataFrame, most: int = 6, total: int = 1, forms: int = 1) ->
     apart = _apart(texts, most, borders)
     keys = apart.groupBy("key").agg(F.sum("n").alias("t"), F.count("*").alias("f")).where((F.col("t") >= total) & (F.col("f") >= forms)).select("key")
     return _by_bucket(texts, most, borders, reduce, "key string, variant string, n long").unionByName(apart.join(keys, "key", "left_semi"))
+
+
+def singles(texts: DataFrame, most: int = 6) -> DataFrame:
+    """(key, variant) of the keys that have one form alone."""
+    borders = _borders(texts, most)
+
+    def reduce(bucket: Bucket) -> pa.Table:
+        variants = [bucket.form(k) for k in np.flatnonzero((np.bincount(bucket.key) == 1)[bucket.key]).tolist()]
+        return pa.table({"key": pa.array([v.replace(" ", "") for v in variants], pa.string()), "variant": pa.array(variants, pa.string())})
+
+    apart = _apart(texts, most, borders).groupBy("key").agg(F.count("*").alias("forms"), F.first("variant").alias("variant")).where("forms = 1")
+    return _by_bucket(texts, most, borders, reduce, "key string, variant string").unionByName(apart.select("key", "variant"))

@@ -102,15 +102,18 @@ def satellites_of(singles: DataFrame, heads_: DataFrame, least: int = 2, letters
     A form of two words belongs to the series of either word, a glued one to those of its beginnings (ends) of two to four letters, if more than one letter and no digit is beside them.
     """
     words = F.filter(F.split("variant", r"\s+"), lambda w: w != "")
-    sides = []
+    sides, fits, none = [], {}, F.expr("cast(array() as array<string>)")
     for kind, end in (("prefix", False), ("suffix", True)):
         run = F.try_element_at(F.regexp_extract_all("key", F.lit(f"[{letters}]+"), F.lit(0)), F.lit(-1 if end else 1))
         glued = _slices(run, F.least(F.lit(LONGEST_FALLBACK), F.length(run) - 1), least, end, letters)
         spaced = F.when(F.size(words) == 2, F.array(F.get(words, F.lit(1 if end else 0))))
-        each = singles.select("key", F.lit(kind).alias("affix_type"), F.explode(F.when(is_spaced(F.col("variant")), spaced).otherwise(glued)).alias("affix"))
-        fits = F.endswith("key", "affix") if end else F.startswith("key", "affix")
-        sides.append(each.where(fits & ~is_weak_affix(F.col("affix"), least, letters) & ~is_weak_filler(F.col("key"), F.col("affix"), end, letters)))
-    offers = sides[0].unionByName(sides[1]).join(heads_, ["affix_type", "affix"])
+        of = lambda a: F.struct(F.lit(kind).alias("affix_type"), a.alias("affix"))  # noqa: B023, E731
+        sides.append(F.transform(F.coalesce(F.when(is_spaced(F.col("variant")), spaced).otherwise(glued), none), of))
+        beside = F.endswith("key", "affix") if end else F.startswith("key", "affix")
+        fits[kind] = beside & ~is_weak_filler(F.col("key"), F.col("affix"), end, letters)
+    # Series are few beside single forms: they go to these, which stay where they are.
+    each = singles.select("key", F.inline(F.concat(*sides))).join(F.broadcast(heads_), ["affix_type", "affix"])
+    offers = each.where(~is_weak_affix(F.col("affix"), least, letters) & F.when(F.col("affix_type") == "suffix", fits["suffix"]).otherwise(fits["prefix"]))
     first = F.min(F.struct("affix_type", (-F.col("n")).alias("n"), "affix")).alias("x")
     return offers.groupBy("key").agg(first).select("key", "x.affix_type", "x.affix")
 
@@ -138,7 +141,7 @@ def listed(conflicts: DataFrame, singles: DataFrame, least: int = 2, letters: st
     sizes = conflicts.groupBy("key").agg(F.sum("n").alias("n"))
     findings = groups.join(sizes, "key").groupBy("affix_type", "affix").agg(F.sum("n").alias("n"))
     keys = conflicts.select("key").distinct()
-    satellites = satellites_of(singles.join(keys, "key", "left_anti"), findings, least, letters)
+    satellites = satellites_of(singles, findings, least, letters).join(keys, "key", "left_anti")
     found = cut(kept_series(groups, satellites))
     nothing = F.lit(None).cast("string")
     return found.unionByName(keys.join(found.select("key"), "key", "left_anti").select("key", nothing.alias("affix_type"), nothing.alias("affix"), F.lit("single").alias("role")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import collapse, patterns, series, spacing, wraps
+from ..operators import collapse, grams, patterns, series, spacing, wraps
 from ..sources.shared import cut
 from ..sources.tables import lines, table
 from .text_plans import _conflicts, _index, _index_sql
@@ -66,8 +66,7 @@ def series_by_size(spark, sf_dir):
 def series_list(spark, sf_dir):
     """The whole list: normalised conflicts in series or alone, and single forms that belong to a series' word."""
     x = cut(collapse.conflicting(collapse.normalised(_conflicts(spark, sf_dir), 3, LETTERS)))
-    singles = _index(spark, sf_dir, 2).groupBy("key").agg(F.count("*").alias("forms"), F.first("variant").alias("variant")).where("forms = 1").select("key", "variant")
-    return series.listed(x, singles, 2, LETTERS)
+    return series.listed(x, grams.singles(table(spark, sf_dir, "documents").select("text"), 2), 2, LETTERS)
 
 
 COLLAPSED = f"""{_index_sql(6)}, c AS (SELECT key, variant, n FROM x WHERE key IN (SELECT key FROM k)),

@@ -30,6 +30,8 @@ def test_index_by_buckets(spark, monkeypatch, cut, most):
     assert rows(grams.selected(t, most).select(*index.columns)) == rows(index)
     several = index.groupBy("key").agg(F.sum("n").alias("t"), F.count("*").alias("f")).where("t >= 4 and f >= 2").select("key")
     assert rows(grams.selected(t, most, 4, 2).select(*index.columns)) == rows(index.join(several, "key", "left_semi").select(*index.columns))
+    alone = index.groupBy("key").agg(F.count("*").alias("f"), F.first("variant").alias("variant")).where("f = 1").select("key", "variant")
+    assert rows(grams.singles(t, most)) == rows(alone)
     by = index.groupBy((F.length("variant") - F.length("key") + 1).alias("words")).agg(F.count("*"), F.sum("n"), F.max("n"))
     assert rows(grams.sizes(t, most)) == rows(by)
 
@@ -43,7 +45,7 @@ def test_equal_hashes_are_told_apart(spark, monkeypatch):
     assert sorted((found.form(k), int(found.n[k])) for k in range(len(found.n))) == sorted((r.variant, r.n) for r in index.collect())
 
 
-@pytest.mark.parametrize("name", ["ngram_index", "cluster_order", "strong_clusters"])
+@pytest.mark.parametrize("name", ["ngram_index", "cluster_order", "strong_clusters", "series_list"])
 def test_queries_send_no_index(spark, monkeypatch, name):
     monkeypatch.setattr(spacing, "ngram_index", lambda *a, **b: pytest.fail("the whole index"))
     assert catalogue.queries()[name](spark, SF).count()
